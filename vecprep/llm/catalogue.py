@@ -19,6 +19,33 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    from .storage import partitions_for
+
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.repartitionByRange(partitions_for(docs), "position").sortWithinPartitions("position")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
@@ -26,8 +53,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_token_files,)}
+    return {f.__name__: f for f in (op2_mixing, op5_quality, op6_toxicity, op7_licenses, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses, mixing
+
+    return {"op2_mixing": mixing.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
