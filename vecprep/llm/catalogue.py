@@ -19,6 +19,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
     from .storage import partitions_for
@@ -28,6 +34,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange(partitions_for(docs), "position").sortWithinPartitions("position")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
@@ -53,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality, op6_toxicity, op7_licenses, op10_token_files)}
+    return {f.__name__: f for f in (op1_suffix_tree, op2_mixing, op3_minhash, op5_quality, op6_toxicity, op7_licenses, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -152,3 +152,26 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.flatnonzero(new)
+
+
+def pack_many(*arrays: np.ndarray, delta: tuple[int, ...] = ()) -> bytes:
+    """Several arrays as one value; those at the places in ``delta`` ascend."""
+    parts = [pack(a, i in delta) for i, a in enumerate(arrays)]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def unpack_many(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(unpack(data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def look_up(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value among sorted distinct keys, -1 where absent."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == wanted, at, -1)
