@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_sampling import sample_digests
+
+    return sample_digests(_table(spark, sf_dir, "documents"), _vocabulary(PIECES))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality
 
@@ -58,6 +65,18 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .projection_forest import vector_components
+
+    return vector_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .max_score import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), "_id % 50 = 0")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_files
 
@@ -65,10 +84,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_tree, op2_mixing, op3_minhash, op5_quality, op6_toxicity, op7_licenses, op10_token_files)}
+    found = (
+        op1_suffix_tree,
+        op2_mixing,
+        op3_minhash,
+        op4_piece_sampling,
+        op5_quality,
+        op6_toxicity,
+        op7_licenses,
+        op8_projection_forest,
+        op9_max_score,
+        op10_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing
+    """The others can't be said in SQL (or not over whole tables): they have brute-force tests."""
+    from . import licenses, max_score, mixing
 
-    return {"op2_mixing": mixing.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op7_licenses": licenses.ORACLE_SQL, "op9_max_score": max_score.ORACLE_SQL}
