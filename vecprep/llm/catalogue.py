@@ -27,12 +27,12 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .mixing import by_position, mix
     from .storage import partitions_for
 
     docs = _table(spark, sf_dir, "documents")
     mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
-    return mixed.repartitionByRange(partitions_for(docs), "position").sortWithinPartitions("position")
+    return by_position(mixed, partitions_for(docs))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,17 +111,23 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), limit: int = 3,
     )
 
 
-def mixed_corpus(docs: DataFrame, *, schedules: Sequence[Sequence[float]] = SCHEDULES, **options) -> DataFrame:
+def mixed_corpus(docs: DataFrame, *, schedules: Sequence[Sequence[float]] = SCHEDULES, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The corpus to train on: each document as often as the mix takes it, range-sorted by training position.
 
     Columns are those of ``docs``. A document beyond its source's demand is absent.
     """
-    rows = docs.select("*", F.struct(*docs.columns).alias("_row"))
-    rows = mix(rows, schedules=schedules, carry=("_row",), **options).filter(F.col("copies") > 0)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *(docs[c].alias(f"_{c}_") for c in {doc_id, text, source}))
+    rows = mix(rows, schedules=schedules, carry=("_row",), doc_id=f"_{doc_id}_", text=f"_{text}_", source=f"_{source}_", **options).filter(F.col("copies") > 0)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     share = (F.col("_from") + F.col("_copy") * F.col("source_size")).cast("double") / F.greatest(F.col("_demand"), F.lit(1))
-    rows = rows.select("_row", invert_schedule(share, F.col("_place"), schedules).alias("_at"))
-    return rows.repartitionByRange(partitions_for(docs), "_at").sortWithinPartitions("_at").select("_row.*")
+    rows = rows.select("_row", "doc_id", invert_schedule(share, F.col("_place"), schedules).alias("position"))
+    return by_position(rows, partitions_for(docs)).select("_row.*")
+
+
+def by_position(rows: DataFrame, partitions: int) -> DataFrame:
+    """Range-sorted by position; documents at one position, or without one, are dealt by a hash of their id."""
+    order = [F.col("position"), F.xxhash64("doc_id"), F.col("doc_id")]
+    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 def _position_sql(share: str, place: str) -> str:
