@@ -272,4 +272,4 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """``docs`` without the rows whose document isn't the least of its component; copies of a row stay one row."""
     found = near_duplicates(docs, doc_id=doc_id, text=text)
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
