@@ -1,17 +1,21 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill.
 
-Trees. ``TREES`` trees split by random directions; a node's threshold band is the middle 2 * ``SPILL`` of the projections
-there, and vectors inside the band go to both sides. The upper levels of a tree are fitted on at most ``SAMPLE`` vectors
+Trees. ``TREES`` trees split the unit vectors by random directions with standard normal components, at the median of the
+projections there; vectors within ``MARGIN`` of it go to both sides. The margin is a distance, not a share: the
+projections of two vectors of cosine 0.9 differ by a normal variable of deviation 0.45 in any dimension, so a pair is as
+safe in a dense cluster as elsewhere, and a cluster that no direction divides (a side would keep more than ``UNDIVIDED``
+of it) is left whole. The upper levels of a tree are fitted on at most ``SAMPLE`` vectors
 (the first in hash order), which bounds what is broadcast; every vector is then routed through them, and a leaf that is
-still larger than ``LEAF`` is split further in the same way by the task that holds it. A group that random directions
-don't split (one dense cluster) is compared whole, in blocks.
+still larger than ``LEAF`` is split further in the same way by the task that holds it. A leaf of more than ``TASK_ROWS``
+vectors is cut into chunks first, every two of which meet in a task. A group that random directions don't split (one
+dense cluster) is compared whole, in blocks.
 
 Links. Within a leaf all pairs are compared by cosine in double precision; pairs of at least ``COSINE`` are links. Equal
 vectors are one class first, whatever their number, and only the classes' least ids are compared and paired; links found
 in several trees count once. Components are taken over classes; n_links adds up class sizes.
 
-Two vectors at the cosine 0.9 are parted by a level of a tree with a probability of about 0.08 (measured recall: README);
-nearer ones hardly ever. Null vectors, zero vectors and those with null or non-finite components are linked with
+Two vectors at the cosine 0.9 are parted by a level of a tree with a probability of about 0.025 (measured recall:
+README); nearer ones hardly ever. Null vectors, zero vectors and those with null or non-finite components are linked with
 nothing, and so are vectors of different lengths with each other. A null vec_id is linked with nothing, has a null
 component and isn't kept. Rows that repeat a vec_id count as further vectors of its class. An empty table gives an empty
 result. Other columns are ignored.
@@ -28,12 +32,18 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialise
+from .text import mix
 
 COSINE = 0.9
-TREES = 12
+TREES = 6
 LEAF = 384
-SPILL = 0.06
-SAMPLE = 20_000
+MARGIN = 0.25
+UNDIVIDED = 0.75
+TRIES = 4
+SAMPLE = 50_000
+#: Vectors of the sample that a fitted leaf holds at least, however large the table.
+LEAST_LEAF = 24
+TASK_ROWS = 40_000
 SEED = 77
 
 
@@ -55,28 +65,33 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _parts(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, float, np.ndarray, np.ndarray]:
-    """A random direction, its band, and what goes left and right."""
-    direction = rng.standard_normal(x.shape[1])
-    p = x @ direction
-    low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
-    return direction, float(low), float(high), np.flatnonzero(p <= high), np.flatnonzero(p >= low)
+def _parts(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float, float, np.ndarray, np.ndarray] | None:
+    """A random direction, its band, and what goes left and right; None if no direction divides the rows."""
+    for _ in range(TRIES):
+        direction = rng.standard_normal(x.shape[1])
+        p = x @ direction
+        middle = float(np.median(p))
+        low, high = middle - MARGIN, middle + MARGIN
+        left, right = np.flatnonzero(p <= high), np.flatnonzero(p >= low)
+        if max(len(left), len(right)) <= UNDIVIDED * len(x):
+            return direction, low, high, left, right
+    return None
 
 
 class Tree:
     """The fitted upper levels: node k has the children 2k + 1 and 2k + 2."""
 
-    def __init__(self, sample: np.ndarray, seed: int):
+    def __init__(self, sample: np.ndarray, seed: int, leaf: int = LEAF):
         self.nodes: dict[int, tuple[np.ndarray, float, float]] = {}
         rng = np.random.Generator(np.random.PCG64(seed))
         todo = [(0, np.arange(len(sample)))]
         while todo:
             k, rows = todo.pop()
-            if len(rows) <= LEAF:
+            if len(rows) <= leaf:
                 continue
-            direction, low, high, left, right = _parts(sample[rows], rng)
-            if max(len(left), len(right)) > 0.75 * len(rows):
+            if (parts := _parts(sample[rows], rng)) is None:
                 continue
+            direction, low, high, left, right = parts
             self.nodes[k] = (direction, low, high)
             todo += [(2 * k + 1, rows[left]), (2 * k + 2, rows[right])]
 
@@ -99,16 +114,11 @@ def groups(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
     todo = [np.arange(len(x))]
     while todo:
         rows = todo.pop()
-        if len(rows) > 2 * LEAF:
-            for _ in range(4):
-                _, _, _, left, right = _parts(x[rows], rng)
-                if max(len(left), len(right)) <= 0.75 * len(rows):
-                    todo += [rows[left], rows[right]]
-                    break
-            else:
-                yield rows
-        else:
+        parts = _parts(x[rows], rng) if len(rows) > 2 * LEAF else None
+        if parts is None:
             yield rows
+        else:
+            todo += [rows[parts[3]], rows[parts[4]]]
 
 
 def close_pairs(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,58 +133,84 @@ def close_pairs(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.nd
                 yield a[keep], b[keep]
 
 
-def _route(forest) -> Callable:
+def _leaves(batches: Iterator[pa.RecordBatch], forest: dict[int, list[Tree]]) -> Iterator[tuple[int, int, int, pa.RecordBatch]]:
+    """Length, tree, leaf and the rows (rep, vector) of a batch that reach it."""
+    for batch in batches:
+        size = np.asarray(batch.column(1).value_lengths())
+        for dim in np.unique(size):
+            part = batch.filter(pa.array(size == dim))
+            x = unit(matrix(part.column(1)))
+            for t, tree in enumerate(forest.get(int(dim), [])):
+                for leaf, rows in tree.leaves(x):
+                    yield int(dim), t, leaf, part.take(pa.array(rows))
+
+
+def _count(forest) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, tree, leaf, part in _leaves(batches, forest.value):
+            yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([tree], pa.int32()), pa.array([leaf]), pa.array([len(part)])], ["dim", "tree", "leaf", "n"])
+
+    return run
+
+
+def _route(forest, chunks) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[int, list[Tree]] = forest.value
-        for batch in batches:
-            size = np.asarray(batch.column(1).value_lengths())
-            for dim in np.unique(size):
-                part = batch.filter(pa.array(size == dim))
-                x = unit(matrix(part.column(1)))
-                for t, tree in enumerate(trees.get(int(dim), [])):
-                    for leaf, rows in tree.leaves(x):
-                        taken = part.take(pa.array(rows))
-                        yield pa.record_batch([pa.array(np.full(len(rows), dim), pa.int32()), pa.array(np.full(len(rows), t), pa.int32()), pa.array(np.full(len(rows), leaf), pa.int64()), *taken.columns], ["dim", "tree", "leaf", "rep", "vector"])
+        for dim, tree, leaf, part in _leaves(batches, forest.value):
+            n = chunks.value.get((dim, tree, leaf), 1)
+            own = (mix(part.column(0).to_numpy().view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            for j in range(n):
+                meeting = np.minimum(own, j) * n + np.maximum(own, j)
+                k = len(part)
+                yield pa.record_batch([pa.array(np.full(k, dim), pa.int32()), pa.array(np.full(k, tree), pa.int32()), pa.array(np.full(k, leaf), pa.int64()), pa.array(meeting), *part.columns], ["dim", "tree", "leaf", "meeting", "rep", "vector"])
 
     return run
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    group = group.combine_chunks()
-    rep, tree = group["rep"].to_numpy(), group["tree"][0].as_py()
-    order = np.argsort(rep)
-    rep, x = rep[order], unit(matrix(group["vector"].combine_chunks()))[order]
-    rng = np.random.Generator(np.random.PCG64([SEED, tree, group["leaf"][0].as_py()]))
-    found = [(rep[rows[a]], rep[rows[b]]) for rows in groups(x, rng) for a, b in close_pairs(x[rows], COSINE)]
-    a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    if len(a):  # the same pair may turn up in several groups of a leaf
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within one leaf (or two chunks of one), in pieces; a pair may turn up more than once."""
+    group = pa.Table.from_batches(batches).combine_chunks()
+    rep = group["rep"].to_numpy()
+    vectors = group["vector"].combine_chunks()
+    order = np.argsort(rep, kind="stable")
+    rep, x = rep[order], unit(matrix(vectors if isinstance(vectors, pa.Array) else vectors.chunk(0)))[order]
+    rng = np.random.Generator(np.random.PCG64([SEED, group["tree"][0].as_py(), group["leaf"][0].as_py()]))
+    for rows in groups(x, rng):
+        for a, b in close_pairs(x[rows], COSINE):
+            a, b = rep[rows[a]], rep[rows[b]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _forest(classes: DataFrame) -> dict[int, list[Tree]]:
     """Trees by vector length, fitted on a bounded sample; a length that the sample lacks has single leaves."""
+    total = classes.count()
     sample = classes.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
     sample = sample if isinstance(sample, pa.Array) else sample.chunk(0)
     size = np.asarray(sample.value_lengths())
     lengths = [r[0] for r in classes.select(F.size("vector")).distinct().limit(1000).collect()]
+    leaf = max(LEAST_LEAF, int(LEAF * min(1.0, SAMPLE / max(total, 1))))
     out = {}
     for dim in lengths:
         x = unit(matrix(sample.filter(pa.array(size == dim)))) if (size == dim).any() else np.zeros((0, dim))
-        out[int(dim)] = [Tree(x, SEED * 1000 + t) for t in range(TREES)]
+        out[int(dim)] = [Tree(x, SEED * 1000 + t, leaf) for t in range(TREES)]
     return out
 
 
 def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (vec_id, key or null), classes (key, rep, size) and links between classes' representatives (a < b)."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"))
+    kind = vectors.schema[embedding].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # compared in double precision either way
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("vector"))
     key = F.when(usable(F.col("vector")) & F.col("vec_id").isNotNull(), F.xxhash64("vector"))
     rows = rows.withColumn("key", key)
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = materialise(classes, "forest-classes")
-    forest = vectors.sparkSession.sparkContext.broadcast(_forest(classes))
-    routed = classes.select("rep", "vector").mapInArrow(_route(forest), "dim int, tree int, leaf long, rep long, vector array<double>")
-    links = routed.groupBy("dim", "tree", "leaf").applyInArrow(_compare, "a long, b long")
+    send = vectors.sparkSession.sparkContext.broadcast
+    forest, each = send(_forest(classes)), classes.select("rep", "vector")
+    counted = each.mapInArrow(_count(forest), "dim int, tree int, leaf long, n long").groupBy("dim", "tree", "leaf").agg(F.sum("n").alias("n"))
+    # Only leaves beyond TASK_ROWS come to the driver; the sample's size bounds their number.
+    chunks = {(r["dim"], r["tree"], r["leaf"]): -(-r["n"] // TASK_ROWS) for r in counted.filter(F.col("n") > TASK_ROWS).collect()}
+    routed = each.mapInArrow(_route(forest, send(chunks)), f"dim int, tree int, leaf long, meeting long, rep long, vector {kind}")
+    links = routed.groupBy("dim", "tree", "leaf", "meeting").applyInArrow(_compare, "a long, b long")
     return rows.select("vec_id", "key"), classes.select("key", "rep", "size"), materialise(links.filter("a < b").distinct(), "forest-links")
 
 
