@@ -42,13 +42,14 @@ def drop(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of ``df``, for choosing numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def size_in_bytes(df: DataFrame) -> int | None:
+    """Bytes of all that ``df`` reads, as Catalyst knows them; None if a source has no known size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Buckets that hold about ``bytes_each`` of input, never fewer than the session's shuffle partitions."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, min(-(-size_in_bytes(df) // bytes_each), 1_000_000))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, min(-(-(size_in_bytes(df) or 0) // bytes_each), 1_000_000))
