@@ -18,8 +18,10 @@ How it runs. Blocks of documents become arrays of 64-bit word hashes.
    after every context, so all that a prediction needs about a symbol is in one place. These counts grow with the
    corpus and stay distributed. A symbol with more than a bucket's fair share is spread by the first word of its context.
 3. Totals c(u), T(u) and the gain of each context are summed over buckets; one number per candidate reaches the driver.
-4. Scoring: positions travel as (symbol, state, document) with a count to their symbol's bucket and return as partial
-   sums per document.
+4. Scoring: a position whose word sequence is itself a candidate context is scored where it lies, as the sequence's
+   count is that context's total; so is the end symbol, whose counts are one number per context. What remains, no pair
+   of which makes up more than about P_MIN of all positions, travels as (symbol, state, document) with a count to its
+   symbol's bucket and returns as partial sums per document.
 
 Null and empty texts have the end symbol alone. A null document id counts as training text (its remainder is unknown).
 Repeated rows are documents of their own. Without training tokens every symbol has base probability 1. An empty table
@@ -238,10 +240,12 @@ class Shard:
 
 @dataclass
 class Totals:
-    """Per context: occurrences, distinct symbols, whether it is a state; of the root: N and V; counts of hot symbols."""
+    """Per context: occurrences, distinct symbols, how often a text ended after it, whether it is a state; of the root: N
+    and V; counts of hot symbols."""
 
     count: np.ndarray
     distinct: np.ndarray
+    ended: np.ndarray
     retained: np.ndarray
     n: int
     v: int
@@ -254,6 +258,18 @@ class Totals:
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.n + 0.5 * (self.v + 1))
 
+    def probability(self, contexts: Contexts, state: np.ndarray, count: np.ndarray, seen: Callable) -> np.ndarray:
+        """P of symbols that occur ``count`` times; ``seen(d, rows, u)`` is how often those of ``rows`` followed u."""
+        p = self.root(count)
+        for d in range(1, DEPTH + 1):
+            up = contexts.ancestor[d][state]
+            here = np.flatnonzero((up > 0) & self.retained[up])
+            if not len(here):
+                continue
+            u = up[here]
+            p[here] = (seen(d, here, u) + self.distinct[u] * p[here]) / (self.count[u] + self.distinct[u])
+        return p
+
 
 def _totals(contexts) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +280,12 @@ def _totals(contexts) -> Callable:
                 hot = look_up(known.hot, shard.symbols)
                 rows = [np.array([[0, 0, shard.root.sum(), np.count_nonzero(hot < 0)]], np.int64)]
                 rows.append(np.column_stack([np.full((hot >= 0).sum(), 2), hot[hot >= 0], shard.root[hot >= 0], np.ones((hot >= 0).sum(), np.int64)]))
+                end = int(look_up(shard.symbols, np.array([END]))[0])
+                if end >= 0:
+                    rows.append(np.array([[3, 0, shard.root[end], 0]], np.int64))
                 for code, count in shard.level:
+                    last = code // shard.wide == end
+                    rows.append(np.column_stack([np.full(last.sum(), 3), code[last] % shard.wide, count[last], np.zeros(last.sum(), np.int64)]))
                     ids, inverse = np.unique(code % shard.wide, return_inverse=True)
                     rows.append(np.column_stack([np.ones(len(ids), np.int64), ids, np.bincount(inverse, count, len(ids)).astype(np.int64), np.bincount(inverse, minlength=len(ids))]))
                 yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T.astype(np.int64)], ["kind", "id", "n", "distinct"])
@@ -290,7 +311,7 @@ def _gains(contexts, totals) -> Callable:
                     out = np.where(rest > 0, (count - 1 + left * parent) / np.maximum(rest, 1), parent)
                     gain = count * np.log(np.maximum(out, 1e-300) / parent)
                     unique, inverse = np.unique(ids, return_inverse=True)
-                    yield pa.record_batch([pa.array(unique.astype(np.int64)), pa.array(np.bincount(inverse, gain, len(unique)))], ["id", "gain"])
+                    yield pa.record_batch([pa.array(unique.astype(np.int64)), pa.array(np.bincount(inverse, gain, len(unique)).astype(float))], ["id", "gain"])
                     above_code, above = code, own
 
     return run
@@ -308,15 +329,30 @@ def _poster(contexts, totals, buckets: int) -> Callable:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part, block in _blocks(batch, 2):
-                state = state_of[known.states(block)]
-                unique, rank = np.unique(block.symbol, return_inverse=True)
-                docs = np.int64(len(part))
-                code, count = np.unique((rank * np.int64(len(state_of)) + state) * docs + block.document, return_counts=True)
+                found, document = known.states(block), block.document
+                state, docs = state_of[found], np.int64(len(part))
+                following = np.append(found[1:], 0)
+                last = block.symbol == END
+                following[last] = 0
+                near = np.flatnonzero(known.depth[following] > known.depth[state])
+                after = following[near]
+                sums = np.zeros((3, len(part)))
+                for here, c, seen in (
+                    (near, total.count[known.ancestor[1][after]], lambda d, at, u, after=after: total.count[known.ancestor[d + 1][after[at]]]),
+                    (np.flatnonzero(last), np.full(last.sum(), total.ended[0]), lambda d, at, u: total.ended[u]),
+                ):
+                    p = total.probability(known, state[here], c, seen)
+                    for k, x in enumerate((np.log10(p), np.log10(total.root(c)), (c > 0).astype(float))):
+                        sums[k] += np.bincount(document[here], x, len(part))
+                away = ~last
+                away[near] = False
+                unique, rank = np.unique(block.symbol[away], return_inverse=True)
+                code, count = np.unique((rank * np.int64(len(state_of)) + state[away]) * docs + document[away], return_counts=True)
                 doc, code = code % docs, code // docs
                 symbol, state = unique[code // len(state_of)], code % len(state_of)
                 rows = list(_by_bucket(known.bucket(symbol, state, buckets), symbol, state, doc.astype(np.uint32), count.astype(np.uint32)))
                 ids = part.column(0)
-                about = pack_many(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(np.uint8), np.asarray(part.column(1)).astype(np.uint8), np.diff(block.begin))
+                about = pack_many(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(np.uint8), np.asarray(part.column(1)).astype(np.uint8), np.diff(block.begin), *sums)
                 n = len(rows)
                 yield pa.record_batch(
                     [pa.array([r[0] for r in rows] + [number % buckets], pa.int32()), pa.array([number] * (n + 1), pa.int64()), pa.array([0] * n + [1], pa.int32()), pa.array([r[1] for r in rows] + [about], pa.binary())],
@@ -339,16 +375,13 @@ def _scorer(contexts, totals) -> Callable:
                 symbol, state, (doc, count) = _entries(raw)
                 rank = look_up(shard.symbols, symbol)
                 c = root_count[rank]
-                base = total.root(c)
-                p = base
-                for d, (code, n) in enumerate(shard.level, 1):
-                    up = known.ancestor[d][state]
-                    here = np.flatnonzero((up > 0) & total.retained[up])
-                    u = up[here]
+
+                def seen(d, here, u, rank=rank):
+                    code, n = shard.level[d - 1]
                     at = np.where(rank[here] >= 0, look_up(code, rank[here] * shard.wide + u), -1)
-                    seen = np.where(at >= 0, n[at] if len(n) else 0, 0)
-                    p = p.copy()
-                    p[here] = (seen + total.distinct[u] * p[here]) / (total.count[u] + total.distinct[u])
+                    return np.where(at >= 0, n[at] if len(n) else 0, 0)
+
+                p, base = total.probability(known, state, c, seen), total.root(c)
                 docs, inverse = np.unique(doc, return_inverse=True)
                 raw = pack_many(docs, *(np.bincount(inverse, count * x, len(docs)) for x in (np.log10(p), np.log10(base), (c > 0).astype(float))), delta=(0,))
             rows.append((bucket.as_py(), block.as_py(), kind.as_py(), raw))
@@ -362,8 +395,8 @@ def _adder(train_tokens: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("kind", "descending"), ("bucket", "ascending")])
         raw = [d.as_buffer().to_pybytes() for d in group["data"]]
-        ids, null, held, n_tokens = unpack_many(raw[0])
-        sums = np.zeros((3, len(ids)))
+        ids, null, held, n_tokens, *local = unpack_many(raw[0])
+        sums = np.stack(local)
         for data in raw[1:]:
             doc, *parts = unpack_many(data)
             sums[:, doc] += np.stack(parts)
@@ -396,15 +429,15 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, doc_id:
     size = len(contexts.parent)
     sums = model.mapInArrow(_totals(known), "kind long, id long, n long, distinct long").groupBy("kind", "id").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toArrow()
     kind, ids, c, t = (sums[x].to_numpy() for x in ("kind", "id", "n", "distinct"))
-    count, distinct, hot = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(len(contexts.hot), np.int64)
-    count[ids[kind == 1]], distinct[ids[kind == 1]], hot[ids[kind == 2]] = c[kind == 1], t[kind == 1], c[kind == 2]
+    count, distinct, ended, hot = (np.zeros(k, np.int64) for k in (size, size, size, len(contexts.hot)))
+    count[ids[kind == 1]], distinct[ids[kind == 1]], hot[ids[kind == 2]], ended[ids[kind == 3]] = c[kind == 1], t[kind == 1], c[kind == 2], c[kind == 3]
     v = int(t[kind == 0].sum() + np.count_nonzero(hot))
-    totals = Totals(count, distinct, np.zeros(size, bool), n, v, hot)
+    totals = Totals(count, distinct, ended, np.zeros(size, bool), n, v, hot)
     first = send(totals)
     gains = model.mapInArrow(_gains(known, first), "id long, gain double").groupBy("id").agg(F.sum("gain").alias("gain")).toArrow()
     gain = np.zeros(size)
     gain[gains["id"].to_numpy()] = gains["gain"].to_numpy()
-    totals = Totals(count, distinct, (gain > GAIN * count) & (count >= P_MIN * n), n, v, hot)
+    totals = Totals(count, distinct, ended, (gain > GAIN * count) & (count >= P_MIN * n), n, v, hot)
     totals.retained[0] = False
 
     final = send(totals)
