@@ -10,12 +10,18 @@ estimate isn't more than ``SLACK`` standard errors below the threshold.
 
 A pair at the threshold 0.85 fails to share any of the 25 bands with probability 1e-8, and to pass the estimate with 1e-7.
 
-Verification in two rounds, so that a group of thousands of near copies costs a few edges a document, not all pairs:
-1. in each band bucket every document is compared with one centre (another one in each band); the most similar centre of
-   each document is confirmed on full sets, and confirmed links give first components;
-2. in buckets that still hold several components every pair across components that passes the estimate is confirmed.
+Verification in two rounds, so that a group of thousands of near copies costs a link a document, not all pairs:
+1. in each band bucket every document is compared with one centre, the member with the least share of shingles that no
+   other candidate has (of differently edited copies the least edited one); the most similar centre of each document is
+   confirmed on full sets, and confirmed links give first components;
+2. in buckets that still hold several components every pair across components that passes the estimate and a bound is
+   confirmed, once, by the first band that both share. The bound: two sets have at most as much in common as either
+   shares with any other candidate, so a pair is refuted if 185 * min(shared) < 85 * (both sizes). That spares most
+   pairs of differently edited copies, whose number would grow with the square of a group.
 Every candidate pair is thereby confirmed, refuted or already in one component; none is dropped.
 
+Full sets are made again for candidates only, found in the texts by a Bloom filter of fixed size; texts are not shuffled.
+
 Null and empty texts have an empty set and are linked with nothing. A null document id is linked with nothing (null
 component, not kept). Rows with one doc_id count as one document, which has the links of all its texts. An empty table
 gives an empty result. Other columns are ignored.
@@ -30,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_of, rows_in, without
 from .components import connected_components
 from .storage import materialise, partitions_for
 from .text import byte_runs, mix, words
@@ -37,10 +44,13 @@ from .text import byte_runs, mix, words
 SHINGLE = 5
 BANDS, ROWS, BITS = 25, 4, 2
 PERMUTATIONS = BANDS * ROWS
+STARS = "key long, rep long, signature binary, centre long, estimate double"
 #: 100 * intersection >= PERCENT * union links two documents.
 PERCENT = 85
 SLACK = 5.2
 BLOCK_BYTES = 8 << 20
+#: Rows of a band bucket that one task compares at most.
+BUCKET_ROWS = 50_000
 _RNG = np.random.Generator(np.random.PCG64(8128))
 _XOR = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -147,7 +157,8 @@ def _words64(column: pa.Array) -> np.ndarray:
 
 
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: members of buckets of two or more, each with its bucket's first as centre and the estimate."""
+    """Rows (key, rep, signature, ...) sorted by key: members of buckets of two or more, each with its bucket's first row
+    as centre and the estimate of their similarity."""
     key0, rep0, sig0, told = None, None, None, False
     for b in batches:
         if not len(b):
@@ -178,15 +189,22 @@ def _members(key: np.ndarray, rep: np.ndarray, sig: np.ndarray, centre: np.ndarr
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: candidate pairs of different components, bucket by bucket, in blocks of rows."""
 
-    def pairs(rep: np.ndarray, sig: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, sig: np.ndarray, component: np.ndarray, size: np.ndarray, shared: np.ndarray, own: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(component, kind="stable")
-        rep, sig, component = rep[order], sig[order], component[order]
+        rep, sig, component, size, shared, own, bands = (x[order] for x in (rep, sig, component, size, shared, own, bands))
         after = np.searchsorted(component, component, "right")
         for i in range(0, len(rep), 256):
             for j in range(int(after[i]), len(rep), 4096):
-                est = similarity(sig[i : i + 256, None, :], sig[None, j : j + 4096, :])
-                x, y = np.nonzero((est >= LEAST_ESTIMATE) & (component[i : i + 256, None] < component[None, j : j + 4096]))
-                a, c = rep[i + x], rep[j + y]
+                rows, columns = slice(i, i + 256), slice(j, j + 4096)
+                both = size[rows, None] + size[None, columns]
+                bound = (100 + PERCENT) * np.minimum(shared[rows, None], shared[None, columns]) >= PERCENT * both
+                x, y = np.nonzero(bound & (component[rows, None] < component[None, columns]))
+                x, y = i + x, j + y
+                near = similarity(sig[x], sig[y]) >= LEAST_ESTIMATE
+                x, y = x[near], y[near]
+                meet = np.argmax(bands[x] == bands[y], axis=1)
+                here = bands[x, meet] == own[x]
+                a, c = rep[x[here]], rep[y[here]]
                 if len(a):
                     yield pa.record_batch([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
@@ -194,14 +212,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not len(b):
             continue
-        key, rep, sig, component = b.column(0).to_numpy(), b.column(1).to_numpy(), _words64(b.column(2)), b.column(3).to_numpy()
+        key, rep, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _words64(b.column(2))
+        component, size, shared, own = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
+        bands = b.column(7).flatten().to_numpy().reshape(-1, BANDS)
         cuts = np.flatnonzero(np.concatenate([[not held or held[-1][0][-1] != key[0]], key[1:] != key[:-1]]))
         for a, c in zip(np.append([0], cuts), np.append(cuts, len(key)), strict=True):
             if a in cuts and held:
                 yield from pairs(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
                 held = []
             if c > a:
-                held.append((key[a:c], rep[a:c], sig[a:c], component[a:c]))
+                held.append(tuple(x[a:c] for x in (key, rep, sig, component, size, shared, own, bands)))
     if held:
         yield from pairs(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
 
@@ -210,14 +230,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in byte_runs(batch.column(1), BLOCK_BYTES):
             sets, at = shingle_sets(batch.column(1).slice(i, j - i))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "members"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "members"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = np.zeros(len(b), bool)
         for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
             if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int(np.count_nonzero(y[at] == x))
@@ -241,21 +261,37 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = materialise(classes, "minhash-classes")
 
     keyed = classes.select(F.explode("bands").alias("key"), "rep", "signature")
-    keyed = keyed.repartition(buckets, "key").sortWithinPartitions("key", F.xxhash64("key", "rep"), "rep")
-    members = materialise(keyed.mapInArrow(_centres, "key long, rep long, signature binary, centre long, estimate double"), "minhash-members")
+    members = keyed.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_centres, STARS)
+    members = materialise(members.select("key", "rep", "signature"), "minhash-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = rows.join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, members binary")
-    sets = materialise(sets.filter(F.length("members") > 0).distinct(), "minhash-sets")
-
-    near = members.filter((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("centre") != F.col("rep")))
+    sets = rows_in(rows, "doc_id", bloom_of(wanted)).mapInArrow(_sets, "doc_id long, members array<long>")
+    sets = materialise(sets.filter(F.size("members") > 0).distinct(), "minhash-sets")
+    # How many of its shingles a document shares with any other candidate: all but those that occur in it alone.
+    alone = sets.select("doc_id", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    alone = alone.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    sizes = sets.groupBy("doc_id").agg(F.max(F.size("members")).cast("long").alias("most"), F.min(F.size("members")).cast("long").alias("size"), F.count("*").alias("texts"))
+    sizes = sizes.join(alone, "doc_id", "left").select(F.col("doc_id").alias("sized"), "size", (F.col("most") - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"))
+    sizes = materialise(sizes.filter(100 * F.col("shared") >= PERCENT * F.col("size")), "minhash-sizes")
+
+    able = members.join(sizes, F.col("rep") == F.col("sized")).drop("sized")
+    stars = able.withColumn("private", 1 - F.col("shared") / F.col("size")).repartition(buckets, "key").sortWithinPartitions("key", "private", "rep")
+    stars = stars.select("key", "rep", "signature").mapInArrow(_centres, STARS)
+    near = stars.filter((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("centre") != F.col("rep")))
     best = near.groupBy("rep").agg(F.max(F.struct("estimate", "centre")).alias("best"))
     best = best.select(F.least("rep", "best.centre").alias("a"), F.greatest("rep", "best.centre").alias("b")).distinct()
     links = materialise(_confirmed(best, sets), "minhash-links")
     first = connected_components(links)
 
-    placed = members.join(first, members["rep"] == first["node"], "left").select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"))
-    open_ = placed.join(mixed, F.col("key") == F.col("k"), "left_semi").repartition(buckets, "key").sortWithinPartitions("key")
+    placed = able.join(first, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"), "size", "shared")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    open_ = placed.join(mixed.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k"))
+    # A bucket of more than BUCKET_ROWS is cut into chunks, and every two of them meet in a task.
+    chunks = F.ceil(F.col("n") / BUCKET_ROWS)
+    chunk = F.pmod(F.xxhash64("rep"), chunks)
+    meeting = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(chunk, j), F.greatest(chunk, j))))
+    open_ = open_.select(meeting.alias("meeting"), "rep", "signature", "component", "size", "shared", "key")
+    open_ = open_.join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
     pairs = open_.mapInArrow(_across, "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     more = materialise(_confirmed(pairs, sets), "minhash-links")
     # Classes that share a document id are tied by it: the id is the node.
@@ -272,4 +308,4 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """``docs`` without the rows whose document isn't the least of its component; copies of a row stay one row."""
     found = near_duplicates(docs, doc_id=doc_id, text=text)
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    return without(docs, doc_id, gone)
