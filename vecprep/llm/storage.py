@@ -1,43 +1,21 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the shared folder, and numbers of partitions that follow the input's size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..tables import materialise, new_path, shared_dir, shuffle_partitions
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests, local mode)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/vecprep-{context.applicationId}")
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "materialise", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
 
 
 def drop(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that nothing will read again."""
     spark = df.sparkSession
-    root = shared_dir(spark)
+    root = shared_dir(spark).removeprefix("file://")
     jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root.removeprefix("file://") in folder:
+        if root in folder:
             target = jvm.org.apache.hadoop.fs.Path(folder)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -51,5 +29,4 @@ def size_in_bytes(df: DataFrame) -> int | None:
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Buckets that hold about ``bytes_each`` of input, never fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, min(-(-(size_in_bytes(df) or 0) // bytes_each), 1_000_000))
+    return max(shuffle_partitions(df.sparkSession), min(-(-(size_in_bytes(df) or 0) // bytes_each), 1_000_000))
