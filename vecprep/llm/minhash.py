@@ -3,8 +3,8 @@
 Sets. A document's set are its distinct 5-word shingles (fewer words: the whole sequence), as 64-bit hashes. Documents
 with equal sets form a class, known by a 128-bit digest; its least doc_id stands for it, so copies are never paired.
 
-Signatures. ``PERMUTATIONS`` minima of the set; ``BANDS`` of ``ROWS`` minima each make the band keys; of all minima only
-the low ``BITS`` bits are kept, packed. Two documents that share a band key are candidates; the share E of equal b-bit
+Signatures. ``PERMUTATIONS`` minima of the set; the first ``BANDS`` times ``ROWS`` of them make the band keys; of all
+minima only the low ``BITS`` bits are kept, packed. Two documents that share a band key are candidates; the share E of equal b-bit
 values estimates the similarity as (E - C) / (1 - C), C = 2**-BITS, from counts of differing bits. A pair goes on if the
 estimate isn't more than ``SLACK`` standard errors below the threshold.
 
@@ -43,12 +43,12 @@ from .text import byte_runs, mix, words
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 25, 4, 2
-PERMUTATIONS = BANDS * ROWS
+PERMUTATIONS = 2 * BANDS * ROWS
 STARS = "key long, rep long, signature binary, centre long, estimate double"
 #: 100 * intersection >= PERCENT * union links two documents.
 PERCENT = 85
 SLACK = 5.2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Rows of a band bucket that one task compares at most.
 BUCKET_ROWS = 50_000
 _RNG = np.random.Generator(np.random.PCG64(8128))
