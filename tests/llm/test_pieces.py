@@ -39,6 +39,11 @@ def test_any_text_is_lossless(texts):
     assert round_trip(P.pieces_of(MODEL), texts)[2] == texts
 
 
+def test_a_chunk_longer_than_a_piece_of_hashing(pieces):
+    text = "ab" * 300_000
+    assert round_trip(pieces, [text, "x"])[2] == [text, "x"]
+
+
 def test_the_library_decodes_ordinary_text_alike(pieces):
     processor = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     text = "The quick brown fox jumps over the lazy dog, twice."

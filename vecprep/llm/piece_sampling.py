@@ -36,9 +36,9 @@ ALPHA = 0.002
 #: Scores below this mark pieces outside the ranking (runs of spaces); they weigh as little as the last rank.
 UNRANKED = -1e8
 SEED = 20240229
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Lattice bytes of distinct chunks that are filtered together.
-FILTER_BYTES = 1 << 19
+FILTER_BYTES = 3 << 16
 
 
 class Pieces:
@@ -106,7 +106,7 @@ def _salt(size: int) -> np.uint64:
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     from .text import _VALUE, _powers
 
-    power, inverse = _powers()
+    power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
     return sums, inverse

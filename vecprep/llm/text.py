@@ -7,13 +7,26 @@ n words collide is about n**2 / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
-_PIECE = 1 << 21
+
+def _give_memory_back() -> None:
+    """Python workers outlive many stages: have freed arrays of 1 MB and more returned to the system at once."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
+_PIECE = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _FOLDED = _VALUE.copy()
@@ -24,14 +37,18 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(_PIECE + 1, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0], _POWERS[1]
+def _powers(n: int = _PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` + 1 powers of the base and of its inverse modulo 2**64, or more; kept unless ``n`` is large."""
+    if _POWERS and n <= _PIECE:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        p = np.full(max(n, _PIECE) + 1, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= _PIECE:
+        _POWERS.extend(made)
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

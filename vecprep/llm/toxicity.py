@@ -41,6 +41,8 @@ Z = 3.0
 MAX_UNITS = 50_000
 LEAST_TEXTS = 3
 SIGNIFICANT = 0.0
+#: Bytes of text that are scanned at a time.
+BLOCK_BYTES = 3 << 20
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -106,7 +108,7 @@ class ToxicityModel:
 
     def segments(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[int, int, float]]]]:
         """Per text: number of tokens, their byte starts and ends within the text, and its maximal segments."""
-        for i, j in byte_runs(texts, 8 << 20):
+        for i, j in byte_runs(texts, BLOCK_BYTES):
             data, offsets = string_buffers(texts.slice(i, j - i))
             word, prefix, starts, ends, at = units(data, offsets)
             own, short = self._look_up(word), self._look_up(prefix)
