@@ -17,6 +17,8 @@ from vecprep.llm.storage import materialise
 from vecprep.llm.toxicity import filter_toxicity
 
 PIECES = "piece_bpe_32k.model"
+#: Documents with a Jaccard similarity of 0.8 or more, over shingles of five words, are near-duplicates.
+SIMILAR_PERCENT = 80
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=SIMILAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,16 @@ def test_empty_tables_and_other_columns(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, tables)
         assert out.count() == 0 and (name == "pieces" or out.columns == docs.columns)
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    """Texts at Jaccard 0.80 and 0.83 are near-duplicates of the stage; those at 0.79 are not; op3's threshold is higher."""
+    docs, shared = [], {0: 80, 1: 83, 2: 79}
+    for family, both in shared.items():  # 104 words have 100 shingles; the texts share ``both`` of ``both`` + 2 * alone
+        alone = {80: 10, 83: 8, 79: 11}[both]
+        base = [f"f{family}w{i}" for i in range(both + 4)]
+        docs += [(10 * family + k, " ".join(base + [f"f{family}t{k}x{i}" for i in range(alone)])) for k in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = lambda rows: sorted(r["doc_id"] for r in rows.select("doc_id").collect())
+    assert kept(corpus_pipeline.near_duplicates(spark, df, "")) == [0, 10, 20, 21]
+    assert kept(minhash.near_duplicates(df).filter("kept")) == [0, 1, 10, 11, 20, 21]

@@ -38,7 +38,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ with equal sets form a class, known by a 128-bit digest; its least doc_id stands
 Signatures. ``PERMUTATIONS`` minima of the set; the first ``BANDS`` times ``ROWS`` of them make the band keys; of all
 minima only the low ``BITS`` bits are kept, packed. Two documents that share a band key are candidates; the share E of equal b-bit
 values estimates the similarity as (E - C) / (1 - C), C = 2**-BITS, from counts of differing bits. A pair goes on if the
-estimate isn't more than ``SLACK`` standard errors below the threshold.
+estimate isn't more than ``SLACK`` standard errors below the threshold, ``percent`` of the union in common.
 
-A pair at the threshold 0.85 fails to share any of the 25 bands with probability 1e-8, and to pass the estimate with 1e-7.
+A pair at the threshold 0.85 fails to share any of the 25 bands with probability 1e-8 (at 0.80: 2e-6), and to pass the
+estimate with 1e-7.
 
 Verification in two rounds, so that a group of thousands of near copies costs a link a document, not all pairs:
 1. in each band bucket every document is compared with one centre, the member with the least share of shingles that no
@@ -16,7 +17,7 @@ Verification in two rounds, so that a group of thousands of near copies costs a
    confirmed on full sets, and confirmed links give first components;
 2. in buckets that still hold several components every pair across components that passes the estimate and a bound is
    confirmed, once, by the first band that both share. The bound: two sets have at most as much in common as either
-   shares with any other candidate, so a pair is refuted if 185 * min(shared) < 85 * (both sizes). That spares most
+   shares with any other candidate, so a pair is refuted if (100 + percent) * min(shared) < percent * (both sizes). That spares most
    pairs of differently edited copies, whose number would grow with the square of a group.
 Every candidate pair is thereby confirmed, refuted or already in one component; none is dropped.
 
@@ -30,6 +31,7 @@ gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ SHINGLE = 5
 BANDS, ROWS, BITS = 25, 4, 2
 PERMUTATIONS = 2 * BANDS * ROWS
 STARS = "key long, rep long, signature binary, centre long, estimate double"
-#: 100 * intersection >= PERCENT * union links two documents.
+#: 100 * intersection >= percent * union links two documents; this is the percent unless another is given.
 PERCENT = 85
 SLACK = 5.2
 BLOCK_BYTES = 4 << 20
@@ -129,13 +131,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def _least_estimate() -> float:
+def least_estimate(percent: int) -> float:
     chance = 2.0**-BITS
-    equal = chance + (1 - chance) * PERCENT / 100
-    return PERCENT / 100 - SLACK * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
-
-
-LEAST_ESTIMATE = _least_estimate()
+    equal = chance + (1 - chance) * percent / 100
+    return percent / 100 - SLACK * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +185,9 @@ def _members(key: np.ndarray, rep: np.ndarray, sig: np.ndarray, centre: np.ndarr
     return pa.record_batch([pa.array(key), pa.array(rep), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(centre), pa.array(estimate)], ["key", "rep", "signature", "centre", "estimate"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: candidate pairs of different components, bucket by bucket, in blocks of rows."""
+    least = least_estimate(percent)
 
     def pairs(rep: np.ndarray, sig: np.ndarray, component: np.ndarray, size: np.ndarray, shared: np.ndarray, own: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(component, kind="stable")
@@ -197,10 +197,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(int(after[i]), len(rep), 4096):
                 rows, columns = slice(i, i + 256), slice(j, j + 4096)
                 both = size[rows, None] + size[None, columns]
-                bound = (100 + PERCENT) * np.minimum(shared[rows, None], shared[None, columns]) >= PERCENT * both
+                bound = (100 + percent) * np.minimum(shared[rows, None], shared[None, columns]) >= percent * both
                 x, y = np.nonzero(bound & (component[rows, None] < component[None, columns]))
                 x, y = i + x, j + y
-                near = similarity(sig[x], sig[y]) >= LEAST_ESTIMATE
+                near = similarity(sig[x], sig[y]) >= least
                 x, y = x[near], y[near]
                 meet = np.argmax(bands[x] == bands[y], axis=1)
                 here = bands[x, meet] == own[x]
@@ -233,26 +233,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "members"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = np.zeros(len(b), bool)
         for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
             x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-            if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int(np.count_nonzero(y[at] == x))
-                good[k] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+                good[k] = 100 * both >= percent * (len(x) + len(y) - both)
         yield pa.record_batch([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id = component_id) per row.
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (doc_id = component_id) per row."""
+    Documents with at least ``percent`` of the union of their sets in common are linked.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = partitions_for(docs)
     signed = materialise(rows.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"), "minhash")
@@ -271,15 +274,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     alone = alone.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
     sizes = sets.groupBy("doc_id").agg(F.max(F.size("members")).cast("long").alias("most"), F.min(F.size("members")).cast("long").alias("size"), F.count("*").alias("texts"))
     sizes = sizes.join(alone, "doc_id", "left").select(F.col("doc_id").alias("sized"), "size", (F.col("most") - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"))
-    sizes = materialise(sizes.filter(100 * F.col("shared") >= PERCENT * F.col("size")), "minhash-sizes")
+    sizes = materialise(sizes.filter(100 * F.col("shared") >= percent * F.col("size")), "minhash-sizes")
 
     able = members.join(sizes, F.col("rep") == F.col("sized")).drop("sized")
     stars = able.withColumn("private", 1 - F.col("shared") / F.col("size")).repartition(buckets, "key").sortWithinPartitions("key", "private", "rep")
     stars = stars.select("key", "rep", "signature").mapInArrow(_centres, STARS)
-    near = stars.filter((F.col("estimate") >= LEAST_ESTIMATE) & (F.col("centre") != F.col("rep")))
+    near = stars.filter((F.col("estimate") >= least_estimate(percent)) & (F.col("centre") != F.col("rep")))
     best = near.groupBy("rep").agg(F.max(F.struct("estimate", "centre")).alias("best"))
     best = best.select(F.least("rep", "best.centre").alias("a"), F.greatest("rep", "best.centre").alias("b")).distinct()
-    links = materialise(_confirmed(best, sets), "minhash-links")
+    links = materialise(_confirmed(best, sets, percent), "minhash-links")
     first = connected_components(links)
 
     placed = able.join(first, F.col("rep") == F.col("node"), "left")
@@ -292,8 +295,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     meeting = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(chunk, j), F.greatest(chunk, j))))
     open_ = open_.select(meeting.alias("meeting"), "rep", "signature", "component", "size", "shared", "key")
     open_ = open_.join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
-    pairs = open_.mapInArrow(_across, "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
-    more = materialise(_confirmed(pairs, sets), "minhash-links")
+    pairs = open_.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
+    more = materialise(_confirmed(pairs, sets, percent), "minhash-links")
     # Classes that share a document id are tied by it: the id is the node.
     final = connected_components(links.unionByName(more))
 
@@ -304,8 +307,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose document isn't the least of its component; copies of a row stay one row."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
+    found = near_duplicates(docs, percent=percent, doc_id=doc_id, text=text)
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
     return without(docs, doc_id, gone)
