@@ -120,3 +120,15 @@ def test_blocks_dont_change_the_result(documents, prose, monkeypatch, size):
     one = {r["doc_id"]: r for r in S.score_texts(documents(rows).coalesce(1)).collect()}
     many = {r["doc_id"]: r for r in S.score_texts(documents(rows).repartition(size + 4)).collect()}
     assert all(math.isclose(one[d]["base_score"], many[d]["base_score"], rel_tol=1e-9) for d, _ in rows)
+
+
+def test_occurrences_a_state_needs_dont_rise_with_the_corpus(documents, prose, monkeypatch):
+    rows = [(i, prose(40, i % 37)) for i in range(120)]
+    monkeypatch.setattr(S, "P_MIN", 0.02)
+    monkeypatch.setattr(S, "LEAST", 10, raising=False)
+    found = {r["doc_id"]: r["score"] for r in S.score_texts(documents(rows)).collect()}
+    few = brute_force(rows)
+    monkeypatch.setattr(S, "P_MIN", 10 / few[0][2])
+    expected = brute_force(rows)
+    assert all(math.isclose(found[d], expected[d][4], rel_tol=1e-9) for d, _ in rows)
+    assert sum(expected[d][4] - few[d][4] for d, _ in rows) > 10  # the states that a share of all positions would cut

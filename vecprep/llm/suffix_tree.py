@@ -1,8 +1,8 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Symbols are the words of the lower-cased text, then one end symbol. A context is up to ``DEPTH`` words; it may become a
-state if it makes up at least ``P_MIN`` of all positions, so there are at most DEPTH / P_MIN contexts however large the
-corpus, which is what makes them small enough to broadcast. A state u predicts
+state if it occurs ``LEAST`` times (in a small corpus: makes up ``P_MIN`` of all positions, if that is less), so their
+number grows with the corpus. A state u predicts
 
     P(s | u) = (c(us) + T(u) P(s | parent)) / (c(u) + T(u)),   T(u): distinct symbols seen after u,
 
@@ -10,18 +10,15 @@ down to the root, (c(s) + 0.5) / (N + 0.5 (V + 1)) (one unseen symbol included).
 if its own predictions, each with the occurrence itself taken out, beat its parent's by more than ``GAIN`` nats per
 occurrence. A position is scored by the longest suffix of what precedes it that is a retained state.
 
-How it runs. Blocks of documents become arrays of 64-bit word hashes.
-1. Candidates: each block reports the contexts that make up at least P_MIN / 2 of it. What a block leaves out is less
-   than P_MIN / 2 of its positions, so every context of P_MIN or more sums up to at least P_MIN / 2, and no more than
-   2 DEPTH / P_MIN do.
-2. Counts: (symbol, context) pairs are summed per block, then per symbol bucket: the bucket of a symbol holds its counts
-   after every context, so all that a prediction needs about a symbol is in one place. These counts grow with the
-   corpus and stay distributed. A symbol with more than a bucket's fair share is spread by the first word of its context.
-3. Totals c(u), T(u) and the gain of each context are summed over buckets; one number per candidate reaches the driver.
-4. Scoring: a position whose word sequence is itself a candidate context is scored where it lies, as the sequence's
-   count is that context's total; so is the end symbol, whose counts are one number per context. What remains, no pair
-   of which makes up more than about P_MIN of all positions, travels as (symbol, state, document) with a count to its
-   symbol's bucket and returns as partial sums per document.
+How it runs. Blocks of documents become arrays of 64-bit word hashes. Every position goes to the bucket of the word
+before it, where all contexts that end with that word are counted, tested and used; no set of contexts is broadcast.
+1. Split contexts: one that makes up a large part of a bucket (at most 8 a bucket and depth) is divided among buckets by
+   the next older word, or if there is none by symbol and place. Only their keys and totals reach the driver.
+2. Shared counts: how often each symbol occurs (the root is split as well) and how often it follows each split context
+   is summed by symbol and sent to the buckets that need it. All counts of a symbol are in one place there, so the
+   divergence test of split contexts is summed over symbols; all other contexts lie whole in a bucket.
+3. Positions and shared counts meet in their bucket, which tests its contexts and scores its positions; the sums per
+   document return to the documents' block.
 
 Null and empty texts have the end symbol alone. A null document id counts as training text (its remainder is unknown).
 Repeated rows are documents of their own. Without training tokens every symbol has base probability 1. An empty table
@@ -31,7 +28,7 @@ gives an empty result. Other columns are ignored. Words are told apart by 64-bit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +42,12 @@ from .text import byte_runs, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
 P_MIN = 1e-5
+#: Occurrences that a state needs at most, however large the corpus.
+LEAST = 32
 GAIN = 0.01
 BLOCK_BYTES = 12 << 20
+#: Bytes of stored input for which there is a bucket.
+BUCKET_BYTES = 6 << 20
 END = np.uint64(0x1F0E3DCD97531ECA)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -82,277 +83,202 @@ class Block:
         return np.arange(len(self.symbol)) - np.repeat(self.begin[:-1], np.diff(self.begin))
 
 
-@dataclass
-class Contexts:
-    """All candidates, numbered from 1 in order of depth; 0 is the root."""
-
-    keys: list[np.ndarray]
-    first: list[int]
-    parent: np.ndarray
-    hot: np.ndarray
-
-    def __post_init__(self) -> None:
-        n = len(self.parent)
-        self.depth = np.zeros(n, np.int8)
-        for d, (k, f) in enumerate(zip(self.keys, self.first, strict=True), 1):
-            self.depth[f : f + len(k)] = d
-        self.ancestor = [np.zeros(n, np.int32)]
-        for d in range(1, DEPTH + 1):
-            own = np.where(self.depth == d, np.arange(n), 0).astype(np.int32)
-            for deeper in range(d + 1, DEPTH + 1):
-                here = self.depth == deeper
-                own[here] = own[self.parent[here]]
-            self.ancestor.append(own)
-
-    def states(self, block: Block) -> np.ndarray:
-        """The longest candidate before each symbol."""
-        state, before = np.zeros(len(block.symbol), np.int32), block.before()
-        open_ = np.arange(len(block.symbol))
-        for depth, key in block.contexts():
-            open_ = open_[before[open_] >= depth]
-            at = look_up(self.keys[depth - 1], key[open_])
-            open_, at = open_[at >= 0], at[at >= 0]
-            state[open_] = at + self.first[depth - 1]
-        return state
-
-    def bucket(self, symbol: np.ndarray, state: np.ndarray, buckets: int) -> np.ndarray:
-        spread = np.where(look_up(self.hot, symbol) >= 0, self.ancestor[1][state].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        return (mix(symbol + spread * _STEP) % np.uint64(buckets)).astype(np.int64)
-
-
 def _blocks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for i, j in byte_runs(batch.column(text), BLOCK_BYTES):
         part = batch.slice(i, j - i)
         yield part, Block.of(part.column(text))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, block in _blocks(batch, 0):
-            rows = [np.array([[0, 0, 0, len(block.symbol)]], np.int64)]
-            before, open_ = block.before(), np.arange(len(block.symbol))
-            least, parent = P_MIN / 2 * len(block.symbol), np.zeros(len(block.symbol), np.uint64)
-            for depth, key in block.contexts():
-                open_ = open_[before[open_] >= depth]
-                unique, index, inverse, count = np.unique(key[open_], return_index=True, return_inverse=True, return_counts=True)
-                heavy = count >= least
-                rows.append(np.column_stack([np.full(heavy.sum(), depth), unique[heavy].view(np.int64), parent[open_[index[heavy]]].view(np.int64), count[heavy]]))
-                open_, parent = open_[heavy[inverse]], key
-            yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T], ["depth", "key", "parent", "n"])
-
-
-def find_contexts(train: DataFrame, buckets: int) -> tuple[Contexts, int]:
-    """Candidates and the number of training symbols. ``train``: one column of texts."""
-    found = train.mapInArrow(_candidates, "depth long, key long, parent long, n long")
-    found = materialise(found.groupBy("depth", "key", "parent").agg(F.sum("n").alias("n")), "pst-candidates")
-    total = found.filter("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
-    rows = found.filter((F.col("depth") > 0) & (F.col("n") >= P_MIN / 2 * total)).toArrow()
-    columns = {c: rows[c].to_numpy() for c in rows.column_names}
-    keys, first, parent = [], [], [np.zeros(1, np.int32)]
-    for depth in range(1, DEPTH + 1):
-        here = np.flatnonzero(columns["depth"] == depth)
-        key, up = columns["key"][here].view(np.uint64), columns["parent"][here].view(np.uint64)
-        order = np.argsort(key)
-        key, up = key[order], up[order]
-        above = np.zeros(len(key), np.int64) if depth == 1 else look_up(keys[-1], up)
-        key, above = key[above >= 0], above[above >= 0]
-        first.append(sum(map(len, parent)))
-        parent.append((above + (first[-2] if depth > 1 else 0)).astype(np.int32))
-        keys.append(key)
-    # A symbol is hot if it alone is a large part of a bucket: the words behind the heaviest contexts of one word.
-    heavy = columns["key"][(columns["depth"] == 1) & (columns["n"] > total / (4 * buckets))].view(np.uint64)
-    return Contexts(keys, first, np.concatenate(parent), np.sort(_words_of(heavy))), int(total)
-
-
-_MIX_INVERSE = (pow(0xBF58476D1CE4E5B9, -1, 2**64), pow(0x94D049BB133111EB, -1, 2**64))
-
-
-def _words_of(key: np.ndarray) -> np.ndarray:
-    """Undo the key of a context of one word (the mixer is a bijection)."""
-    x = key ^ (key >> np.uint64(31)) ^ (key >> np.uint64(62))
-    x = x * np.uint64(_MIX_INVERSE[1])
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(_MIX_INVERSE[0])
-    x = x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
-    return x - np.uint64(1)
-
-
-def _by_bucket(bucket: np.ndarray, symbol: np.ndarray, state: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Cut entries sorted by symbol into one packed value per bucket."""
-    order = np.argsort(bucket, kind="stable")
-    edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        s = symbol[at]
-        new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        yield int(bucket[at[0]]), pack_many(s[new], np.diff(np.append(new, len(s))).astype(np.uint32), state[at].astype(np.uint32), *(m[at] for m in more), delta=(0,))
+def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context * _STEP + symbol)
 
 
-def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    symbol, size, state, *more = unpack_many(data)
-    return np.repeat(symbol, size), state.astype(np.int64), more
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, where each appears first, and for each entry the number of its value."""
+    coded = pa.array(x).dictionary_encode()
+    inverse = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[inverse[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return coded.dictionary.to_numpy(), first, inverse
 
 
-def _sum_pairs(symbol: np.ndarray, state: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Add up equal (symbol, state); sorted by symbol, then state."""
-    if not len(symbol):
-        return symbol, state, count
-    unique, rank = np.unique(symbol, return_inverse=True)
-    wide = np.int64(state.max()) + 1
-    code, inverse = np.unique(rank * wide + state, return_inverse=True)
-    return unique[code // wide], code % wide, np.bincount(inverse, count).astype(np.int64)
+def _narrow(x: np.ndarray, most: int) -> np.ndarray:
+    return x.astype(np.uint16 if most < 2**16 else np.uint32)
 
 
-def _counter(contexts, buckets: int) -> Callable:
+def _heavy(share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Contexts = contexts.value
         for batch in batches:
-            for _, block in _blocks(batch, 0):
-                symbol, state, count = _sum_pairs(block.symbol, known.states(block).astype(np.int64), np.ones(len(block.symbol), np.int64))
-                rows = list(_by_bucket(known.bucket(symbol, state, buckets), symbol, state, count.astype(np.uint32)))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+            for _, block in _blocks(batch, 2):
+                rows = [np.array([[0, 0, 0, len(block.symbol)]], np.int64)]
+                before, open_, parent = block.before(), np.arange(len(block.symbol)), np.zeros(len(block.symbol), np.uint64)
+                for depth, key in block.contexts():
+                    open_ = open_[before[open_] >= depth]
+                    unique, first, inverse = _distinct(key[open_])
+                    count = np.bincount(inverse, minlength=len(unique))
+                    heavy = count >= share * len(block.symbol)
+                    rows.append(np.column_stack([np.full(heavy.sum(), depth), unique[heavy].view(np.int64), parent[open_[first[heavy]]].view(np.int64), count[heavy]]))
+                    open_, parent = open_[heavy[inverse]], key
+                yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T], ["depth", "key", "parent", "n"])
 
     return run
 
 
-def _merge_counts(group: pa.Table) -> pa.Table:
-    parts = [_entries(d.as_buffer().to_pybytes()) for d in group["data"]]
-    symbol, state, count = _sum_pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2][0] for p in parts]).astype(np.int64))
-    packed = [x for _, x in _by_bucket(np.zeros(len(symbol), np.int64), symbol, state, count)]
-    return pa.table({"bucket": pa.array([group["bucket"][0].as_py()], pa.int32()), "data": pa.array(packed, pa.binary())})
+def find_split(rows: DataFrame, buckets: int) -> tuple[list[np.ndarray], dict[int, tuple[int, int]]]:
+    """By depth the sorted keys of contexts that make up 1 / (4 buckets) of all positions, and of some half as large;
+    depth and parent of each."""
+    share = 1 / (8 * buckets)
+    found = rows.mapInArrow(_heavy(share), "depth long, key long, parent long, n long").groupBy("depth", "key", "parent").agg(F.sum("n").alias("n"))
+    found = materialise(found, "pst-heavy")
+    total = found.filter("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    large = found.filter((F.col("depth") > 0) & (F.col("n") >= share * total)).toArrow()
+    depth, key, parent = large["depth"].to_numpy(), large["key"].to_numpy().view(np.uint64), large["parent"].to_numpy().view(np.uint64)
+    above = {k: (d, u) for d, k, u in zip(depth.tolist(), key.tolist(), parent.tolist(), strict=True)}
+    return [np.sort(key[depth == d]) for d in range(1, DEPTH + 1)], above
+
+
+@dataclass
+class Routed:
+    """Where the positions of a block go, with their contexts (0 where the text has fewer words) and how many of these,
+    from the shortest, are split."""
+
+    keys: list[np.ndarray]
+    known: np.ndarray
+    split: np.ndarray
+    bucket: np.ndarray
+
+    @classmethod
+    def of(cls, block: Block, hot: list[np.ndarray], buckets: int) -> Routed:
+        before = block.before()
+        keys, split = [], np.zeros(len(before), np.uint8)
+        size = np.repeat(np.diff(block.begin), np.diff(block.begin))
+        place = mix(block.symbol + before.astype(np.uint64) * _STEP + size.astype(np.uint64))
+        for depth, key in block.contexts():
+            here = before >= depth
+            open_ = here & (split == depth - 1)
+            place[open_] = mix(key[open_])
+            divided = open_.copy()
+            divided[open_] = look_up(hot[depth - 1], key[open_]) >= 0
+            split[divided] = depth
+            place[divided] = mix(block.symbol[divided] + before[divided].astype(np.uint64) * _STEP + size[divided].astype(np.uint64))
+            keys.append(np.where(here, key, np.uint64(0)))
+        return cls(keys, np.minimum(before, DEPTH).astype(np.uint8), split, (place % np.uint64(buckets)).astype(np.int64))
+
+
+def _cut(bucket: np.ndarray, *columns: np.ndarray, delta: tuple[int, ...] = ()) -> Iterator[tuple[int, bytes]]:
+    """One packed value per bucket, of columns sorted by bucket."""
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(bucket[a]), pack_many(*(c[a:b] for c in columns), delta=delta)
+
 
+def _tell(hot, buckets: int) -> Callable:
+    """What a block knows of shared counts, by the bucket of the symbol."""
 
-class Shard:
-    """One bucket's counts, rolled up: how often each of its symbols followed each context."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in _blocks(batch, 2):
+                routed = Routed.of(block, hot.value, buckets)
+                train = ~np.asarray(part.column(1))[block.document]
+                found = []
+                for depth in range(DEPTH + 1):
+                    here = np.flatnonzero(routed.split >= depth)
+                    symbol, bucket = block.symbol[here], routed.bucket[here]
+                    context = routed.keys[depth - 1][here] if depth else np.zeros(len(here), np.uint64)
+                    _, index, inverse = _distinct(mix(_pair(context, symbol) + bucket.astype(np.uint64)))
+                    found.append((symbol[index], context[index], bucket[index], np.bincount(inverse, train[here], len(index)).astype(np.int64)))
+                symbol, context, bucket, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                to = (mix(symbol) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((symbol, to))
+                rows = list(_cut(to[order], symbol[order], context[order], bucket[order].astype(np.uint32), n[order].astype(np.uint32), delta=(0,)))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
 
-    def __init__(self, data: bytes | None, contexts: Contexts):
-        symbol, state, more = _entries(data) if data is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.int64)])
-        self.contexts, self.wide = contexts, np.int64(len(contexts.parent))
-        self.symbols, rank = np.unique(symbol, return_inverse=True)
-        self.root = np.bincount(rank, more[0], len(self.symbols)).astype(np.int64)
-        self.level: list[tuple[np.ndarray, np.ndarray]] = []
-        for d in range(1, DEPTH + 1):
-            up = contexts.ancestor[d][state]
-            here = up > 0
-            code, inverse = np.unique(rank[here] * self.wide + up[here], return_inverse=True)
-            self.level.append((code, np.bincount(inverse, more[0][here], len(code)).astype(np.int64)))
+    return run
+
+
+def _share(group: pa.Table) -> pa.Table:
+    """Sum the counts of a bucket of symbols and send them where they are needed; in row -1 all, in row -2 the totals of
+    contexts."""
+    symbol, context, bucket, n = (np.concatenate(x) for x in zip(*(unpack_many(d.as_buffer().to_pybytes()) for d in group["data"]), strict=True))
+    pair, index, inverse = _distinct(_pair(context, symbol))
+    total = np.bincount(inverse, n, len(pair)).astype(np.int64)
+    context, symbol = context[index], symbol[index]
+    ids, _, of = _distinct(context)
+    about = pack_many(ids, np.bincount(of, total, len(ids)).astype(np.int64), np.bincount(of, total > 0, len(ids)).astype(np.int64))
+    by = np.argsort(symbol, kind="stable")
+    _, place, _ = _distinct(mix(pair[inverse] + bucket.astype(np.uint64)))
+    place = place[np.lexsort((pair[inverse[place]], bucket[place]))]
+    cut = _cut(bucket[place].astype(np.int64), pair[inverse[place]], total[inverse[place]].astype(np.uint32 if total.max() < 2**32 else np.int64), delta=(0,))
+    rows = [(-2, about), (-1, pack_many(symbol[by], context[by], total[by], delta=(0,))), *cut]
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(1):
+            ids, n, distinct = unpack_many(data.as_buffer().to_pybytes())
+            yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(n), pa.array(distinct)], ["key", "n", "distinct"])
 
 
 @dataclass
 class Totals:
-    """Per context: occurrences, distinct symbols, how often a text ended after it, whether it is a state; of the root: N
-    and V; counts of hot symbols."""
+    """The split contexts, the root (key 0) first: depth, parent's place, occurrences, distinct symbols, whether they are
+    states."""
 
+    keys: np.ndarray
+    depth: np.ndarray
+    parent: np.ndarray
     count: np.ndarray
     distinct: np.ndarray
-    ended: np.ndarray
-    retained: np.ndarray
-    n: int
-    v: int
-    hot: np.ndarray
-
-    def root_count(self, shard: Shard) -> np.ndarray:
-        at = look_up(shard.contexts.hot, shard.symbols)
-        return np.where(at >= 0, self.hot[at] if len(self.hot) else 0, shard.root)
+    least: float
+    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.n + 0.5 * (self.v + 1))
-
-    def probability(self, contexts: Contexts, state: np.ndarray, count: np.ndarray, seen: Callable) -> np.ndarray:
-        """P of symbols that occur ``count`` times; ``seen(d, rows, u)`` is how often those of ``rows`` followed u."""
-        p = self.root(count)
-        for d in range(1, DEPTH + 1):
-            up = contexts.ancestor[d][state]
-            here = np.flatnonzero((up > 0) & self.retained[up])
-            if not len(here):
-                continue
-            u = up[here]
-            p[here] = (seen(d, here, u) + self.distinct[u] * p[here]) / (self.count[u] + self.distinct[u])
-        return p
+        return (count + 0.5) / (self.count[0] + 0.5 * (self.distinct[0] + 1))
 
+    def tested(self, n: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability and gain of symbols seen ``n`` times in a context of ``c`` occurrences and ``t`` symbols."""
+        own = np.where(c > 0, (n + t * parent) / np.maximum(c + t, 1), parent)
+        left = t - (n == 1)
+        rest = c - 1 + left
+        out = np.where(rest > 0, (n - 1 + left * parent) / np.maximum(rest, 1), parent)
+        return own, np.where(n > 0, n * np.log(np.maximum(out, 1e-300) / parent), 0.0)
 
-def _totals(contexts) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Contexts = contexts.value
-        for batch in batches:
-            for data in batch.column(1):
-                shard = Shard(data.as_buffer().to_pybytes(), known)
-                hot = look_up(known.hot, shard.symbols)
-                rows = [np.array([[0, 0, shard.root.sum(), np.count_nonzero(hot < 0)]], np.int64)]
-                rows.append(np.column_stack([np.full((hot >= 0).sum(), 2), hot[hot >= 0], shard.root[hot >= 0], np.ones((hot >= 0).sum(), np.int64)]))
-                end = int(look_up(shard.symbols, np.array([END]))[0])
-                if end >= 0:
-                    rows.append(np.array([[3, 0, shard.root[end], 0]], np.int64))
-                for code, count in shard.level:
-                    last = code // shard.wide == end
-                    rows.append(np.column_stack([np.full(last.sum(), 3), code[last] % shard.wide, count[last], np.zeros(last.sum(), np.int64)]))
-                    ids, inverse = np.unique(code % shard.wide, return_inverse=True)
-                    rows.append(np.column_stack([np.ones(len(ids), np.int64), ids, np.bincount(inverse, count, len(ids)).astype(np.int64), np.bincount(inverse, minlength=len(ids))]))
-                yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T.astype(np.int64)], ["kind", "id", "n", "distinct"])
+    def states(self, gain: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (gain > GAIN * count) & (count >= self.least)
 
-    return run
 
+def _coded(words_: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Positions with their words (DEPTH + 1 columns of numbers) told by a list of the words that occur."""
+    used = np.zeros(len(words_), bool)
+    for c in columns[: DEPTH + 1]:
+        used[c] = True
+    number = np.cumsum(used) - 1
+    return pack_many(words_[used], *(_narrow(number[c], int(used.sum())) for c in columns[: DEPTH + 1]), *columns[DEPTH + 1 :], delta=(0, DEPTH + 2))
 
-def _gains(contexts, totals) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = contexts.value, totals.value
-        for batch in batches:
-            for data in batch.column(1):
-                shard = Shard(data.as_buffer().to_pybytes(), known)
-                root = total.root(total.root_count(shard))
-                above_code, above = np.zeros(0, np.int64), np.zeros(0)
-                for d, (code, count) in enumerate(shard.level, 1):
-                    ids, rank = code % shard.wide, code // shard.wide
-                    parent = root[rank] if d == 1 else above[look_up(above_code, rank * shard.wide + known.parent[ids])]
-                    c, t = total.count[ids], total.distinct[ids]
-                    own = (count + t * parent) / (c + t)
-                    left = t - (count == 1)
-                    rest = c - 1 + left
-                    out = np.where(rest > 0, (count - 1 + left * parent) / np.maximum(rest, 1), parent)
-                    gain = count * np.log(np.maximum(out, 1e-300) / parent)
-                    unique, inverse = np.unique(ids, return_inverse=True)
-                    yield pa.record_batch([pa.array(unique.astype(np.int64)), pa.array(np.bincount(inverse, gain, len(unique)).astype(float))], ["id", "gain"])
-                    above_code, above = code, own
 
-    return run
-
-
-def _poster(contexts, totals, buckets: int) -> Callable:
-    """Positions by symbol bucket; what is known of a block's documents goes along as kind 1."""
+def _post(hot, buckets: int) -> Callable:
+    """Positions by bucket; what is known of a block's documents goes along as kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = contexts.value, totals.value
-        state_of = np.arange(len(known.parent))
-        for d in range(1, DEPTH + 1):
-            weak = np.flatnonzero((known.depth == d) & ~total.retained)
-            state_of[weak] = state_of[known.parent[weak]]
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part, block in _blocks(batch, 2):
-                found, document = known.states(block), block.document
-                state, docs = state_of[found], np.int64(len(part))
-                following = np.append(found[1:], 0)
-                last = block.symbol == END
-                following[last] = 0
-                near = np.flatnonzero(known.depth[following] > known.depth[state])
-                after = following[near]
-                sums = np.zeros((3, len(part)))
-                for here, c, seen in (
-                    (near, total.count[known.ancestor[1][after]], lambda d, at, u, after=after: total.count[known.ancestor[d + 1][after[at]]]),
-                    (np.flatnonzero(last), np.full(last.sum(), total.ended[0]), lambda d, at, u: total.ended[u]),
-                ):
-                    p = total.probability(known, state[here], c, seen)
-                    for k, x in enumerate((np.log10(p), np.log10(total.root(c)), (c > 0).astype(float))):
-                        sums[k] += np.bincount(document[here], x, len(part))
-                away = ~last
-                away[near] = False
-                unique, rank = np.unique(block.symbol[away], return_inverse=True)
-                code, count = np.unique((rank * np.int64(len(state_of)) + state[away]) * docs + document[away], return_counts=True)
-                doc, code = code % docs, code // docs
-                symbol, state = unique[code // len(state_of)], code % len(state_of)
-                rows = list(_by_bucket(known.bucket(symbol, state, buckets), symbol, state, doc.astype(np.uint32), count.astype(np.uint32)))
+                routed, document = Routed.of(block, hot.value, buckets), block.document
+                train = ~np.asarray(part.column(1))[document]
+                words_, _, symbol = _distinct(block.symbol)
+                order = np.argsort(words_)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                words_, symbol = words_[order], rank[symbol]
+                older = [np.concatenate([np.zeros(min(d, len(symbol)), np.int64), symbol[:-d]]) for d in range(1, DEPTH + 1)]
+                columns = (symbol, *older, document.astype(np.uint32), routed.known, routed.split, train.astype(np.uint8))
+                order = np.argsort(routed.bucket, kind="stable")
+                bucket, columns = routed.bucket[order], [c[order] for c in columns]
+                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                rows = [(int(bucket[i]), _coded(words_, [c[i:j] for c in columns])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
                 ids = part.column(0)
-                about = pack_many(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(np.uint8), np.asarray(part.column(1)).astype(np.uint8), np.diff(block.begin), *sums)
+                about = pack_many(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(np.uint8), np.asarray(part.column(1)).astype(np.uint8), np.diff(block.begin))
                 n = len(rows)
                 yield pa.record_batch(
                     [pa.array([r[0] for r in rows] + [number % buckets], pa.int32()), pa.array([number] * (n + 1), pa.int64()), pa.array([0] * n + [1], pa.int32()), pa.array([r[1] for r in rows] + [about], pa.binary())],
@@ -363,30 +289,90 @@ def _poster(contexts, totals, buckets: int) -> Callable:
     return run
 
 
-def _scorer(contexts, totals) -> Callable:
-    def run(model: pa.Table, posts: pa.Table) -> pa.Table:
-        known, total = contexts.value, totals.value
-        shard = Shard(model["data"][0].as_buffer().to_pybytes() if len(model) else None, known)
-        root_count = np.append(total.root_count(shard), 0)
-        rows: list[tuple[int, int, int, bytes]] = []
-        for bucket, block, kind, data in zip(posts["bucket"], posts["block"], posts["kind"], posts["data"], strict=True):
-            raw = data.as_buffer().to_pybytes()
-            if kind.as_py() == 0:
-                symbol, state, (doc, count) = _entries(raw)
-                rank = look_up(shard.symbols, symbol)
-                c = root_count[rank]
-
-                def seen(d, here, u, rank=rank):
-                    code, n = shard.level[d - 1]
-                    at = np.where(rank[here] >= 0, look_up(code, rank[here] * shard.wide + u), -1)
-                    return np.where(at >= 0, n[at] if len(n) else 0, 0)
-
-                p, base = total.probability(known, state, c, seen), total.root(c)
-                docs, inverse = np.unique(doc, return_inverse=True)
-                raw = pack_many(docs, *(np.bincount(inverse, count * x, len(docs)) for x in (np.log10(p), np.log10(base), (c > 0).astype(float))), delta=(0,))
-            rows.append((bucket.as_py(), block.as_py(), kind.as_py(), raw))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "block", "kind", "data"])
+class Bucket:
+    """Positions of a bucket and the levels of contexts before them."""
+
+    def __init__(self, posts: list[list[np.ndarray]], shared: list[list[np.ndarray]], totals: Totals):
+        words_, _, number = _distinct(np.concatenate([p[0] for p in posts]))
+        starts = np.cumsum([0] + [len(p[0]) for p in posts])
+        symbol, *older = (np.concatenate([number[p[k].astype(np.int64) + at] for p, at in zip(posts, starts, strict=False)]) for k in range(1, DEPTH + 2))
+        self.document, self.known, self.split, train = (np.concatenate([p[k] for p in posts]) for k in range(DEPTH + 2, DEPTH + 6))
+        self.block = np.repeat(np.arange(len(posts)), [len(p[1]) for p in posts])
+        self.symbol, self.train, self.totals = words_[symbol], train.astype(float), totals
+        self.keys, key = [], np.zeros(len(symbol), np.uint64)
+        for depth, word in enumerate(older, 1):
+            key = mix(key * _STEP + words_[word] + np.uint64(depth))
+            self.keys.append(key)
+        pairs, counts = (np.concatenate([x[k] for x in shared]) for k in (0, 1))
+        order = np.argsort(pairs)
+        self.pairs, self.shared = pairs[order], counts[order].astype(np.int64)
+        self.seen = self.shared[look_up(self.pairs, _pair(np.zeros(len(words_), np.uint64), words_))][symbol]
+        self.root = totals.root(self.seen)
+
+    def score(self) -> np.ndarray:
+        """The probability of every position's symbol."""
+        full, p = self.root.copy(), self.root.copy()
+        for depth, key in enumerate(self.keys, 1):
+            here = np.flatnonzero(self.known >= depth)
+            pair, index, inverse = _distinct(_pair(key[here], self.symbol[here]))
+            first = here[index]
+            n = np.bincount(inverse, self.train[here], len(pair)).astype(np.int64)
+            split = np.flatnonzero(self.split[first] >= depth)
+            n[split] = self.shared[look_up(self.pairs, pair[split])]
+            ids, _, of = _distinct(key[first])
+            count, distinct = np.bincount(of, n, len(ids)).astype(np.int64), np.bincount(of, n > 0, len(ids)).astype(np.int64)
+            place = np.full(len(ids), -1)
+            place[of[split]] = look_up(self.totals.keys, key[first[split]])
+            known = place >= 0
+            count[known], distinct[known] = self.totals.count[place[known]], self.totals.distinct[place[known]]
+            own, gain = self.totals.tested(n, count[of], distinct[of], full[first])
+            full[here] = own[inverse]
+            state = self.totals.states(np.bincount(of, gain, len(ids)), count)
+            state[known] = self.totals.retained[place[known]]
+            used = state[of][inverse]
+            at, used = here[used], inverse[used]
+            u = of[used]
+            p[at] = (n[used] + distinct[u] * p[at]) / (count[u] + distinct[u])
+        return p
+
+
+def _gains(totals) -> Callable:
+    """Terms of the split contexts' divergence test, from all counts of a bucket of symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Totals = totals.value
+        for batch in batches:
+            for data in batch.column(1):
+                symbol, context, n = unpack_many(data.as_buffer().to_pybytes())
+                pair = _pair(context, symbol)
+                order = np.argsort(pair)
+                symbol, n, pair, place = symbol[order], n[order], pair[order], look_up(total.keys, context[order])
+                full = total.root(n)
+                for depth in range(1, DEPTH + 1):
+                    here = np.flatnonzero(total.depth[place] == depth)
+                    parent = total.keys[total.parent[place[here]]]
+                    u = place[here]
+                    full[here], gain = total.tested(n[here], total.count[u], total.distinct[u], full[look_up(pair, _pair(parent, symbol[here]))])
+                    ids, _, inverse = _distinct(u)
+                    yield pa.record_batch([pa.array(ids), pa.array(np.bincount(inverse, gain, len(ids)).astype(float))], ["id", "gain"])
+
+    return run
+
+
+def _scorer(totals) -> Callable:
+    def run(posts: pa.Table, shared: pa.Table) -> pa.Table:
+        kind, block, data = (posts[c].to_numpy() for c in ("kind", "block", "data"))
+        rows = [(int(block[i]), 1, data[i]) for i in np.flatnonzero(kind == 1)]
+        if (kind == 0).any():
+            own = np.flatnonzero(kind == 0)
+            bucket = Bucket([unpack_many(data[i]) for i in own], [unpack_many(d.as_buffer().to_pybytes()) for d in shared["data"]], totals.value)
+            p = bucket.score()
+            code, _, inverse = _distinct((bucket.block.astype(np.uint64) << np.uint64(32)) | bucket.document.astype(np.uint64))
+            sums = [np.bincount(inverse, x, len(code)) for x in (np.log10(p), np.log10(bucket.root), (bucket.seen > 0).astype(float))]
+            cut = _cut((code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), *sums, delta=(0,))
+            rows += [(int(block[own[k]]), 0, x) for k, x in cut]
+        number = posts["bucket"][0].as_py() if len(posts) else 0
+        return pa.table([pa.array([number] * len(rows), pa.int32()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], ["bucket", "block", "kind", "data"])
 
     return run
 
@@ -395,8 +381,8 @@ def _adder(train_tokens: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("kind", "descending"), ("bucket", "ascending")])
         raw = [d.as_buffer().to_pybytes() for d in group["data"]]
-        ids, null, held, n_tokens, *local = unpack_many(raw[0])
-        sums = np.stack(local)
+        ids, null, held, n_tokens = unpack_many(raw[0])
+        sums = np.zeros((3, len(ids)))
         for data in raw[1:]:
             doc, *parts = unpack_many(data)
             sums[:, doc] += np.stack(parts)
@@ -419,28 +405,27 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, doc_id:
     send = spark.sparkContext.broadcast
     out_of = F.coalesce(remainder(F.col(doc_id), modulus) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text).alias("text"))
-    train = rows.filter(~F.col("held_out")).select("text")
-    buckets = partitions_for(docs)
-    contexts, n = find_contexts(train, buckets)
-    known = send(contexts)
-    counts = train.mapInArrow(_counter(known, buckets), "bucket int, data binary")
-    model = materialise(counts.groupBy("bucket").applyInArrow(_merge_counts, "bucket int, data binary"), "pst-counts")
-
-    size = len(contexts.parent)
-    sums = model.mapInArrow(_totals(known), "kind long, id long, n long, distinct long").groupBy("kind", "id").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toArrow()
-    kind, ids, c, t = (sums[x].to_numpy() for x in ("kind", "id", "n", "distinct"))
-    count, distinct, ended, hot = (np.zeros(k, np.int64) for k in (size, size, size, len(contexts.hot)))
-    count[ids[kind == 1]], distinct[ids[kind == 1]], hot[ids[kind == 2]], ended[ids[kind == 3]] = c[kind == 1], t[kind == 1], c[kind == 2], c[kind == 3]
-    v = int(t[kind == 0].sum() + np.count_nonzero(hot))
-    totals = Totals(count, distinct, ended, np.zeros(size, bool), n, v, hot)
-    first = send(totals)
-    gains = model.mapInArrow(_gains(known, first), "id long, gain double").groupBy("id").agg(F.sum("gain").alias("gain")).toArrow()
-    gain = np.zeros(size)
+    buckets = partitions_for(docs, BUCKET_BYTES)
+    split, above = find_split(rows, buckets)
+    hot = send(split)
+    told = rows.mapInArrow(_tell(hot, buckets), "bucket int, data binary")
+    shared = materialise(told.groupBy("bucket").applyInArrow(_share, "bucket int, data binary"), "pst-shared")
+    sums = shared.filter("bucket = -2").mapInArrow(_totals, "key long, n long, distinct long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toArrow()
+    keys, count, distinct = (sums[x].to_numpy() for x in ("key", "n", "distinct"))
+    if not len(keys):
+        return spark.createDataFrame([], SCORES)
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    keys, count, distinct = keys[order], count[order], distinct[order]
+    depth, parent = (np.array([above.get(k, (0, 0))[i] for k in keys.tolist()], t) for i, t in ((0, np.int64), (1, np.uint64)))
+    n = int(count[0])
+    totals = Totals(keys, depth, look_up(keys, parent), count, distinct, min(P_MIN * n, LEAST))
+    gains = shared.filter("bucket = -1").mapInArrow(_gains(send(totals)), "id long, gain double").groupBy("id").agg(F.sum("gain").alias("gain")).toArrow()
+    gain = np.zeros(len(keys))
     gain[gains["id"].to_numpy()] = gains["gain"].to_numpy()
-    totals = Totals(count, distinct, ended, (gain > GAIN * count) & (count >= P_MIN * n), n, v, hot)
-    totals.retained[0] = False
+    totals.retained = totals.states(gain, totals.count)
 
-    final = send(totals)
-    posts = rows.mapInArrow(_poster(known, final, buckets), "bucket int, block long, kind int, data binary")
-    parts = model.groupBy("bucket").cogroup(posts.groupBy("bucket")).applyInArrow(_scorer(known, final), "bucket int, block long, kind int, data binary")
+    posts = rows.mapInArrow(_post(hot, buckets), "bucket int, block long, kind int, data binary")
+    met = posts.groupBy("bucket").cogroup(shared.filter("bucket >= 0").groupBy("bucket"))
+    parts = met.applyInArrow(_scorer(send(totals)), "bucket int, block long, kind int, data binary")
     return parts.groupBy("block").applyInArrow(_adder(n), SCORES)
