@@ -66,3 +66,50 @@ def test_sentences_are_normalised(name):
 
     s = L.SENTENCES[name]
     assert re.sub("[^a-z0-9]+", " ", s.lower()).strip() == s
+
+
+HEADED = "MIT License\n\nCopyright (c) 2020 X\n\n" + MIT
+ISC = """ISC License
+
+Copyright (c) 2020, X
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, X
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def commented(text):
+    return "".join(f" * {line}\n" for line in text.split("\n"))
+
+
+@pytest.mark.parametrize("dress", [str, commented, lambda t: t.replace("\n\n", "\n")])
+def test_published_files_with_headings(documents, dress):
+    files = [(1, HEADED, "MIT"), (2, ISC, "ISC"), (3, BSD, "BSD-3-Clause BSD-style"), (4, MPL, "MPL-2.0"), (5, "See part v. Released under the MIT License.", "MIT")]
+    found = {r["doc_id"]: r for r in L.scan_licenses(documents([(d, dress(t)) for d, t, _ in files])).collect()}
+    assert {d: r["licenses"] for d, r in found.items()} == {d: want for d, _, want in files}
+    assert found[1]["sentence_ids"] == "mit.title2 mit.grant mit.notice mit.warranty"

@@ -1,13 +1,14 @@
 """Licence scan by sentence rules, with DataFrame functions only and without a shuffle.
 
-A text is cut into sentences at ``. ; : ! ?`` before white space; a sentence that spans lines counts as a whole and
-line by line. Sentences are normalised (A-Z lowered, runs of other characters than a-z and 0-9 become one space) and
+A text is cut into sentences at ``. ; : ! ?`` before white space, but not in ``v. 2.0``; a sentence that spans lines
+counts as a whole and line by line. If its paragraphs, and what follows a title or copyright line in them, hold known
+sentences besides, it counts by these and by the lines of the others. Sentences are normalised (A-Z lowered, runs of other characters than a-z and 0-9 become one space) and
 looked up among known licence sentences; the identifiers found, in order, form the document's sequence. A rule is a
 sequence of identifiers that must occur in this order, other sentences between them allowed; all rules that match name
 their licence.
 
 The rows are those of the input. Null and empty texts, and texts without a licence, have no identifiers and no licence
-(empty strings, 0). Nothing depends on the text's length; repeated rows are reported each; other columns are ignored.
+(empty strings, 0). ``ORACLE_SQL`` cuts at stops and lines only, so it lacks what paragraphs add. Nothing depends on the text's length; repeated rows are reported each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,6 +109,13 @@ ANCHORS = ("licen", "permission", "redistribut", "software")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOP = r"[.;:!?]+([ \t\n\r\f]|\z)"
+_STOP_NOT_IN_VERSION = r"(?!(?<=\b[vV])\.[ \t\n\r\f][^A-Za-z0-9]*[0-9])" + _STOP
+_BLANK = r"\n([^A-Za-z0-9\n]*\n)+"
+#: Lines that end without a stop and aren't part of the sentence below: copyright, rights reserved, title.
+_HEAD = (
+    r"(?im)^[^a-z0-9\n]*(copyright\b(?![^a-z0-9\n]*(notice|holder|owner|law)s?\b)[^\n]*|\(c\)[^\n]*|\u00a9[^\n]*|all rights reserved[^\n]*"
+    r"|[^\n]{0,60}\blicen[sc]e\b( \([a-z0-9 .-]+\))?(,? v(ersion)?\.? ?[0-9.]+)?[^a-z0-9\n]*)$"
+)
 
 
 def _normalised(c: Column) -> Column:
@@ -121,10 +129,23 @@ def _pattern(rule: tuple[str, ...]) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    cut = F.split(F.regexp_replace(text, _STOP, "\x01"), "\x01")
-    forms = F.flatten(F.transform(cut, lambda s: F.when(s.contains("\n"), F.concat(F.array(s), F.split(s, "\n"))).otherwise(F.array(s))))
-    short = F.filter(forms, lambda s: (F.length(s) >= 3) & (F.length(s) <= 2 * max(map(len, SENTENCES.values()))))
-    return F.filter(F.transform(short, lambda s: F.try_element_at(known, _normalised(s))), lambda i: i.isNotNull())
+    found = lambda s: F.when((F.length(s) >= 3) & (F.length(s) <= 2 * max(map(len, SENTENCES.values()))), F.try_element_at(known, _normalised(s)))
+    ids = lambda forms: F.filter(F.transform(forms, found), lambda i: i.isNotNull())
+    lines = lambda s: F.split(s, "\n")
+    whole_or = lambda s, parts: F.when(found(s).isNotNull(), F.array(found(s))).otherwise(parts)
+
+    def below_heads(s: Column) -> Column:
+        parts = F.split(F.regexp_replace(s, _HEAD, "$0\x02"), "\x02")
+        return F.flatten(F.transform(parts, lambda p: whole_or(p, ids(lines(p)))))
+
+    def of(s: Column) -> Column:
+        plain = ids(F.concat(F.array(s), lines(s)))
+        parts = F.flatten(F.transform(F.split(s, _BLANK), lambda p: whole_or(p, below_heads(p))))
+        more = found(s).isNull() & (F.size(F.array_except(parts, plain)) > 0)
+        return F.when(~s.contains("\n"), ids(F.array(s))).when(more, parts).otherwise(plain)
+
+    cut = F.split(F.regexp_replace(text, _STOP_NOT_IN_VERSION, "\x01"), "\x01")
+    return F.flatten(F.transform(cut, of))
 
 
 def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
