@@ -113,3 +113,9 @@ def test_published_files_with_headings(documents, dress):
     found = {r["doc_id"]: r for r in L.scan_licenses(documents([(d, dress(t)) for d, t, _ in files])).collect()}
     assert {d: r["licenses"] for d, r in found.items()} == {d: want for d, _, want in files}
     assert found[1]["sentence_ids"] == "mit.title2 mit.grant mit.notice mit.warranty"
+
+
+def test_grant_in_a_wide_comment_box(documents):
+    boxed = "".join("#" + " " * 60 + f"{line:<90}" + "#\n" for line in MIT.split("\n"))
+    r = L.scan_licenses(documents([(1, boxed)])).collect()[0]
+    assert (r["licenses"], r["sentence_ids"]) == ("MIT", "mit.grant mit.notice mit.warranty")

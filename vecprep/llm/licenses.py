@@ -2,13 +2,15 @@
 
 A text is cut into sentences at ``. ; : ! ?`` before white space, but not in ``v. 2.0``; a sentence that spans lines
 counts as a whole and line by line. If its paragraphs, and what follows a title or copyright line in them, hold known
-sentences besides, it counts by these and by the lines of the others. Sentences are normalised (A-Z lowered, runs of other characters than a-z and 0-9 become one space) and
-looked up among known licence sentences; the identifiers found, in order, form the document's sequence. A rule is a
-sequence of identifiers that must occur in this order, other sentences between them allowed; all rules that match name
+sentences besides, it counts by these and by the lines of the others. Sentences are normalised (A-Z lowered, runs of
+other characters than a-z and 0-9 become one space) and looked up among known licence sentences; the identifiers found,
+in order, form the document's sequence. A rule is a sequence of identifiers that must occur in this order, other sentences between them allowed; all rules that match name
 their licence.
 
 The rows are those of the input. Null and empty texts, and texts without a licence, have no identifiers and no licence
-(empty strings, 0). ``ORACLE_SQL`` cuts at stops and lines only, so it lacks what paragraphs add. Nothing depends on the text's length; repeated rows are reported each; other columns are ignored.
+(empty strings, 0). ``ORACLE_SQL`` cuts at stops and lines only, so it lacks what paragraphs add; nor does it look up
+forms of over 828 raw characters. Nothing depends on the text's length; repeated rows are reported each; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ def _pattern(rule: tuple[str, ...]) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    found = lambda s: F.when((F.length(s) >= 3) & (F.length(s) <= 2 * max(map(len, SENTENCES.values()))), F.try_element_at(known, _normalised(s)))
+    found = lambda s: F.try_element_at(known, _normalised(s))
     ids = lambda forms: F.filter(F.transform(forms, found), lambda i: i.isNotNull())
     lines = lambda s: F.split(s, "\n")
     whole_or = lambda s, parts: F.when(found(s).isNotNull(), F.array(found(s))).otherwise(parts)
