@@ -144,3 +144,9 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 90, 90: 90, 95: 90, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_classes_with_a_common_id_are_one_component(documents):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z"), (8, "k l m n o p"), (9, "k l m n o p"), (9, "u v w x y z")]
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(documents(rows)).collect())
+    assert found == [(d, 3, d == 3) for d in (3, 5, 5, 7, 8, 9, 9)]
