@@ -132,3 +132,11 @@ def test_max_score_sql_and_corners(embeddings):
     assert max_score.top_k(embeddings([]), "_id % 50 = 0").collect() == []
     assert max_score.top_k(embeddings([(50, [1.0])]), "_id % 50 = 0").collect() == []
     assert max_score.top_k(embeddings([(50, [1.0]), (50, [1.0]), (51, [1.0])]), "_id % 50 = 0").count() == 1
+
+
+def test_lengths_without_trees_have_single_leaves():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [2.0, 4.0]])], ["rep", "vector"])
+    found = [(dim, t, leaf, part["rep"].to_pylist()) for dim, t, leaf, part in projection_forest._leaves(iter([batch]), {3: [projection_forest.Tree(np.zeros((0, 3)), 1)]})]
+    assert found == [(2, t, 0, [1, 3]) for t in range(projection_forest.TREES)] + [(3, 0, 0, [2])]

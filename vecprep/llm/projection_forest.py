@@ -139,8 +139,11 @@ def _leaves(batches: Iterator[pa.RecordBatch], forest: dict[int, list[Tree]]) ->
         size = np.asarray(batch.column(1).value_lengths())
         for dim in np.unique(size):
             part = batch.filter(pa.array(size == dim))
+            if int(dim) not in forest:
+                yield from ((int(dim), t, 0, part) for t in range(TREES))
+                continue
             x = unit(matrix(part.column(1)))
-            for t, tree in enumerate(forest.get(int(dim), [])):
+            for t, tree in enumerate(forest[int(dim)]):
                 for leaf, rows in tree.leaves(x):
                     yield int(dim), t, leaf, part.take(pa.array(rows))
 
@@ -181,7 +184,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(classes: DataFrame) -> dict[int, list[Tree]]:
-    """Trees by vector length, fitted on a bounded sample; a length that the sample lacks has single leaves."""
+    """Trees by vector length, fitted on a bounded sample; a length that the sample lacks, or beyond 1000
+    lengths, has single leaves."""
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
     sample = sample if isinstance(sample, pa.Array) else sample.chunk(0)
