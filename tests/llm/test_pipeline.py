@@ -1,12 +1,63 @@
 """The stages against brute-force versions of what each must keep."""
 
+import hashlib
+import itertools
+import re
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from vecprep.llm import minhash, mixing, piece_sampling, quality, toxicity  # noqa: E402
+from vecprep.llm import minhash, piece_sampling, quality, toxicity  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_kept(texts, percent):
+    """Least id of each component of documents that share ``percent`` of the union of their five-word shingles."""
+    sets, parent = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return [i for i in texts if find(i) == i]
+
+
+def brute_copies(rows):
+    """Ids of (id, source, words), each as often as the mix takes the document."""
+    by = defaultdict(list)
+    for i, source, size in rows:
+        by[source].append((hashlib.md5(f"{i}:17".encode()).hexdigest(), i, size))
+    names = sorted(by, key=lambda s: (s is None, s))
+    total, weight = {s: sum(x[2] for x in by[s]) for s in names}, {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), sum(total.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * total[s]}
+        target |= {s: 3.0 * total[s] if s in full else level * weight[s] for s in (full or open_)}
+        left -= sum(3 * total[s] for s in full)
+        open_ = open_ - full if full else set()
+    out = []
+    for s in names:
+        demand, start = int(target[s] + 0.5), 0
+        passes = demand // total[s] if total[s] else 0
+        for _, i, size in sorted(by[s]):
+            rest = demand - passes * total[s] - start
+            out += [i] * (passes + (rest > 0 and 2 * rest >= size))
+            start += size
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +88,9 @@ def test_stages(spark, tables, tmp_path):
             model = toxicity.train_toxicity(docs, labels)
             want = [r["doc_id"] for r in docs.collect() if model(_column(r["text"]))[0] < 0.5]
         elif name == "near_duplicates":
-            want = [r["doc_id"] for r in minhash.near_duplicates(docs).filter("kept").collect()]
+            want = brute_kept({r["doc_id"]: r["text"] for r in docs.collect()}, corpus_pipeline.SIMILAR_PERCENT)
         elif name == "mixing":
-            want = [r["doc_id"] for r in mixing.mix(docs).collect() for _ in range(r["copies"])]
+            want = brute_copies([(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.collect()])
         else:
             texts = {r["doc_id"]: r["text"] for r in docs.collect()}
             back = piece_sampling.decoded_texts(out, corpus_pipeline.public_tokenizers.path(corpus_pipeline.PIECES)).collect()

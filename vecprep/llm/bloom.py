@@ -7,10 +7,13 @@ through more rows than wanted, which costs work and no correctness.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .text import mix
 
@@ -24,6 +27,10 @@ class Bloom:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
+    def mask(self, ids: pa.Array) -> pa.Array:
+        """Which ids may be in the filter; null isn't."""
+        return pa.array(self.may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~np.asarray(ids.is_null()))
+
     def may_hold(self, ids: np.ndarray) -> np.ndarray:
         place = places(ids, len(self.bits) * 8)
         return (self.bits[place >> 3] >> (place & 7) & 1).all(axis=0)
@@ -59,29 +66,19 @@ def bloom_of(ids: DataFrame) -> Bloom:
     return Bloom(out)
 
 
-def split_rows(df: DataFrame, column: str, bloom: Bloom) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id surely isn't in the filter (or is null), and those that may be in it; columns as they are."""
-    held, place = df.sparkSession.sparkContext.broadcast(bloom), df.columns.index(column)
-
-    def take(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(place)
-                inside = held.value.may_hold(ids.cast(pa.int64()).fill_null(0).to_numpy()) & ~np.asarray(ids.is_null())
-                yield b.filter(pa.array(inside == wanted))
-
-        return run
-
-    return df.mapInArrow(take(False), df.schema), df.mapInArrow(take(True), df.schema)
-
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id is in ``gone`` (one column of distinct longs); only rows that may be are joined.
 
-def rows_in(df: DataFrame, column: str, bloom: Bloom) -> DataFrame:
-    return split_rows(df, column, bloom)[1]
+    Python sees the ids alone; the other columns stay where they are.
+    """
+    held = df.sparkSession.sparkContext.broadcast(bloom_of(gone))
 
+    @F.pandas_udf("boolean")
+    def doubtful(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(held.value.mask(pa.array(ids, pa.int64(), from_pandas=True))))
 
-def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose id is in ``gone`` (one column of distinct longs); only rows that may be are joined."""
-    clear, doubtful = split_rows(df, column, bloom_of(gone))
-    name = gone.columns[0]
+    name, mark = gone.columns[0], f"_doubtful_{uuid4().hex}"
+    marked = df.withColumn(mark, doubtful(F.col(column).cast("long")))
     gone = gone.withColumnRenamed(name, "_gone_id")
-    return clear.unionByName(doubtful.join(gone, doubtful[column] == gone["_gone_id"], "left_anti"))
+    met = marked.filter(mark).join(gone, F.col(column) == gone["_gone_id"], "left_anti")
+    return marked.filter(~F.col(mark)).unionByName(met).drop(mark)

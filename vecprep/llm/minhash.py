@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_of, rows_in, without
+from .bloom import bloom_of, without
 from .components import connected_components
 from .storage import materialise, partitions_for
 from .text import byte_runs, mix, words
@@ -226,8 +226,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterat
         yield from pairs(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(wanted.value.mask(batch.column(0)))
         for i, j in byte_runs(batch.column(1), BLOCK_BYTES):
             sets, at = shingle_sets(batch.column(1).slice(i, j - i))
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "members"])
@@ -267,7 +268,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
     members = keyed.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_centres, STARS)
     members = materialise(members.select("key", "rep", "signature"), "minhash-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = rows_in(rows, "doc_id", bloom_of(wanted)).mapInArrow(_sets, "doc_id long, members array<long>")
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted))
+    sets = rows.mapInArrow(partial(_sets, wanted=bloom), "doc_id long, members array<long>")
     sets = materialise(sets.filter(F.size("members") > 0).distinct(), "minhash-sets")
     # How many of its shingles a document shares with any other candidate: all but those that occur in it alone.
     alone = sets.select("doc_id", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))

@@ -8,12 +8,12 @@ over the vocabulary, so few pieces and early merges are preferred and every segm
 
 No piece but runs of spaces has a space after its first character, so the lattice falls apart at every step from a
 non-space to a space, and also around line feeds: those chunks are filtered once per distinct chunk of a block of texts
-and sampled for every occurrence. Forward filtering sums the weight of all segmentations up to each byte; backward
+(a Python worker remembers those that recur) and sampled for every occurrence. Forward filtering sums the weight of all segmentations up to each byte; backward
 sampling starts at the chunk's end and draws, step by step, the edge that ended there with probability proportional to
 (weight up to its start) * (its weight). All occurrences take their steps together.
 
-The random numbers are hashes of (seed, row key, chunk's place in the text, byte in the chunk): a row's segmentation
-depends on its key and text alone, not on partitions or retries.
+The random numbers are hashes of (seed, row key, chunk's place in the text, byte in the chunk), and shares are summed node
+by node: a row's segmentation depends on its key and text alone, bit by bit, not on its neighbours, partitions or retries.
 
 Decoding joins the pieces, byte pieces as bytes, turns U+2581 into spaces and drops the one in front. Null and empty
 texts have no pieces and decode to the empty text. A null key counts as 0. Repeated rows get equal segmentations. Very
@@ -36,9 +36,14 @@ ALPHA = 0.002
 #: Scores below this mark pieces outside the ranking (runs of spaces); they weigh as little as the last rank.
 UNRANKED = -1e8
 SEED = 20240229
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Lattice bytes of distinct chunks that are filtered together.
-FILTER_BYTES = 3 << 16
+FILTER_BYTES = 1 << 16
+#: Lattice nodes that a Python worker keeps for chunks that recur (about 40 bytes each).
+KEPT_NODES = 1 << 19
+#: Occurrences whose pieces are drawn together.
+DRAWN = 1 << 15
+FILTER_BITS = 18
 
 
 class Pieces:
@@ -63,22 +68,24 @@ class Pieces:
                 # Spaces are single bytes inside the lattice; U+2581 in the text is spelt by bytes.
                 self.bytes.append(piece.replace("▁", " ").encode())
                 normal.append((self.bytes[-1], i, model.get_score(i)))
-        self.byte_id = np.array([byte_of[b] for b in range(256)], np.int64)
+        self.byte_id = np.array([byte_of[b] for b in range(256)], np.int32)
         lowest = min((s for _, _, s in normal if s > UNRANKED), default=0.0)
         total = sum(float(np.exp(alpha * max(s, lowest))) for _, _, s in normal) or 1.0
-        self.byte_weight = float(np.exp(alpha * (lowest - 1))) / total
+        self.byte_log_weight = alpha * (lowest - 1) - float(np.log(total))
         single = {p.decode() for p, _, _ in normal if len(p.decode()) == 1}
         lengths: dict[int, list[tuple[bytes, int, float]]] = {}
         for p, i, s in normal:
-            lengths.setdefault(len(p), []).append((p, i, float(np.exp(alpha * max(s, lowest))) / total))
-        self.by_length = {}
-        for size, items in sorted(lengths.items()):
-            data = np.frombuffer(b"".join(p for p, _, _ in items), np.uint8)
-            at = np.arange(len(items)) * size
-            keys = segment_hashes(data, at, at + size, fold=False)
-            order = np.argsort(keys)
-            self.by_length[size] = (keys[order], np.array([items[k][1] for k in order]), np.array([items[k][2] for k in order]), self._filter(keys))
-        self.lone = {size: np.sort(segment_hashes(np.frombuffer(b"".join(x), np.uint8), np.arange(len(x)) * size, np.arange(len(x)) * size + size, fold=False)) for size in (1, 2, 3, 4) if (x := [c.encode() for c in single if len(c.encode()) == size])}
+            lengths.setdefault(len(p), []).append((p, i, alpha * max(s, lowest) - float(np.log(total))))
+        self.longest = max(lengths, default=0)
+        self.by_length, self.opening = {}, {}
+        for size in range(1, self.longest + 1):
+            heads = sorted({p[:size] for p, _, _ in normal if len(p) >= size})
+            self.opening[size] = self._filter(_hashes(heads, size))
+            if items := lengths.get(size):
+                keys = _hashes([p for p, _, _ in items], size)
+                order = np.argsort(keys)
+                self.by_length[size] = (keys[order], np.array([items[k][1] for k in order], np.int32), np.array([items[k][2] for k in order]))
+        self.lone = {size: np.sort(_hashes(x, size)) for size in (1, 2, 3, 4) if (x := [c.encode() for c in single if len(c.encode()) == size])}
         # Bytes that occur in no piece of several bytes end a chunk on both sides.
         inside = np.zeros(256, bool)
         for p, _, _ in normal:
@@ -92,12 +99,17 @@ class Pieces:
 
     @staticmethod
     def _filter(keys: np.ndarray) -> np.ndarray:
-        """A bit per 20-bit prefix: most substrings are ruled out by it."""
-        seen = np.zeros(1 << 20, bool)
-        seen[(keys >> np.uint64(44)).astype(np.int64)] = True
+        """Whether a hash's leading bits are those of some opening of a piece: few substrings go on beyond it."""
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         return seen
 
 
+def _hashes(items: list[bytes], size: int) -> np.ndarray:
+    at = np.arange(len(items)) * size
+    return segment_hashes(np.frombuffer(b"".join(items), np.uint8), at, at + size, fold=False)
+
+
 def _salt(size: int) -> np.uint64:
     """What ``segment_hashes`` adds for a length."""
     return np.uint64(size * 0xD6E8FEB86659FD93 % 2**64)
@@ -112,80 +124,96 @@ def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-class Lattice:
-    """Forward-filtered lattices of many chunks laid end to end (``data``, chunk k is begin[k]:begin[k + 1])."""
-
-    def __init__(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray):
-        n = len(data)
-        chunk = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-        stop = begin[1:][chunk]
-        sums, inverse = prefix_sums(data)
-        start, end, piece, weight = [], [], [], []
-        boundary = (data & 0xC0) != 0x80
-        for size, (keys, ids, weights, seen) in pieces.by_length.items():
-            at = np.flatnonzero(boundary & (np.arange(n) + size <= stop)) if n else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            h = mix((sums[at + size] - sums[at]) * inverse[at] + _salt(size))
-            maybe = seen[(h >> np.uint64(44)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
+def _edges(pieces: Pieces, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size, piece and log weight of every edge; an edge at byte i ends before ``stop[i]`` or there."""
+    n = len(data)
+    sums, inverse = prefix_sums(data)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(np.append(lead, n))
+    start, size_of, piece, weight = [], [], [], []
+    open_, bare = np.arange(len(lead)), np.ones(len(lead), bool)  # characters that may open a piece of this size
+    for size in range(1, pieces.longest + 1):
+        open_ = open_[lead[open_] + size <= stop[lead[open_]]]
+        at = lead[open_]
+        h = mix((sums[at + size] - sums[at]) * inverse[at] + _salt(size))
+        going = pieces.opening[size][(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+        open_, at, h = open_[going], at[going], h[going]
+        if size in pieces.lone:
+            whole = width[open_] == size
+            bare[open_[whole]] = look_up(pieces.lone[size], h[whole]) < 0
+        if size in pieces.by_length and len(at):
+            keys, ids, weights = pieces.by_length[size]
             k = look_up(keys, h)
-            at, k = at[k >= 0], k[k >= 0]
-            start.append(at)
-            end.append(at + size)
-            piece.append(ids[k])
-            weight.append(weights[k])
-        # Characters without a piece of their own: each byte is an edge.
-        lead = np.flatnonzero(boundary)
-        size = np.diff(np.append(lead, n))
-        bare = np.ones(len(lead), bool)
-        for s, keys in pieces.lone.items():
-            here = np.flatnonzero(size == s)
-            h = mix((sums[lead[here] + s] - sums[lead[here]]) * inverse[lead[here]] + _salt(s))
-            bare[here] = look_up(keys, h) < 0
-        spelt = np.repeat(bare, size) if len(lead) else np.zeros(0, bool)
-        at = np.flatnonzero(spelt)
-        start.append(at)
-        end.append(at + 1)
-        piece.append(pieces.byte_id[data[at]])
-        weight.append(np.full(len(at), pieces.byte_weight))
-        start, end, piece, weight = (np.concatenate(x) for x in (start, end, piece, weight))
-        # Nodes: the end of byte i is node i; a chunk's start has weight 1.
-        step = end - begin[chunk[start]] if n else end
-        order = np.lexsort((start, end, step))
-        start, end, piece, weight, step = start[order], end[order], piece[order], weight[order], step[order]
-        log_total = np.full(n, -np.inf)
-        share = np.zeros(len(start))
-        first = begin[chunk[start]] == start if n else np.zeros(0, bool)
-        log_weight = np.log(weight)
-        edges = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            value = np.where(first[a:b], 0.0, log_total[np.maximum(start[a:b] - 1, 0)]) + log_weight[a:b]
-            node = np.flatnonzero(np.diff(end[a:b], prepend=-1))
-            top = np.maximum.reduceat(value, node)
+            hit = k >= 0
+            start.append(at[hit])
+            size_of.append(np.full(int(hit.sum()), size, np.int64))
+            piece.append(ids[k[hit]])
+            weight.append(weights[k[hit]])
+    # Characters without a piece of their own: each byte is an edge.
+    at = np.flatnonzero(np.repeat(bare, width)) if len(lead) else np.zeros(0, np.int64)
+    start.append(at)
+    size_of.append(np.ones(len(at), np.int64))
+    piece.append(pieces.byte_id[data[at]])
+    weight.append(np.full(len(at), pieces.byte_log_weight))
+    return tuple(np.concatenate(x) for x in (start, size_of, piece, weight))  # type: ignore[return-value]
+
+
+class Lattice:
+    """Forward-filtered lattices of chunks, one after the other.
+
+    A chunk of n bytes has n + 1 nodes, one before each byte and one at its end. ``edge[v]:edge[v + 1]`` are the edges that
+    end in node v, with their pieces and running shares: shares are summed node by node, so they depend on the chunk alone.
+    """
+
+    def __init__(self) -> None:
+        self.edge = np.zeros(1, np.int64)
+        self.piece, self.running = np.zeros(0, np.int32), np.zeros(0)
+
+    @property
+    def nodes(self) -> int:
+        return len(self.edge) - 1
+
+    def add(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Filter further chunks (chunk k is ``data[begin[k]:begin[k + 1]]``); the last node of each."""
+        size = np.diff(begin)
+        chunk = np.repeat(np.arange(len(size)), size)
+        start, length, piece, weight = _edges(pieces, data, begin[1:][chunk])
+        end = start + length + chunk[start]  # nodes: a place in the data, plus one for each chunk before
+        nodes = len(data) + len(size)
+        order = np.argsort(end * 256 + length, kind="stable")
+        end, length, piece, weight = end[order], length[order], piece[order], weight[order]
+        edge = np.searchsorted(end, np.arange(nodes + 1))
+        first = begin[:-1] + np.arange(len(size))
+        step = end - np.repeat(first, size + 1)[end]
+        by_step = np.argsort(step.astype(np.uint16) if size.max(initial=0) < 1 << 16 else step, kind="stable")
+        log_total = np.full(nodes, -np.inf)
+        log_total[first] = 0.0
+        share = np.zeros(len(end))
+        cuts = np.append(np.flatnonzero(np.diff(step[by_step], prepend=-1)), len(step))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            here = by_step[a:b]
+            into = end[here]
+            value = log_total[into - length[here]] + weight[here]
+            node = np.flatnonzero(np.diff(into, prepend=-1))
             spread = np.diff(np.append(node, b - a))
-            part = np.exp(value - np.repeat(np.where(np.isfinite(top), top, 0.0), spread))
-            total = np.add.reduceat(part, node)
-            log_total[end[a:b][node] - 1] = np.where(total > 0, np.log(np.maximum(total, 1e-300)) + top, -np.inf)
-            share[a:b] = part / np.repeat(np.maximum(total, 1e-300), spread)
-        # Edges by the node where they end, with running shares: node + running share ascends over all edges.
-        order = np.lexsort((start, end))
-        self.start, self.piece, share, self.end = start[order], piece[order], share[order], end[order]
-        self.edge = np.searchsorted(self.end, np.arange(1, n + 2))
-        running = np.cumsum(share)
-        before = np.concatenate([[0.0], running])[self.edge[:-1]]
-        self.running = (running - before[self.end - 1]) if n else running
-        self.begin = begin
-
-    def sample(self, which: np.ndarray, random: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence of a chunk its pieces in order: (occurrence, piece), sorted by occurrence."""
-        node, low = self.begin[which + 1].copy(), self.begin[which]
-        open_ = np.arange(len(which))
-        found, rounds = [], 0
+            top = np.maximum.reduceat(value, node)
+            part = np.exp(value - np.repeat(top, spread))
+            total, running = _running(part, node, spread)
+            log_total[into[node]] = np.log(total) + top
+            share[here] = running / np.repeat(total, spread)
+        self.edge = np.concatenate([self.edge, edge[1:] + self.edge[-1]])
+        self.piece, self.running = np.concatenate([self.piece, piece]), np.concatenate([self.running, share])
+        return self.nodes - nodes + first + size
+
+    def sample(self, pieces: Pieces, last: np.ndarray, size: np.ndarray, random: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each occurrence of a chunk (its last node, its size) the pieces in order, and where each occurrence's begin."""
+        left = size.copy()
+        open_ = np.arange(len(last))
+        found, turns = [], np.zeros(len(last), np.int64)
         while len(open_):
-            at = node[open_]
-            u = random(open_, at - low[open_])
-            lo, hi = self.edge[at - 1], self.edge[at] - 1
+            at = last[open_] - size[open_] + left[open_]
+            u = random(open_, left[open_])
+            lo, hi = self.edge[at], self.edge[at + 1] - 1
             u = u * self.running[hi]
             while True:  # bisect all at once: the first edge whose running share exceeds u
                 todo = lo < hi
@@ -195,13 +223,27 @@ class Lattice:
                 right = todo & (self.running[middle] <= u)
                 lo = np.where(right, middle + 1, lo)
                 hi = np.where(todo & ~right, middle, hi)
-            found.append((open_, self.piece[lo], np.full(len(open_), rounds)))
-            node[open_] = self.start[lo]
-            open_ = open_[self.start[lo] > low[open_]]
-            rounds += 1
-        occurrence, piece, turn = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((-turn, occurrence))
-        return occurrence[order], piece[order]
+            piece = self.piece[lo]
+            found.append((open_, piece))
+            turns[open_] += 1
+            left[open_] -= pieces.length[piece]
+            open_ = open_[left[open_] > 0]
+        at = np.concatenate([[0], np.cumsum(turns)])
+        out = np.zeros(int(at[-1]), np.int32)
+        for turn, (which, piece) in enumerate(found):  # drawn from the end
+            out[at[which + 1] - 1 - turn] = piece
+        return out, at
+
+
+def _running(part: np.ndarray, node: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total and running sum of each run ``part[node[k]:node[k] + spread[k]]``, added in order."""
+    running = part.copy()
+    going, rank = np.flatnonzero(spread > 1), 1
+    while len(going):
+        running[node[going] + rank] += running[node[going] + rank - 1]
+        rank += 1
+        going = going[spread[going] > rank]
+    return running[node + spread - 1], running
 
 
 def lattice_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,36 +269,73 @@ def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
 
 
+class Sampler:
+    """Draws the segmentations of texts; remembers the lattices of chunks that recur, up to ``KEPT_NODES`` nodes."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept = Lattice()
+        self.keys, self.last = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _filter(self, lattice: Lattice, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Add the chunks of ``data`` to a lattice, ``FILTER_BYTES`` at a time; their last nodes."""
+        out, cut = [np.zeros(0, np.int64)], np.cumsum(size) // FILTER_BYTES
+        edges = np.append(np.flatnonzero(np.diff(cut, prepend=-1)), len(size))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out.append(lattice.add(self.pieces, data[_gather(begin[a:b], size[a:b])], np.concatenate([[0], np.cumsum(size[a:b])])))
+        return np.concatenate(out)
+
+    def ids(self, keys: np.ndarray, texts: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts and where each text's begin (n + 1)."""
+        data, offsets = lattice_bytes(*string_buffers(texts))
+        edge = chunks(self.pieces, data, offsets)
+        begin, end = edge[:-1], edge[1:]
+        if not len(begin):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        doc = np.searchsorted(offsets, begin, "right") - 1
+        place = np.arange(len(begin)) - np.searchsorted(begin, offsets[:-1])[doc]
+        unique, index, inverse, often = np.unique(segment_hashes(data, begin, end, fold=False), return_index=True, return_inverse=True, return_counts=True)
+        row = mix(mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))[doc] + place.astype(np.uint64))
+        first, size = begin[index], (end - begin)[index]
+        if self.kept.nodes >= KEPT_NODES and 2 * often[look_up(self.keys, unique) >= 0].sum() < len(begin):
+            self.forget()
+        again = np.flatnonzero((often > 1) & (look_up(self.keys, unique) < 0))
+        again = again[np.cumsum(size[again] + 1) <= KEPT_NODES - self.kept.nodes]
+        if len(again):
+            last = self._filter(self.kept, data, first[again], size[again])
+            order = np.argsort(joined := np.concatenate([self.keys, unique[again]]))
+            self.keys, self.last = joined[order], np.concatenate([self.last, last])[order]
+        known = look_up(self.keys, unique)
+        out, counts = [], np.zeros(len(begin), np.int64)
+        passes = [(self.kept, np.where(known >= 0, self.last[known] if len(self.last) else 0, -1))]
+        rest = np.flatnonzero(known < 0)
+        cut = np.cumsum(size[rest]) // FILTER_BYTES
+        for g in np.unique(cut):
+            mine, lattice, last = rest[cut == g], Lattice(), np.full(len(unique), -1)
+            last[mine] = self._filter(lattice, data, first[mine], size[mine])
+            passes.append((lattice, last))
+        for lattice, last in passes:
+            own = np.flatnonzero(last[inverse] >= 0)
+            for a in range(0, len(own), DRAWN):
+                part = own[a : a + DRAWN]
+                seeds = row[part]
+                draw = lambda open_, at, s=seeds: (mix(s[open_] + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                piece, at = lattice.sample(self.pieces, last[inverse[part]], size[inverse[part]], draw)
+                counts[part] = np.diff(at)
+                out.append((part, piece, at[:-1]))
+        ends = np.cumsum(counts)
+        ids = np.zeros(int(ends[-1]), np.int32)
+        for part, piece, at in out:
+            ids[_gather(ends[part] - counts[part], counts[part])] = piece
+        return ids, np.concatenate([[0], ends])[np.searchsorted(begin, offsets)]
+
+
 def sample_ids(pieces: Pieces, keys: np.ndarray, texts: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts and where each text's begin (n + 1)."""
-    data, offsets = lattice_bytes(*string_buffers(texts))
-    edge = chunks(pieces, data, offsets)
-    begin, end = edge[:-1], edge[1:]
-    doc = np.searchsorted(offsets, begin, "right") - 1
-    place = np.arange(len(begin)) - np.searchsorted(begin, offsets[:-1])[doc] if len(begin) else np.zeros(0, np.int64)
-    unique, index, inverse = np.unique(segment_hashes(data, begin, end, fold=False), return_index=True, return_inverse=True)
-    row = mix(mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))[doc] + place.astype(np.uint64))
-    size = (end - begin)[index]
-    group = np.cumsum(size) // FILTER_BYTES
-    order = np.argsort(inverse, kind="stable")
-    starts = np.searchsorted(inverse[order], np.arange(len(unique) + 1))
-    got_occurrence, got_piece = [], []
-    for g in np.unique(group):
-        mine = np.flatnonzero(group == g)
-        local = data[_gather(begin[index[mine]], size[mine])]
-        lattice = Lattice(pieces, local, np.concatenate([[0], np.cumsum(size[mine])]))
-        own = order[starts[mine[0]] : starts[mine[-1] + 1]]
-        seeds = row[own]
-        draw = lambda open_, at, s=seeds: (mix(s[open_] + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        occurrence, piece = lattice.sample(inverse[own] - mine[0], draw)
-        got_occurrence.append(own[occurrence])
-        got_piece.append(piece)
-    if not got_piece:
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    occurrence, piece = np.concatenate(got_occurrence), np.concatenate(got_piece)
-    order = np.argsort(occurrence, kind="stable")
-    counts = np.bincount(doc[occurrence], minlength=len(offsets) - 1)
-    return piece[order], np.concatenate([[0], np.cumsum(counts)])
+    """``Sampler.ids`` without memory of other texts."""
+    return Sampler(pieces).ids(keys, texts, seed)
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,25 +347,29 @@ def decode_ids(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return np.delete(data, front), ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
 
 
-_PIECES: dict[str, Pieces] = {}
+_SAMPLERS: dict[str, Sampler] = {}
 
 
-def pieces_of(path: str) -> Pieces:
+def sampler_of(path: str) -> Sampler:
     """One per Python worker and model."""
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    if path not in _SAMPLERS:
+        _SAMPLERS[path] = Sampler(Pieces(path))
+    return _SAMPLERS[path]
+
+
+def pieces_of(path: str) -> Pieces:
+    return sampler_of(path).pieces
 
 
 def sampled_pieces(docs: DataFrame, model: str, *, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (the sampled segmentation) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model)
+        sampler = sampler_of(model)
         for batch in batches:
             for i, j in byte_runs(batch.column(1), BLOCK_BYTES):
                 keys = batch.column(0).slice(i, j - i)
-                ids, at = sample_ids(pieces, keys.fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).slice(i, j - i), seed)
+                ids, at = sampler.ids(keys.fill_null(0).to_numpy(zero_copy_only=False), batch.column(1).slice(i, j - i), seed)
                 yield pa.record_batch([keys, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -309,11 +392,12 @@ def sample_digests(docs: DataFrame, model: str, *, seed: int = SEED, doc_id: str
     """Per row: doc_id, n_pieces, ids_crc32 (ids as little-endian uint32), text_crc32 of the decoded text, lossless."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model)
+        sampler = sampler_of(model)
+        pieces = sampler.pieces
         for batch in batches:
             for i, j in byte_runs(batch.column(1), BLOCK_BYTES):
                 keys, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
-                ids, at = sample_ids(pieces, keys.fill_null(0).to_numpy(zero_copy_only=False), texts, seed)
+                ids, at = sampler.ids(keys.fill_null(0).to_numpy(zero_copy_only=False), texts, seed)
                 data, where = decode_ids(pieces, ids, at)
                 source, source_at = string_buffers(texts)
                 raw, out, want = (memoryview(np.ascontiguousarray(x)).cast("B") for x in (ids.astype("<u4"), data, source))

@@ -15,16 +15,19 @@ import pyarrow as pa
 import zstandard
 
 
-def _give_memory_back() -> None:
-    """Python workers outlive many stages: have freed arrays of 1 MB and more returned to the system at once."""
-    try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    except (OSError, AttributeError):
-        return
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: freed arrays of 1 MB and more go back to the system at once
     pa.set_memory_pool(pa.system_memory_pool())
+except (OSError, AttributeError):
+    _LIBC = None
 
 
-_give_memory_back()
+def give_memory_back() -> None:
+    """Python workers outlive many stages: return what is free to the system."""
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
 
 _PIECE = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -140,6 +143,7 @@ def byte_runs(column: pa.Array, limit: int = 32 << 20) -> Iterator[tuple[int, in
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+        give_memory_back()
 
 
 def pack(values: np.ndarray, delta: bool = False) -> bytes:
@@ -159,18 +163,6 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if delta else values
 
 
-def group_starts(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows begin in sorted arrays."""
-    n = len(keys[0])
-    if not n:
-        return np.zeros(0, np.int64)
-    new = np.zeros(n, bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
 def pack_many(*arrays: np.ndarray, delta: tuple[int, ...] = ()) -> bytes:
     """Several arrays as one value; those at the places in ``delta`` ascend."""
     parts = [pack(a, i in delta) for i, a in enumerate(arrays)]
