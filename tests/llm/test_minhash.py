@@ -102,12 +102,25 @@ def test_second_round_pairs_cross_components_only():
     bands[:4, 3] = 7
     bands[:4, 9] = 8
     for key, first in ((7, True), (8, False)):  # the first band that two documents share tells of them
-        columns = [pa.array([1, 1, 1, 1, 2]), pa.array([10, 11, 12, 13, 14]), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([10, 10, 12, 13, 14]), pa.array([100] * 5), pa.array([100, 95, 92, 91, 100]), pa.array([key] * 5), pa.array(bands.tolist())]
-        batch = pa.record_batch(columns, ["meeting", "rep", "signature", "component", "size", "shared", "key", "bands"])
+        columns = [pa.array([1, 1, 1, 1, 2]), pa.array([10, 11, 12, 13, 14]), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([10, 10, 12, 13, 14]), pa.array([100] * 5), pa.array([100, 95, 92, 91, 100]), pa.array([key] * 5), pa.array(bands.tolist()), pa.array([bytes(N.FINE * N.BITS // 8)] * 5, pa.binary())]
+        batch = pa.record_batch(columns, ["meeting", "rep", "signature", "component", "size", "shared", "key", "bands", "fine"])
         pairs = [tuple(p) for b in N._across(iter([batch.slice(0, 2), batch.slice(2)])) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
         assert sorted(pairs) == ([(10, 12), (11, 12)] if first else [])  # 91 shared of 100 can't make 85 %
 
 
+def test_second_signatures_estimate_closer():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    rows = [np.unique(np.concatenate([base[: 900 - 50 * k], rng.integers(0, 2**63, 50 * k, dtype=np.uint64)])) for k in range(6)]
+    batch = pa.record_batch([pa.array(range(6)), pa.array([r.view(np.int64).tolist() for r in rows])], ["doc_id", "members"])
+    fine = np.concatenate([N._words64(b["fine"], N.FINE * N.BITS // 8) for b in N._fine(iter([batch]))])
+    for k in range(6):
+        both = len(np.intersect1d(rows[0], rows[k]))
+        true = both / (len(rows[0]) + len(rows[k]) - both)
+        assert abs(N.similarity(fine[0], fine[k], N.FINE) - true) < 0.06
+    assert N.least_estimate(80, N.FINE) > N.least_estimate(80) + 0.08
+
+
 @pytest.mark.parametrize("cut", range(1, 6))
 def test_members_across_batches(cut):
     sig = [bytes(N.SIGNATURE_BYTES)] * 6

@@ -8,15 +8,16 @@ minima only the low ``BITS`` bits are kept, packed. Two documents that share a b
 values estimates the similarity as (E - C) / (1 - C), C = 2**-BITS, from counts of differing bits. A pair goes on if the
 estimate isn't more than ``SLACK`` standard errors below the threshold, ``percent`` of the union in common.
 
-A pair at the threshold 0.85 fails to share any of the 25 bands with probability 1e-8 (at 0.80: 2e-6), and to pass the
+A pair at the threshold 0.85 fails to share any of the 25 bands with probability 1e-8 (at 0.80: 2e-6), and to pass an
 estimate with 1e-7.
 
 Verification in two rounds, so that a group of thousands of near copies costs a link a document, not all pairs:
 1. in each band bucket every document is compared with one centre, the member with the least share of shingles that no
    other candidate has (of differently edited copies the least edited one); the most similar centre of each document is
    confirmed on full sets, and confirmed links give first components;
-2. in buckets that still hold several components every pair across components that passes the estimate and a bound is
-   confirmed, once, by the first band that both share. The bound: two sets have at most as much in common as either
+2. in buckets that still hold several components every pair across components that passes the estimate, a bound and an
+   estimate from ``FINE`` further minima (made for these documents only) is confirmed, once, by the first band that both
+   share. The bound: two sets have at most as much in common as either
    shares with any other candidate, so a pair is refuted if (100 + percent) * min(shared) < percent * (both sizes). That spares most
    pairs of differently edited copies, whose number would grow with the square of a group.
 Every candidate pair is thereby confirmed, refuted or already in one component; none is dropped.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom_of, without
 from .components import connected_components
-from .storage import materialise, partitions_for
+from .storage import drop, materialise, partitions_for
 from .text import byte_runs, mix, words
 
 SHINGLE = 5
@@ -51,6 +52,8 @@ STARS = "key long, rep long, signature binary, centre long, estimate double"
 PERCENT = 85
 SLACK = 5.2
 BLOCK_BYTES = 4 << 20
+#: Shingles whose second signatures are made together.
+FINE_MEMBERS = 1 << 18
 #: Rows of a band bucket that one task compares at most.
 BUCKET_ROWS = 50_000
 _RNG = np.random.Generator(np.random.PCG64(8128))
@@ -58,6 +61,10 @@ _XOR = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _MUL = _RNG.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _RNG.integers(1, 2**63, BANDS, dtype=np.uint64)
 SIGNATURE_BYTES = -(-PERMUTATIONS * BITS // 64) * 8
+#: Minima of the second estimate.
+FINE = 1024
+_FINE_XOR = _RNG.integers(0, 2**32, FINE, dtype=np.uint32)
+_FINE_MUL = _RNG.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,43 +105,55 @@ def digests(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (documents x BANDS) and packed low bits (documents x SIGNATURE_BYTES); zeros for an empty set."""
     n = len(at) - 1
-    full = np.flatnonzero(at[1:] > at[:-1])
-    minima = np.zeros((PERMUTATIONS, n), np.uint32)
-    if len(full):
-        x = (sets >> np.uint64(32)).astype(np.uint32)
-        starts = at[:-1][full]
-        for k in range(PERMUTATIONS):
-            minima[k, full] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], starts)
+    minima = _minima(sets, at, _XOR, _MUL)
     keys = np.empty((n, BANDS), np.int64)
     for j in range(BANDS):
         key = np.full(n, _BAND[j], np.uint64)
         for row in minima[j * ROWS : (j + 1) * ROWS]:
             key = mix(key + row)
         keys[:, j] = key.view(np.int64)
+    return keys, _packed(minima, SIGNATURE_BYTES)
+
+
+def _minima(sets: np.ndarray, at: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
+    """Permutations x documents; zeros for an empty set."""
+    full = np.flatnonzero(at[1:] > at[:-1])
+    minima = np.zeros((len(xor), len(at) - 1), np.uint32)
+    if len(full):
+        x = (sets >> np.uint64(32)).astype(np.uint32)
+        starts = at[:-1][full]
+        for k in range(len(xor)):
+            minima[k, full] = np.minimum.reduceat((x ^ xor[k]) * mul[k], starts)
+    return minima
+
+
+def _packed(minima: np.ndarray, size: int) -> np.ndarray:
+    """The low bits of minima, ``size`` bytes a document."""
     # The multiplier is odd, so the low bits of a product depend on the low bits of x alone: take the high ones mixed down.
     low = (minima * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    n = minima.shape[1]
     bits = ((low.T[:, :, None] >> np.arange(BITS, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).reshape(n, -1)
-    packed = np.zeros((n, SIGNATURE_BYTES), np.uint8)
+    packed = np.zeros((n, size), np.uint8)
     packed[:, : -(-bits.shape[1] // 8)] = np.packbits(bits, axis=1, bitorder="little")
-    return keys, packed
+    return packed
 
 
 _EVEN = np.uint64(int("01" * 32, 2))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def similarity(a: np.ndarray, b: np.ndarray, minima: int = PERMUTATIONS) -> np.ndarray:
     """Collision-corrected estimate from packed signatures (last axis: 64-bit words)."""
     differ = a ^ b
     differ = (differ | (differ >> np.uint64(1))) & _EVEN
-    equal = 1 - np.bitwise_count(differ).sum(axis=-1) / PERMUTATIONS
+    equal = 1 - np.bitwise_count(differ).sum(axis=-1) / minima
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, minima: int = PERMUTATIONS) -> float:
     chance = 2.0**-BITS
     equal = chance + (1 - chance) * percent / 100
-    return percent / 100 - SLACK * (equal * (1 - equal) / PERMUTATIONS) ** 0.5 / (1 - chance)
+    return percent / 100 - SLACK * (equal * (1 - equal) / minima) ** 0.5 / (1 - chance)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +168,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _words64(column: pa.Array) -> np.ndarray:
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second signatures from rows (doc_id, members)."""
+    for batch in batches:
+        sizes = np.asarray(batch.column(1).value_lengths())
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // FINE_MEMBERS, prepend=-1))
+        for i, j in zip(edges, np.append(edges[1:], len(batch)), strict=True):
+            part = batch.slice(i, j - i)
+            packed = _packed(_minima(part.column(1).flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sizes[i:j])]), _FINE_XOR, _FINE_MUL), FINE * BITS // 8)
+            yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], ["doc_id", "fine"])
+
+
+def _words64(column: pa.Array, size: int = SIGNATURE_BYTES) -> np.ndarray:
     if not len(column):
-        return np.zeros((0, SIGNATURE_BYTES // 8), np.uint64)
+        return np.zeros((0, size // 8), np.uint64)
     return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), np.uint64).reshape(len(column), -1)
 
 
@@ -187,21 +217,23 @@ def _members(key: np.ndarray, rep: np.ndarray, sig: np.ndarray, centre: np.ndarr
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: candidate pairs of different components, bucket by bucket, in blocks of rows."""
-    least = least_estimate(percent)
+    least, least_fine = least_estimate(percent), least_estimate(percent, FINE)
 
-    def pairs(rep: np.ndarray, sig: np.ndarray, component: np.ndarray, size: np.ndarray, shared: np.ndarray, own: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, sig: np.ndarray, component: np.ndarray, size: np.ndarray, shared: np.ndarray, own: np.ndarray, bands: np.ndarray, fine: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(component, kind="stable")
-        rep, sig, component, size, shared, own, bands = (x[order] for x in (rep, sig, component, size, shared, own, bands))
+        rep, sig, component, size, shared, own, bands, fine = (x[order] for x in (rep, sig, component, size, shared, own, bands, fine))
         after = np.searchsorted(component, component, "right")
-        for i in range(0, len(rep), 256):
+        for i in range(0, len(rep), 64):
             for j in range(int(after[i]), len(rep), 4096):
-                rows, columns = slice(i, i + 256), slice(j, j + 4096)
+                rows, columns = slice(i, i + 64), slice(j, j + 4096)
                 both = size[rows, None] + size[None, columns]
                 bound = (100 + percent) * np.minimum(shared[rows, None], shared[None, columns]) >= percent * both
                 x, y = np.nonzero(bound & (component[rows, None] < component[None, columns]))
                 x, y = i + x, j + y
                 near = similarity(sig[x], sig[y]) >= least
                 x, y = x[near], y[near]
+                near = similarity(fine[x], fine[y], FINE) >= least_fine
+                x, y = x[near], y[near]
                 meet = np.argmax(bands[x] == bands[y], axis=1)
                 here = bands[x, meet] == own[x]
                 a, c = rep[x[here]], rep[y[here]]
@@ -214,14 +246,14 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterat
             continue
         key, rep, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _words64(b.column(2))
         component, size, shared, own = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
-        bands = b.column(7).flatten().to_numpy().reshape(-1, BANDS)
+        bands, fine = b.column(7).flatten().to_numpy().reshape(-1, BANDS), _words64(b.column(8), FINE * BITS // 8)
         cuts = np.flatnonzero(np.concatenate([[not held or held[-1][0][-1] != key[0]], key[1:] != key[:-1]]))
         for a, c in zip(np.append([0], cuts), np.append(cuts, len(key)), strict=True):
             if a in cuts and held:
                 yield from pairs(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
                 held = []
             if c > a:
-                held.append(tuple(x[a:c] for x in (key, rep, sig, component, size, shared, own, bands)))
+                held.append(tuple(x[a:c] for x in (key, rep, sig, component, size, shared, own, bands, fine)))
     if held:
         yield from pairs(*(np.concatenate(x) for x in list(zip(*held, strict=True))[1:]))
 
@@ -289,14 +321,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
 
     placed = able.join(first, F.col("rep") == F.col("node"), "left")
     placed = placed.select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"), "size", "shared")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    open_ = placed.join(mixed.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k"))
+    placed = materialise(placed, "minhash-placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    several = materialise(several.select(F.col("key").alias("k"), "n"), "minhash-several")  # a join of two tables can split a key
+    open_ = materialise(placed.join(several, F.col("key") == F.col("k")), "minhash-open")
+    drop(placed)
+    asked = open_.select(F.col("rep").alias("asked")).distinct()
+    fine = sets.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInArrow(_fine, "doc_id long, fine binary")
+    # Of a document with several texts every fine signature counts, with every one of its other columns.
+    detail = classes.select(F.col("rep").alias("r"), "bands").join(fine, F.col("r") == F.col("doc_id")).drop("doc_id")
+    detail = materialise(detail, "minhash-fine")
     # A bucket of more than BUCKET_ROWS is cut into chunks, and every two of them meet in a task.
     chunks = F.ceil(F.col("n") / BUCKET_ROWS)
     chunk = F.pmod(F.xxhash64("rep"), chunks)
     meeting = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(chunk, j), F.greatest(chunk, j))))
     open_ = open_.select(meeting.alias("meeting"), "rep", "signature", "component", "size", "shared", "key")
-    open_ = open_.join(classes.select(F.col("rep").alias("r"), "bands"), F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
+    open_ = open_.join(detail, F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
     pairs = open_.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     more = materialise(_confirmed(pairs, sets, percent), "minhash-links")
     # Classes that share a document id are tied by it: the id is a node.
