@@ -29,7 +29,7 @@ def brute_force(rows):
     root = after[()]
     v = len(root)
     total = {u: sum(c.values()) for u, c in after.items()}
-    candidates = {u for u in after if u and total[u] >= S.P_MIN / 2 * n}
+    least = min(S.P_MIN * n, S.LEAST)
 
     def p_root(s):
         return (root[s] + 0.5) / (n + 0.5 * (v + 1))
@@ -37,33 +37,31 @@ def brute_force(rows):
     def smooth(u, s, parent):
         return (after[u][s] + len(after[u]) * parent) / (total[u] + len(after[u]))
 
-    def full(u, s):
-        return p_root(s) if not u else smooth(u, s, full(u[1:], s))
+    def chain(u, s):
+        """By the states among the suffixes of u, from the shortest."""
+        p = p_root(s)
+        for d in range(1, len(u) + 1):
+            if u[-d:] in states:
+                p = smooth(u[-d:], s, p)
+        return p
 
     states = set()
-    for u in candidates:
+    for u in sorted((u for u in after if u), key=len):
         gain = 0.0
         for s, c in after[u].items():
-            parent = full(u[1:], s)
+            parent = chain(u[1:], s)
             left = len(after[u]) - (c == 1)
             rest = total[u] - 1 + left
             gain += c * math.log(((c - 1 + left * parent) / rest if rest else parent) / parent)
-        if gain > S.GAIN * total[u] and total[u] >= S.P_MIN * n:
+        if gain > S.GAIN * total[u] and total[u] >= least:
             states.add(u)
     out = {}
     for k, (_, t) in enumerate(rows):
         seq = tokens(t)
         score = base = 0.0
         for i, s in enumerate(seq):
-            p = p_root(s)
-            base += math.log10(p)
-            chain = [tuple(seq[i - d : i]) for d in range(1, min(i, S.DEPTH) + 1)]
-            for u in chain:
-                if u not in candidates:
-                    break
-                if u in states:
-                    p = smooth(u, s, p)
-            score += math.log10(p)
+            base += math.log10(p_root(s))
+            score += math.log10(chain(tuple(seq[max(i - S.DEPTH, 0) : i]), s))
         out[k] = (len(seq), sum(root[s] > 0 for s in seq), n, base, score)
     return out
 
@@ -127,8 +125,30 @@ def test_occurrences_a_state_needs_dont_rise_with_the_corpus(documents, prose, m
     monkeypatch.setattr(S, "P_MIN", 0.02)
     monkeypatch.setattr(S, "LEAST", 10, raising=False)
     found = {r["doc_id"]: r["score"] for r in S.score_texts(documents(rows)).collect()}
-    few = brute_force(rows)
-    monkeypatch.setattr(S, "P_MIN", 10 / few[0][2])
     expected = brute_force(rows)
+    monkeypatch.setattr(S, "LEAST", 10**9)
+    few = brute_force(rows)
     assert all(math.isclose(found[d], expected[d][4], rel_tol=1e-9) for d, _ in rows)
     assert sum(expected[d][4] - few[d][4] for d, _ in rows) > 10  # the states that a share of all positions would cut
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 60])
+def test_any_number_of_buckets_scores_alike(documents, prose, monkeypatch, buckets):
+    """With many buckets nearly all contexts are split, frequent symbols too; with one none is."""
+    rows = [(i, prose(20 + i % 40, i % 29)) for i in range(100)] + [(200, None), (201, "a")]
+    monkeypatch.setattr(S, "partitions_for", lambda *_: buckets)
+    monkeypatch.setattr(S, "P_MIN", 1e-3)
+    found, expected = {r["doc_id"]: r for r in S.score_texts(documents(rows).repartition(3)).collect()}, brute_force(rows)
+    for k, (d, _) in enumerate(rows):
+        size, known, n, base, score = expected[k]
+        assert (found[d]["n_tokens"], found[d]["n_known"], found[d]["train_tokens"]) == (size, known, n)
+        assert math.isclose(found[d]["base_score"], base, rel_tol=1e-9) and math.isclose(found[d]["score"], score, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_depth_is_an_argument(documents, prose, monkeypatch, depth):
+    rows = [(i, prose(40, i % 11)) for i in range(60)]
+    found = {r["doc_id"]: r["score"] for r in S.score_texts(documents(rows), depth=depth).collect()}
+    monkeypatch.setattr(S, "DEPTH", depth)
+    expected = brute_force(rows)
+    assert all(math.isclose(found[d], expected[d][4], rel_tol=1e-9) for d, _ in rows)

@@ -1,24 +1,28 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are the words of the lower-cased text, then one end symbol. A context is up to ``DEPTH`` words; it may become a
-state if it occurs ``LEAST`` times (in a small corpus: makes up ``P_MIN`` of all positions, if that is less), so their
+Symbols are the words of the lower-cased text, then one end symbol. A context is up to ``depth`` words; it may become a
+state if it occurs ``least`` times (in a small corpus: makes up ``P_MIN`` of all positions, if that is less), so their
 number grows with the corpus. A state u predicts
 
     P(s | u) = (c(us) + T(u) P(s | parent)) / (c(u) + T(u)),   T(u): distinct symbols seen after u,
 
-down to the root, (c(s) + 0.5) / (N + 0.5 (V + 1)) (one unseen symbol included). Divergence test: a context is retained
-if its own predictions, each with the occurrence itself taken out, beat its parent's by more than ``GAIN`` nats per
-occurrence. A position is scored by the longest suffix of what precedes it that is a retained state.
+where the parent is the longest shorter suffix of u that is a state, down to the root, (c(s) + 0.5) / (N + 0.5 (V + 1))
+(one unseen symbol included). Divergence test, from short contexts to long ones: a context is retained if its own
+predictions, each with the occurrence itself taken out, beat its parent's by more than ``gain`` nats per occurrence. A
+position is scored by the longest suffix of what precedes it that is a retained state.
 
-How it runs. Blocks of documents become arrays of 64-bit word hashes. Every position goes to the bucket of the word
-before it, where all contexts that end with that word are counted, tested and used; no set of contexts is broadcast.
+How it runs. Texts are read once: blocks of documents become a table of word numbers with the 64-bit hashes of their
+words. Every position goes to the bucket of the word before it, where all contexts that end with that word are counted,
+tested and used; no set of contexts is broadcast.
 1. Split contexts: one that makes up a large part of a bucket (at most 8 a bucket and depth) is divided among buckets by
-   the next older word, or if there is none by symbol and place. Only their keys and totals reach the driver.
-2. Shared counts: how often each symbol occurs (the root is split as well) and how often it follows each split context
-   is summed by symbol and sent to the buckets that need it. All counts of a symbol are in one place there, so the
-   divergence test of split contexts is summed over symbols; all other contexts lie whole in a bucket.
-3. Positions and shared counts meet in their bucket, which tests its contexts and scores its positions; the sums per
-   document return to the documents' block.
+   the next older word. Only their keys and totals reach the driver.
+2. Shared counts: each block tells how often each symbol occurs (the root is split as well) and how often it follows each
+   split context, once per symbol and context; they are summed by symbol (for frequent symbols by symbol and the
+   context's last word) and the sums go back to the blocks that asked, with a number for each word. All that the
+   divergence test of split contexts needs of a symbol lies in one place there.
+3. Blocks finish what the split contexts decide and send all other positions on, as word numbers, to their buckets. These
+   test their contexts and score their positions; the sums per document return to the documents' block. They are whole
+   multiples of 2**-32, so no order of summation matters.
 
 Null and empty texts have the end symbol alone. A null document id counts as training text (its remainder is unknown).
 Repeated rows are documents of their own. Without training tokens every symbol has base probability 1. An empty table
@@ -37,365 +41,512 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import remainder
-from .storage import materialise, partitions_for
-from .text import byte_runs, look_up, mix, pack_many, unpack_many, words
+from .storage import drop, materialise, partitions_for
+from .text import byte_runs, give_memory_back, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
 P_MIN = 1e-5
 #: Occurrences that a state needs at most, however large the corpus.
 LEAST = 32
 GAIN = 0.01
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of stored input for which there is a bucket.
 BUCKET_BYTES = 6 << 20
 END = np.uint64(0x1F0E3DCD97531ECA)
+#: Scores are summed in units of 1 / UNITS.
+UNITS = 2.0**32
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Targets of shared counts that aren't blocks.
+ALL, TOTALS, FREQUENT = -1, -2, -3
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, where each appears first, and for each entry the number of its value."""
+    coded = pa.array(x).dictionary_encode()
+    inverse = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[inverse[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return coded.dictionary.to_numpy(), first, inverse
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
+
+
+def _join(key: np.ndarray, older: np.ndarray, depth: int) -> np.ndarray:
+    """The key of a context that has one more word in front."""
+    return mix(key * _STEP + older.astype(np.uint64) + np.uint64(depth))
+
+
+def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context.astype(np.uint64) * _STEP + symbol.astype(np.uint64))
+
+
+def _edges(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, begin and end of each run of equal entries."""
+    cut = np.append(np.flatnonzero(np.diff(sorted_, prepend=-1)), len(sorted_))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(sorted_[a]), a, b
 
 
 @dataclass
 class Block:
-    """Symbols of some documents: words, then END, one document after the other."""
+    """Some documents: sorted hashes of their words, and the numbers of these, each document ended by END."""
 
+    ids: np.ndarray
+    null: np.ndarray
+    held: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
     symbol: np.ndarray
-    begin: np.ndarray
-
-    @property
-    def document(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Block:
+    def of(cls, ids: pa.Array, held: pa.Array, texts: pa.Array) -> Block:
         hashes, at = words(texts)
-        return cls(np.insert(hashes, at[1:], END), at + np.arange(len(at)))
+        words_, _, symbol = _distinct(np.insert(hashes, at[1:], END))
+        order = np.argsort(words_)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return cls(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(held), np.diff(at) + 1, words_[order], rank[symbol])
 
-    def contexts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Depth by depth the key of the words before each symbol (of no meaning where the text has fewer)."""
-        key = np.zeros(len(self.symbol), np.uint64)
-        for depth in range(1, DEPTH + 1):
-            older = np.zeros(len(self.symbol), np.uint64)
-            older[depth:] = self.symbol[: max(len(self.symbol) - depth, 0)]
-            key = mix(key * _STEP + older + np.uint64(depth))
-            yield depth, key
+    def pack(self) -> bytes:
+        return pack_many(self.ids, self.null.astype(np.uint8), self.held.astype(np.uint8), _narrow(self.size), self.words, _narrow(self.symbol), delta=(4,))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        ids, null, held, size, words_, symbol = unpack_many(data)
+        return cls(ids, null.astype(bool), held.astype(bool), size.astype(np.int64), words_, symbol.astype(np.int64))
+
+    @property
+    def document(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
 
     def before(self) -> np.ndarray:
         """How many words precede each symbol in its text."""
-        return np.arange(len(self.symbol)) - np.repeat(self.begin[:-1], np.diff(self.begin))
+        return np.arange(len(self.symbol)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
 
+    def older(self, depth: int) -> np.ndarray:
+        """The number of the word that many places before (of no meaning where the text has fewer)."""
+        out = np.zeros(len(self.symbol), np.int64)
+        out[depth:] = self.symbol[: max(len(self.symbol) - depth, 0)]
+        return out
 
-def _blocks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    for i, j in byte_runs(batch.column(text), BLOCK_BYTES):
-        part = batch.slice(i, j - i)
-        yield part, Block.of(part.column(text))
-
+    def contexts(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Depth by depth the key of the words before each symbol (of no meaning where the text has fewer)."""
+        key = np.zeros(len(self.symbol), np.uint64)
+        for depth in range(1, most + 1):
+            key = _join(key, self.words[self.older(depth)], depth)
+            yield depth, key
 
-def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context * _STEP + symbol)
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for i, j in byte_runs(batch.column(2), BLOCK_BYTES):
+            block = Block.of(*(batch.column(k).slice(i, j - i) for k in range(3)))
+            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([block.pack()], pa.binary())], ["block", "data"])
+            number += 1
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order of appearance, where each appears first, and for each entry the number of its value."""
-    coded = pa.array(x).dictionary_encode()
-    inverse = coded.indices.to_numpy()
-    first = np.empty(len(coded.dictionary), np.int64)
-    first[inverse[::-1]] = np.arange(len(x) - 1, -1, -1)
-    return coded.dictionary.to_numpy(), first, inverse
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    for batch in batches:
+        for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield number, Block.unpack(data.as_buffer())
+            give_memory_back()
 
-def _narrow(x: np.ndarray, most: int) -> np.ndarray:
-    return x.astype(np.uint16 if most < 2**16 else np.uint32)
 
+def _heavy(share: float, most: int) -> Callable:
+    """Contexts that make up ``share`` of a block (twice there at least), whose parents do so too."""
 
-def _heavy(share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, block in _blocks(batch, 2):
-                rows = [np.array([[0, 0, 0, len(block.symbol)]], np.int64)]
-                before, open_, parent = block.before(), np.arange(len(block.symbol)), np.zeros(len(block.symbol), np.uint64)
-                for depth, key in block.contexts():
-                    open_ = open_[before[open_] >= depth]
-                    unique, first, inverse = _distinct(key[open_])
-                    count = np.bincount(inverse, minlength=len(unique))
-                    heavy = count >= share * len(block.symbol)
-                    rows.append(np.column_stack([np.full(heavy.sum(), depth), unique[heavy].view(np.int64), parent[open_[first[heavy]]].view(np.int64), count[heavy]]))
-                    open_, parent = open_[heavy[inverse]], key
-                yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T], ["depth", "key", "parent", "n"])
+        for _, block in _read(batches):
+            rows = [np.array([[0, 0, 0, len(block.symbol)]], np.int64)]
+            before, open_, parent = block.before(), np.arange(len(block.symbol)), np.zeros(len(block.symbol), np.uint64)
+            for depth, key in block.contexts(most):
+                open_ = open_[before[open_] >= depth]
+                unique, first, inverse = _distinct(key[open_])
+                count = np.bincount(inverse, minlength=len(unique))
+                heavy = count >= max(share * len(block.symbol), 2)
+                rows.append(np.column_stack([np.full(heavy.sum(), depth), unique[heavy].view(np.int64), parent[open_[first[heavy]]].view(np.int64), count[heavy]]))
+                open_, parent = open_[heavy[inverse]], key
+            yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T], ["depth", "key", "parent", "n"])
 
     return run
 
 
-def find_split(rows: DataFrame, buckets: int) -> tuple[list[np.ndarray], dict[int, tuple[int, int]]]:
-    """By depth the sorted keys of contexts that make up 1 / (4 buckets) of all positions, and of some half as large;
-    depth and parent of each."""
+@dataclass
+class Plan:
+    """Number of buckets and the split contexts: their sorted keys by depth. Numbers of contexts count through all depths,
+    0 is the root. ``parent``: of each number."""
+
+    depth: int
+    buckets: int
+    keys: list[np.ndarray]
+    parent: np.ndarray
+
+    @property
+    def begin(self) -> list[int]:
+        """The first number of each depth."""
+        return [0, *(1 + np.cumsum([0, *map(len, self.keys)])).tolist()]
+
+    def level(self) -> np.ndarray:
+        return np.repeat(np.arange(self.depth + 1), [1, *map(len, self.keys)])
+
+    def ancestors(self) -> np.ndarray:
+        """Depth x number: the number's ancestor of that depth (itself, at its own), -1 where it is less deep."""
+        level, out = self.level(), np.full((self.depth + 1, len(self.parent)), -1)
+        for depth in range(self.depth, -1, -1):
+            out[depth, level == depth] = np.flatnonzero(level == depth)
+            for deeper in range(depth + 1, self.depth + 1):
+                own = np.flatnonzero(level == deeper)
+                out[depth, own] = out[depth, self.parent[own]]
+        return out
+
+    def frequent(self, words_: np.ndarray) -> np.ndarray:
+        """Whether a word is a split context, or the end."""
+        return (look_up(self.keys[0], _join(np.zeros(len(words_), np.uint64), words_, 1)) >= 0) | (words_ == END)
+
+
+def find_split(blocks: DataFrame, buckets: int, most: int) -> Plan:
+    """The contexts that make up 1 / (4 buckets) of all positions, and some of half as many."""
     share = 1 / (8 * buckets)
-    found = rows.mapInArrow(_heavy(share), "depth long, key long, parent long, n long").groupBy("depth", "key", "parent").agg(F.sum("n").alias("n"))
+    found = blocks.mapInArrow(_heavy(share, most), "depth long, key long, parent long, n long").groupBy("depth", "key", "parent").agg(F.sum("n").alias("n"))
     found = materialise(found, "pst-heavy")
     total = found.filter("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     large = found.filter((F.col("depth") > 0) & (F.col("n") >= share * total)).toArrow()
+    drop(found)
     depth, key, parent = large["depth"].to_numpy(), large["key"].to_numpy().view(np.uint64), large["parent"].to_numpy().view(np.uint64)
-    above = {k: (d, u) for d, k, u in zip(depth.tolist(), key.tolist(), parent.tolist(), strict=True)}
-    return [np.sort(key[depth == d]) for d in range(1, DEPTH + 1)], above
+    order = np.lexsort((key, depth))
+    depth, key, parent = depth[order], key[order], parent[order]
+    keys, above = [], [np.zeros(1, np.int64)]
+    for d in range(1, most + 1):
+        own = depth == d
+        of = look_up(keys[-1], parent[own]) if keys else np.zeros(int(own.sum()), np.int64)
+        good = of >= 0
+        above.append(1 + sum(map(len, keys[:-1])) + of[good] if keys else of[good])
+        keys.append(key[own][good])
+    return Plan(most, buckets, keys, np.concatenate(above))
 
 
-@dataclass
 class Routed:
-    """Where the positions of a block go, with their contexts (0 where the text has fewer words) and how many of these,
-    from the shortest, are split."""
+    """The positions of a block: their contexts' keys, how many words precede them (``depth`` at most), how many of the
+    contexts, from the shortest, are split, and their numbers (depth x positions, -1 where not split)."""
+
+    def __init__(self, block: Block, plan: Plan):
+        self.known = np.minimum(block.before(), plan.depth)
+        self.split = np.zeros(len(self.known), np.int64)
+        self.number = np.full((plan.depth + 1, len(self.known)), -1)
+        self.number[0] = 0
+        place = np.zeros(len(self.known), np.uint64)
+        for depth, key in block.contexts(plan.depth):
+            open_ = np.flatnonzero((self.known >= depth) & (self.split == depth - 1))
+            place[open_] = mix(key[open_])
+            at = look_up(plan.keys[depth - 1], key[open_])
+            divided = open_[at >= 0]
+            self.split[divided] = depth
+            self.number[depth, divided] = plan.begin[depth] + at[at >= 0]
+        self.bucket = (place % np.uint64(plan.buckets)).astype(np.int64)
+
+
+class Asked:
+    """What a block asks for: each symbol after the root and after each split context, once, by the bucket that sums it.
+
+    ``index[depth]``: for the positions ``here[depth]`` (those with a split context of that depth) the place of their
+    pair."""
+
+    def __init__(self, block: Block, plan: Plan, routed: Routed):
+        train = ~block.held[block.document]
+        to = mix(block.words) % np.uint64(plan.buckets)
+        frequent, n_words = plan.frequent(block.words), len(block.words)
+        first_word = plan.ancestors()[1] if plan.depth else np.zeros(1, np.int64)
+        symbol, context, count, bucket = [], [], [], []
+        self.here, self.index, at = [], [], 0
+        for depth in range(plan.depth + 1):
+            here = np.flatnonzero(routed.split >= depth) if depth else np.arange(len(block.symbol))
+            code, _, inverse = _distinct(routed.number[depth, here] * n_words + block.symbol[here])
+            s, c = code % n_words, code // n_words
+            spread = frequent[s] & (depth > 0)
+            b = to[s]
+            b[spread] = mix(block.words[s[spread]] ^ mix(plan.keys[0][first_word[c[spread]] - 1])) % np.uint64(plan.buckets)
+            symbol.append(s)
+            context.append(c)
+            count.append(np.bincount(inverse, train[here], len(code)).astype(np.int64))
+            bucket.append(b.astype(np.int64))
+            self.here.append(here)
+            self.index.append(inverse + at)
+            at += len(code)
+        symbol, context, count, bucket = (np.concatenate(x) for x in (symbol, context, count, bucket))
+        order = np.lexsort((context, symbol, bucket))
+        self.symbol, self.context, self.count, self.bucket = symbol[order], context[order], count[order], bucket[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.index = [back[i] for i in self.index]
+
+
+def _tell(plan) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _read(batches):
+            asked, rows = Asked(block, plan.value, Routed(block, plan.value)), []
+            for bucket, a, b in _edges(asked.bucket):
+                own = asked.symbol[a:b]
+                runs = np.flatnonzero(np.diff(own, prepend=-1))
+                rows.append((bucket, pack_many(block.words[own[runs]], _narrow(np.diff(np.append(runs, b - a))), _narrow(asked.context[a:b]), _narrow(asked.count[a:b]), delta=(0,))))
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "data"])
 
-    keys: list[np.ndarray]
-    known: np.ndarray
-    split: np.ndarray
-    bucket: np.ndarray
+    return run
 
-    @classmethod
-    def of(cls, block: Block, hot: list[np.ndarray], buckets: int) -> Routed:
-        before = block.before()
-        keys, split = [], np.zeros(len(before), np.uint8)
-        size = np.repeat(np.diff(block.begin), np.diff(block.begin))
-        place = mix(block.symbol + before.astype(np.uint64) * _STEP + size.astype(np.uint64))
-        for depth, key in block.contexts():
-            here = before >= depth
-            open_ = here & (split == depth - 1)
-            place[open_] = mix(key[open_])
-            divided = open_.copy()
-            divided[open_] = look_up(hot[depth - 1], key[open_]) >= 0
-            split[divided] = depth
-            place[divided] = mix(block.symbol[divided] + before[divided].astype(np.uint64) * _STEP + size[divided].astype(np.uint64))
-            keys.append(np.where(here, key, np.uint64(0)))
-        return cls(keys, np.minimum(before, DEPTH).astype(np.uint8), split, (place % np.uint64(buckets)).astype(np.int64))
 
+def _share(plan) -> Callable:
+    """Sums the counts of a bucket of symbols: to each block what it asked for, in its order, with numbers for its words;
+    to ALL the sums, to TOTALS occurrences and symbols of contexts, to FREQUENT how often frequent symbols occur."""
 
-def _cut(bucket: np.ndarray, *columns: np.ndarray, delta: tuple[int, ...] = ()) -> Iterator[tuple[int, bytes]]:
-    """One packed value per bucket, of columns sorted by bucket."""
-    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[a]), pack_many(*(c[a:b] for c in columns), delta=delta)
+    def run(group: pa.Table) -> pa.Table:
+        number, block = group["bucket"][0].as_py(), group["block"].to_pylist()
+        symbol, context, count, size = [], [], [], []
+        for data in group["data"]:
+            own, runs, c, n = unpack_many(data.as_buffer())
+            symbol.append(np.repeat(own, runs))
+            context.append(c.astype(np.int64))
+            count.append(n.astype(np.int64))
+            size.append(len(c))
+        symbol, context, count = (np.concatenate(x) for x in (symbol, context, count))
+        _, index, inverse = _distinct(_pair(context, symbol))
+        total = np.bincount(inverse, count, len(index)).astype(np.int64)
+        of, by = context[index], symbol[index]
+        named = np.unique(by[of == 0])
+        ids, _, which = _distinct(of)
+        seen = np.flatnonzero(total > 0)
+        seen = seen[np.argsort(by[seen], kind="stable")]
+        often = np.flatnonzero((of == 0) & plan.value.frequent(by))
+        rows = [
+            (TOTALS, pack_many(ids, np.bincount(which, total, len(ids)).astype(np.int64), np.bincount(which, total > 0, len(ids)).astype(np.int64))),
+            (ALL, pack_many(by[seen], _narrow(of[seen]), _narrow(total[seen]), delta=(0,))),
+            (FREQUENT, pack_many(by[often], total[often])),
+        ]
+        answer, a = total[inverse], 0
+        for target, n in zip(block, size, strict=True):
+            root = symbol[a : a + n][context[a : a + n] == 0]
+            numbers = np.searchsorted(named, root) * plan.value.buckets + number + 1
+            rows.append((target, pack_many(_narrow(answer[a : a + n]), _narrow(numbers), delta=())))
+            a += n
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["target", "bucket", "data"])
+
+    return run
 
 
-def _tell(hot, buckets: int) -> Callable:
-    """What a block knows of shared counts, by the bucket of the symbol."""
+def _unpacked(names: list[str]) -> Callable:
+    """Rows of the packed columns of a target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block in _blocks(batch, 2):
-                routed = Routed.of(block, hot.value, buckets)
-                train = ~np.asarray(part.column(1))[block.document]
-                found = []
-                for depth in range(DEPTH + 1):
-                    here = np.flatnonzero(routed.split >= depth)
-                    symbol, bucket = block.symbol[here], routed.bucket[here]
-                    context = routed.keys[depth - 1][here] if depth else np.zeros(len(here), np.uint64)
-                    _, index, inverse = _distinct(mix(_pair(context, symbol) + bucket.astype(np.uint64)))
-                    found.append((symbol[index], context[index], bucket[index], np.bincount(inverse, train[here], len(index)).astype(np.int64)))
-                symbol, context, bucket, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                to = (mix(symbol) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((symbol, to))
-                rows = list(_cut(to[order], symbol[order], context[order], bucket[order].astype(np.uint32), n[order].astype(np.uint32), delta=(0,)))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+            for data in batch.column(2):
+                columns = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in unpack_many(data.as_buffer())]
+                yield pa.record_batch([pa.array(c) for c in columns], names)
 
     return run
 
 
-def _share(group: pa.Table) -> pa.Table:
-    """Sum the counts of a bucket of symbols and send them where they are needed; in row -1 all, in row -2 the totals of
-    contexts."""
-    symbol, context, bucket, n = (np.concatenate(x) for x in zip(*(unpack_many(d.as_buffer().to_pybytes()) for d in group["data"]), strict=True))
-    pair, index, inverse = _distinct(_pair(context, symbol))
-    total = np.bincount(inverse, n, len(pair)).astype(np.int64)
-    context, symbol = context[index], symbol[index]
-    ids, _, of = _distinct(context)
-    about = pack_many(ids, np.bincount(of, total, len(ids)).astype(np.int64), np.bincount(of, total > 0, len(ids)).astype(np.int64))
-    by = np.argsort(symbol, kind="stable")
-    _, place, _ = _distinct(mix(pair[inverse] + bucket.astype(np.uint64)))
-    place = place[np.lexsort((pair[inverse[place]], bucket[place]))]
-    cut = _cut(bucket[place].astype(np.int64), pair[inverse[place]], total[inverse[place]].astype(np.uint32 if total.max() < 2**32 else np.int64), delta=(0,))
-    rows = [(-2, about), (-1, pack_many(symbol[by], context[by], total[by], delta=(0,))), *cut]
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column(1):
-            ids, n, distinct = unpack_many(data.as_buffer().to_pybytes())
-            yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(n), pa.array(distinct)], ["key", "n", "distinct"])
-
-
 @dataclass
 class Totals:
-    """The split contexts, the root (key 0) first: depth, parent's place, occurrences, distinct symbols, whether they are
-    states."""
+    """Of the root and the split contexts, by number: occurrences, distinct symbols, whether they are states. How often
+    frequent symbols occur (sorted hashes, counts)."""
 
-    keys: np.ndarray
-    depth: np.ndarray
-    parent: np.ndarray
+    ancestors: np.ndarray
     count: np.ndarray
     distinct: np.ndarray
+    frequent: np.ndarray
+    frequent_count: np.ndarray
     least: float
+    gain: float
     retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.5) / (self.count[0] + 0.5 * (self.distinct[0] + 1))
 
-    def tested(self, n: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability and gain of symbols seen ``n`` times in a context of ``c`` occurrences and ``t`` symbols."""
-        own = np.where(c > 0, (n + t * parent) / np.maximum(c + t, 1), parent)
+    def below(self, p: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The probability after ``n`` occurrences in contexts (-1: none), from that of the parent."""
+        used = (number >= 0) & self.retained[number]
+        c, t = self.count[number], self.distinct[number]
+        return np.where(used, (n + t * p) / np.maximum(c + t, 1), p)
+
+    @staticmethod
+    def worth(n: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """What symbols seen ``n`` times in contexts of ``c`` occurrences and ``t`` symbols gain over their parent."""
         left = t - (n == 1)
         rest = c - 1 + left
         out = np.where(rest > 0, (n - 1 + left * parent) / np.maximum(rest, 1), parent)
-        return own, np.where(n > 0, n * np.log(np.maximum(out, 1e-300) / parent), 0.0)
-
-    def states(self, gain: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return (gain > GAIN * count) & (count >= self.least)
-
+        return np.where(n > 0, n * np.log(np.maximum(out, 1e-300) / parent), 0.0)
 
-def _coded(words_: np.ndarray, columns: list[np.ndarray]) -> bytes:
-    """Positions with their words (DEPTH + 1 columns of numbers) told by a list of the words that occur."""
-    used = np.zeros(len(words_), bool)
-    for c in columns[: DEPTH + 1]:
-        used[c] = True
-    number = np.cumsum(used) - 1
-    return pack_many(words_[used], *(_narrow(number[c], int(used.sum())) for c in columns[: DEPTH + 1]), *columns[DEPTH + 1 :], delta=(0, DEPTH + 2))
+    def states(self, worth: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (worth > self.gain * count) & (count >= self.least)
 
 
-def _post(hot, buckets: int) -> Callable:
-    """Positions by bucket; what is known of a block's documents goes along as kind 1."""
+def _gains(totals, depth: int) -> Callable:
+    """Terms of the divergence test of the split contexts of one depth, from all counts of a bucket of symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        total: Totals = totals.value
         for batch in batches:
-            for part, block in _blocks(batch, 2):
-                routed, document = Routed.of(block, hot.value, buckets), block.document
-                train = ~np.asarray(part.column(1))[document]
-                words_, _, symbol = _distinct(block.symbol)
-                order = np.argsort(words_)
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                words_, symbol = words_[order], rank[symbol]
-                older = [np.concatenate([np.zeros(min(d, len(symbol)), np.int64), symbol[:-d]]) for d in range(1, DEPTH + 1)]
-                columns = (symbol, *older, document.astype(np.uint32), routed.known, routed.split, train.astype(np.uint8))
-                order = np.argsort(routed.bucket, kind="stable")
-                bucket, columns = routed.bucket[order], [c[order] for c in columns]
-                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                rows = [(int(bucket[i]), _coded(words_, [c[i:j] for c in columns])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-                ids = part.column(0)
-                about = pack_many(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()).astype(np.uint8), np.asarray(part.column(1)).astype(np.uint8), np.diff(block.begin))
-                n = len(rows)
-                yield pa.record_batch(
-                    [pa.array([r[0] for r in rows] + [number % buckets], pa.int32()), pa.array([number] * (n + 1), pa.int64()), pa.array([0] * n + [1], pa.int32()), pa.array([r[1] for r in rows] + [about], pa.binary())],
-                    ["bucket", "block", "kind", "data"],
-                )
-                number += 1
+            for data in batch.column(2):
+                symbol, number, n = unpack_many(data.as_buffer())
+                number, n = number.astype(np.int64), n.astype(np.int64)
+                pair = _pair(number, symbol)
+                order = np.argsort(pair)
+                pair, ordered = pair[order], n[order]
+
+                def count(number: np.ndarray, symbol: np.ndarray, pair=pair, ordered=ordered) -> np.ndarray:
+                    at = look_up(pair, _pair(np.maximum(number, 0), symbol))
+                    return np.where((at >= 0) & (number >= 0), ordered[at], 0)
+
+                here = np.flatnonzero(total.ancestors[depth, number] == number)
+                symbol, number, n = symbol[here], number[here], n[here]
+                often = look_up(total.frequent, symbol)
+                seen = np.where(often >= 0, total.frequent_count[often] if len(total.frequent) else 0, count(np.zeros(len(here), np.int64), symbol))
+                p = total.root(seen)
+                for d in range(1, depth):
+                    above = total.ancestors[d, number]
+                    p = total.below(p, above, count(above, symbol))
+                ids, _, which = _distinct(number)
+                worth = np.bincount(which, total.worth(n, total.count[number], total.distinct[number], p), len(ids))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(worth.astype(float))], ["number", "worth"])
+
+    return run
+
+
+def _fixed(p: np.ndarray) -> np.ndarray:
+    return np.rint(np.log10(p) * UNITS)
+
+
+def _post(plan, totals) -> Callable:
+    """A block and the answers to it: what is known of its documents (kind 1), and by bucket (kind 0) the positions that
+    split contexts don't settle."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(blocks):
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary())], ["bucket", "block", "kind", "data"])
+        settled: Totals = totals.value
+        number, block = blocks["block"][0].as_py(), Block.unpack(blocks["data"][0].as_buffer())
+        routed = Routed(block, plan.value)
+        asked = Asked(block, plan.value, routed)
+        total, name = np.zeros(len(asked.symbol), np.int64), np.zeros(len(block.words), np.uint64)
+        answered = dict(zip(answers["bucket"].to_pylist(), answers["data"], strict=True))
+        for bucket, a, b in _edges(asked.bucket):
+            total[a:b], numbers = unpack_many(answered[bucket].as_buffer())
+            name[asked.symbol[a:b][asked.context[a:b] == 0]] = numbers
+        counts = np.zeros((plan.value.depth + 1, len(block.symbol)), np.int64)
+        for depth, (here, index) in enumerate(zip(asked.here, asked.index, strict=True)):
+            counts[depth, here] = total[index]
+        p = settled.root(counts[0])
+        document, base = block.document, np.log10(p)
+        for depth in range(1, plan.value.depth + 1):
+            p = settled.below(p, routed.number[depth], counts[depth])
+        done, n_docs = routed.known == routed.split, len(block.size)
+        sums = [np.bincount(document, x, n_docs) for x in (counts[0] > 0, base, np.where(done, _fixed(p), 0.0))]
+        rows = [(number % plan.value.buckets, 1, pack_many(block.ids, block.null.astype(np.uint8), block.held.astype(np.uint8), block.size, *sums))]
+
+        sent = np.flatnonzero(~done)
+        first = name[block.older(1)]
+        sent = sent[np.lexsort((first[sent], routed.bucket[sent]))]
+        older = [np.where(routed.known[sent] >= d, name[block.older(d)[sent]], 0) for d in range(1, plan.value.depth + 1)]
+        deepest = routed.number[routed.split[sent], sent]
+        own = document[sent] * 2 + ~block.held[document[sent]]
+        for bucket, a, b in _edges(routed.bucket[sent]):
+            at = sent[a:b]
+            _, entry, which = _distinct(deepest[a:b] * len(block.words) + block.symbol[at])
+            entry_symbol = name[block.symbol[at[entry]]]
+            used, coded = np.unique(np.concatenate([entry_symbol, *(w[a:b] for w in older)]), return_inverse=True)
+            entry_symbol, *coded = np.split(coded, len(entry) + (b - a) * np.arange(plan.value.depth))
+            columns = (used, entry_symbol, deepest[a:b][entry], *(counts[d, at[entry]] for d in range(plan.value.depth)), which, own[a:b], *coded)
+            rows.append((bucket, 0, pack_many(*map(_narrow, columns), delta=(0,))))
+        give_memory_back()
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "kind", "data"])
 
     return run
 
 
 class Bucket:
-    """Positions of a bucket and the levels of contexts before them."""
-
-    def __init__(self, posts: list[list[np.ndarray]], shared: list[list[np.ndarray]], totals: Totals):
-        words_, _, number = _distinct(np.concatenate([p[0] for p in posts]))
-        starts = np.cumsum([0] + [len(p[0]) for p in posts])
-        symbol, *older = (np.concatenate([number[p[k].astype(np.int64) + at] for p, at in zip(posts, starts, strict=False)]) for k in range(1, DEPTH + 2))
-        self.document, self.known, self.split, train = (np.concatenate([p[k] for p in posts]) for k in range(DEPTH + 2, DEPTH + 6))
-        self.block = np.repeat(np.arange(len(posts)), [len(p[1]) for p in posts])
-        self.symbol, self.train, self.totals = words_[symbol], train.astype(float), totals
-        self.keys, key = [], np.zeros(len(symbol), np.uint64)
-        for depth, word in enumerate(older, 1):
-            key = mix(key * _STEP + words_[word] + np.uint64(depth))
-            self.keys.append(key)
-        pairs, counts = (np.concatenate([x[k] for x in shared]) for k in (0, 1))
-        order = np.argsort(pairs)
-        self.pairs, self.shared = pairs[order], counts[order].astype(np.int64)
-        self.seen = self.shared[look_up(self.pairs, _pair(np.zeros(len(words_), np.uint64), words_))][symbol]
-        self.root = totals.root(self.seen)
+    """Positions of a bucket: probability so far, symbol, words before, document (twice its place, plus 1 if it trains)."""
+
+    def __init__(self, pieces: list[pa.Scalar], totals: Totals):
+        depth = len(totals.ancestors) - 1
+        p, symbol, split, older, document, block = [], [], [], [[] for _ in range(depth)], [], []
+        for k, data in enumerate(pieces):
+            used, entry_symbol, number, *columns = unpack_many(data.as_buffer())
+            counts, (which, own, *coded) = columns[:depth], columns[depth:]
+            number = number.astype(np.int64)
+            now = totals.root(counts[0].astype(np.int64))
+            for d in range(1, depth):
+                now = totals.below(now, totals.ancestors[d, number], counts[d].astype(np.int64))
+            p.append(now[which])
+            symbol.append(used[entry_symbol][which])
+            split.append((totals.ancestors[:, number] >= 0).sum(axis=0)[which].astype(np.uint8) - 1)
+            for to, w in zip(older, coded, strict=True):
+                to.append(used[w])
+            document.append(own.astype(np.int64))
+            block.append(np.full(len(own), k))
+        self.totals = totals
+        self.p, self.symbol, self.split, self.document, self.block = (np.concatenate(x) for x in (p, symbol, split, document, block))
+        self.older = [np.concatenate(w) for w in older]
 
     def score(self) -> np.ndarray:
         """The probability of every position's symbol."""
-        full, p = self.root.copy(), self.root.copy()
-        for depth, key in enumerate(self.keys, 1):
-            here = np.flatnonzero(self.known >= depth)
+        p, train, key = self.p, (self.document & 1).astype(float), np.zeros(len(self.p), np.uint64)
+        for depth, word in enumerate(self.older, 1):
+            key = _join(key, word, depth)
+            here = np.flatnonzero((word > 0) & (self.split < depth))
             pair, index, inverse = _distinct(_pair(key[here], self.symbol[here]))
-            first = here[index]
-            n = np.bincount(inverse, self.train[here], len(pair)).astype(np.int64)
-            split = np.flatnonzero(self.split[first] >= depth)
-            n[split] = self.shared[look_up(self.pairs, pair[split])]
-            ids, _, of = _distinct(key[first])
-            count, distinct = np.bincount(of, n, len(ids)).astype(np.int64), np.bincount(of, n > 0, len(ids)).astype(np.int64)
-            place = np.full(len(ids), -1)
-            place[of[split]] = look_up(self.totals.keys, key[first[split]])
-            known = place >= 0
-            count[known], distinct[known] = self.totals.count[place[known]], self.totals.distinct[place[known]]
-            own, gain = self.totals.tested(n, count[of], distinct[of], full[first])
-            full[here] = own[inverse]
-            state = self.totals.states(np.bincount(of, gain, len(ids)), count)
-            state[known] = self.totals.retained[place[known]]
-            used = state[of][inverse]
-            at, used = here[used], inverse[used]
-            u = of[used]
-            p[at] = (n[used] + distinct[u] * p[at]) / (count[u] + distinct[u])
+            n = np.bincount(inverse, train[here], len(pair))
+            ids, _, of = _distinct(key[here[index]])
+            count, distinct = np.bincount(of, n, len(ids)), np.bincount(of, n > 0, len(ids))
+            parent = p[here[index]]
+            state = self.totals.states(np.bincount(of, self.totals.worth(n, count[of], distinct[of], parent), len(ids)), count)
+            used = np.flatnonzero(state[of])
+            parent[used] = (n[used] + distinct[of[used]] * parent[used]) / (count[of[used]] + distinct[of[used]])
+            p[here] = parent[inverse]
         return p
 
 
-def _gains(totals) -> Callable:
-    """Terms of the split contexts' divergence test, from all counts of a bucket of symbols."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Totals = totals.value
-        for batch in batches:
-            for data in batch.column(1):
-                symbol, context, n = unpack_many(data.as_buffer().to_pybytes())
-                pair = _pair(context, symbol)
-                order = np.argsort(pair)
-                symbol, n, pair, place = symbol[order], n[order], pair[order], look_up(total.keys, context[order])
-                full = total.root(n)
-                for depth in range(1, DEPTH + 1):
-                    here = np.flatnonzero(total.depth[place] == depth)
-                    parent = total.keys[total.parent[place[here]]]
-                    u = place[here]
-                    full[here], gain = total.tested(n[here], total.count[u], total.distinct[u], full[look_up(pair, _pair(parent, symbol[here]))])
-                    ids, _, inverse = _distinct(u)
-                    yield pa.record_batch([pa.array(ids), pa.array(np.bincount(inverse, gain, len(ids)).astype(float))], ["id", "gain"])
-
-    return run
-
-
 def _scorer(totals) -> Callable:
-    def run(posts: pa.Table, shared: pa.Table) -> pa.Table:
-        kind, block, data = (posts[c].to_numpy() for c in ("kind", "block", "data"))
-        rows = [(int(block[i]), 1, data[i]) for i in np.flatnonzero(kind == 1)]
-        if (kind == 0).any():
-            own = np.flatnonzero(kind == 0)
-            bucket = Bucket([unpack_many(data[i]) for i in own], [unpack_many(d.as_buffer().to_pybytes()) for d in shared["data"]], totals.value)
-            p = bucket.score()
-            code, _, inverse = _distinct((bucket.block.astype(np.uint64) << np.uint64(32)) | bucket.document.astype(np.uint64))
-            sums = [np.bincount(inverse, x, len(code)) for x in (np.log10(p), np.log10(bucket.root), (bucket.seen > 0).astype(float))]
-            cut = _cut((code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32), *sums, delta=(0,))
-            rows += [(int(block[own[k]]), 0, x) for k, x in cut]
-        number = posts["bucket"][0].as_py() if len(posts) else 0
-        return pa.table([pa.array([number] * len(rows), pa.int32()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], ["bucket", "block", "kind", "data"])
+    def run(posts: pa.Table) -> pa.Table:
+        posts = posts.sort_by([("block", "ascending"), ("kind", "ascending")])
+        kind, block = posts["kind"].to_numpy(), posts["block"].to_numpy()
+        rows = [(int(block[i]), 1, posts["data"][i].as_py()) for i in np.flatnonzero(kind == 1)]
+        own = np.flatnonzero(kind == 0)
+        if len(own):
+            bucket = Bucket([posts["data"][i] for i in own], totals.value)
+            score = _fixed(bucket.score())
+            code, _, inverse = _distinct((bucket.block << 40) | (bucket.document >> 1))
+            total = np.bincount(inverse, score, len(code)).astype(np.int64)
+            order = np.argsort(code)
+            for k, a, b in _edges(code[order] >> 40):
+                rows.append((int(block[own[k]]), 0, pack_many(_narrow(code[order[a:b]] & ((1 << 40) - 1)), total[order[a:b]], delta=(0,))))
+            give_memory_back()
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "kind", "data"])
 
     return run
 
 
 def _adder(train_tokens: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("kind", "descending"), ("bucket", "ascending")])
-        raw = [d.as_buffer().to_pybytes() for d in group["data"]]
-        ids, null, held, n_tokens = unpack_many(raw[0])
-        sums = np.zeros((3, len(ids)))
-        for data in raw[1:]:
-            doc, *parts = unpack_many(data)
-            sums[:, doc] += np.stack(parts)
+        about = group["data"][int(np.flatnonzero(group["kind"].to_numpy() == 1)[0])]
+        ids, null, held, n_tokens, known, base, score = unpack_many(about.as_buffer())
+        score = score.copy()
+        for kind, data in zip(group["kind"].to_pylist(), group["data"], strict=True):
+            if kind == 0:
+                doc, part = unpack_many(data.as_buffer())
+                score[doc] += part
         n = len(ids)
         return pa.table(
-            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(sums[1]), pa.array(sums[0])],
+            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(base), pa.array(score / UNITS)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     return run
 
 
-def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth: int | None = None, least: int | None = None, gain: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows whose crc32(doc_id) % ``modulus`` is not ``held_out`` and score all rows.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10 probability
@@ -405,27 +556,35 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, doc_id:
     send = spark.sparkContext.broadcast
     out_of = F.coalesce(remainder(F.col(doc_id), modulus) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text).alias("text"))
-    buckets = partitions_for(docs, BUCKET_BYTES)
-    split, above = find_split(rows, buckets)
-    hot = send(split)
-    told = rows.mapInArrow(_tell(hot, buckets), "bucket int, data binary")
-    shared = materialise(told.groupBy("bucket").applyInArrow(_share, "bucket int, data binary"), "pst-shared")
-    sums = shared.filter("bucket = -2").mapInArrow(_totals, "key long, n long, distinct long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).toArrow()
-    keys, count, distinct = (sums[x].to_numpy() for x in ("key", "n", "distinct"))
-    if not len(keys):
+    blocks = materialise(rows.mapInArrow(_encode, "block long, data binary"), "pst-blocks")
+    plan = find_split(blocks, partitions_for(docs, BUCKET_BYTES), DEPTH if depth is None else depth)
+    shown = send(plan)
+    told = blocks.mapInArrow(_tell(shown), "bucket int, block long, data binary")
+    shared = materialise(told.groupBy("bucket").applyInArrow(_share(shown), "target long, bucket int, data binary"), "pst-shared")
+
+    def summed(target: int, *names: str) -> pa.Table:
+        found = shared.filter(F.col("target") == target).mapInArrow(_unpacked(list(names)), ", ".join(f"{n} long" for n in names))
+        return found.groupBy(names[0]).agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow().sort_by(names[0])
+
+    sums = summed(TOTALS, "number", "n", "distinct")
+    if not len(sums):
         return spark.createDataFrame([], SCORES)
-    keys = keys.view(np.uint64)
-    order = np.argsort(keys)
-    keys, count, distinct = keys[order], count[order], distinct[order]
-    depth, parent = (np.array([above.get(k, (0, 0))[i] for k in keys.tolist()], t) for i, t in ((0, np.int64), (1, np.uint64)))
+    often = summed(FREQUENT, "symbol", "n")
+    symbol, frequent_count = often["symbol"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    count, distinct = (np.zeros(len(plan.parent), np.int64) for _ in range(2))
+    count[sums["number"].to_numpy()], distinct[sums["number"].to_numpy()] = sums["n"].to_numpy(), sums["distinct"].to_numpy()
+    order = np.argsort(symbol)
     n = int(count[0])
-    totals = Totals(keys, depth, look_up(keys, parent), count, distinct, min(P_MIN * n, LEAST))
-    gains = shared.filter("bucket = -1").mapInArrow(_gains(send(totals)), "id long, gain double").groupBy("id").agg(F.sum("gain").alias("gain")).toArrow()
-    gain = np.zeros(len(keys))
-    gain[gains["id"].to_numpy()] = gains["gain"].to_numpy()
-    totals.retained = totals.states(gain, totals.count)
-
-    posts = rows.mapInArrow(_post(hot, buckets), "bucket int, block long, kind int, data binary")
-    met = posts.groupBy("bucket").cogroup(shared.filter("bucket >= 0").groupBy("bucket"))
-    parts = met.applyInArrow(_scorer(send(totals)), "bucket int, block long, kind int, data binary")
+    totals = Totals(plan.ancestors(), count, distinct, symbol[order], frequent_count[order], min(P_MIN * n, LEAST if least is None else least), GAIN if gain is None else gain, np.zeros(len(count), bool))
+    for d in range(1, plan.depth + 1):
+        if len(plan.keys[d - 1]):
+            found = shared.filter(F.col("target") == ALL).mapInArrow(_gains(send(totals), d), "number long, worth double").groupBy("number").agg(F.sum("worth").alias("worth")).toArrow()
+            worth = np.zeros(len(count))
+            worth[found["number"].to_numpy()] = found["worth"].to_numpy()
+            totals.retained |= totals.states(worth, count) & (plan.level() == d)
+
+    known = send(totals)
+    met = blocks.groupBy("block").cogroup(shared.filter("target >= 0").groupBy("target"))
+    posts = met.applyInArrow(_post(shown, known), "bucket int, block long, kind int, data binary")
+    parts = posts.groupBy("bucket").applyInArrow(_scorer(known), "block long, kind int, data binary")
     return parts.groupBy("block").applyInArrow(_adder(n), SCORES)
