@@ -116,6 +116,98 @@ def test_maximal_segments():
         assert all(abs(s - scores[a : b + 1].sum()) < 1e-9 for a, b, s in found)
 
 
+def test_the_scan_is_linear():
+    """Runs that start lower than all before them: 30 times as many take far less than 30 * 30 times as long."""
+    import time
+
+    took = []
+    for n in (10_000, 300_000):
+        began = time.perf_counter()
+        found = toxicity.maximal_segments(np.arange(n) * 3, np.full(n, 0.4), -0.5)
+        took.append(time.perf_counter() - began)
+        assert len(found) == n
+    assert took[1] < 150 * took[0] + 0.5
+
+
+def test_toxicity_scores_equal_a_plain_version(corpus):
+    from vecprep.llm.text import mix, segment_hashes
+
+    docs, labels, _ = corpus
+    model = toxicity.train_toxicity(docs, labels)
+    known = dict(zip(model.keys.tolist(), model.score.tolist(), strict=True))
+    strip = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+    def hashed(word):
+        raw = np.frombuffer(word, np.uint8)
+        return segment_hashes(raw, np.array([0]), np.array([len(raw)]))
+
+    def value(token):
+        core = token.rstrip(strip.encode())
+        core = core if core else token[:1]  # what is punctuation throughout keeps one character
+        core = core.lstrip(strip.encode()) or core[-1:]
+        for key in (hashed(core), mix(hashed(core[: toxicity.PREFIX]) ^ np.uint64(0x5DEECE66D))):
+            if int(key[0]) in known:
+                return known[int(key[0])]
+        return model.drift
+
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(40).collect()} | {1000: "", 1001: None, 1002: "!!! moron ... 'idiot'"}
+    for i, t in texts.items():
+        scores = np.array([value(w) for w in (t or "").encode().split()])
+        z = [model.scale * scores[a : b + 1].sum() - model.log_k - np.log(max(len(scores), 1)) for a, b in brute_segments(scores)] if len(scores) <= 60 else None
+        if z is None:  # the definition in cubic time suits short texts; longer ones by a scan without links
+            z = [model.scale * s - model.log_k - np.log(len(scores)) for s in plain_segments(scores)]
+        x = np.log1p(sum(max(0.0, v - toxicity.SIGNIFICANT) for v in z))
+        want = 1 / (1 + np.exp(-(x * model.weight[0] + model.weight[1])))
+        assert abs(model(pa.array([t], pa.string()))[0] - want) < 1e-9, i
+
+
+def plain_segments(scores):
+    """Sums of the maximal segments by recursion: the best segment, then what lies left and right of it."""
+    out, todo = [], [(0, len(scores))]
+    while todo:
+        a, b = todo.pop()
+        best, low, low_at, total, found = 0.0, 0.0, a, 0.0, None
+        for i in range(a, b):
+            total += scores[i]
+            if total - low > best + 1e-12:
+                best, found = total - low, (low_at, i + 1)
+            if total < low:
+                low, low_at = total, i + 1
+        if found:
+            out.append(best)
+            todo += [(a, found[0]), (found[1], b)]
+    return out
+
+
+def test_quality_scores_equal_a_plain_version(corpus):
+    import math
+
+    import zstandard
+
+    docs, labels, _ = corpus
+    model = quality.train_quality(docs, labels)
+
+    def size(raw, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        d.precompute_compress(level=quality.LEVEL)
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(raw[i : i + quality.BLOCK_BYTES])) for i in range(0, len(raw), quality.BLOCK_BYTES))
+
+    texts = [r["text"] for r in docs.limit(30).collect()] + ["", None, "é" * 5000]
+    for t in texts:
+        raw = (t or "").encode()
+        gain, short = (size(raw, model.bad) - size(raw, model.good)) / max(len(raw), 1), quality.SHORT_BYTES / (quality.SHORT_BYTES + len(raw))
+        want = 1 / (1 + math.exp(-(gain * model.weight[0] + short * model.weight[1] + model.weight[2])))
+        assert abs(model(pa.array([t], pa.string()))[0] - want) < 1e-12
+
+
+@pytest.mark.parametrize("run", [quality.score_quality, toxicity.score_toxicity])
+def test_other_columns_are_ignored(corpus, run):
+    docs, labels, _ = corpus
+    odd = docs.withColumnsRenamed({"lang": "score", "source": "_id", "n_chars": "held_out"}).withColumn("_label", F.lit(3))
+    assert sorted(map(tuple, run(odd, labels.withColumn("text", F.lit("x"))).collect())) == sorted(map(tuple, run(docs, labels).collect()))
+
+
 def test_scale_solves_its_equation():
     score, share = np.array([4.0, -1.0]), np.array([0.05, 0.95])
     x = toxicity._scale(score, share)

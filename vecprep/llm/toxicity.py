@@ -37,8 +37,6 @@ PREFIX = 6
 PRIOR = 200.0
 LEAST_PRIOR = 0.5
 Z = 3.0
-#: Significant units that are kept at most (the ones of largest z), which bounds what is sent to the executors.
-MAX_UNITS = 50_000
 LEAST_TEXTS = 3
 SIGNIFICANT = 0.0
 #: Bytes of text that are scanned at a time.
@@ -66,32 +64,34 @@ def maximal_segments(place: np.ndarray, score: np.ndarray, drift: float) -> list
     """All maximal segments (first, last, sum) where only ``place`` scores and every other token scores ``drift`` <= 0.
 
     Ruzzo and Tompa's scan: keep a list of candidate segments with their running sums at both ends; a new positive run
-    joins candidates as long as the nearest one that starts lower also ends lower. Other tokens are skipped over, as a
-    maximal segment begins and ends at a positive one.
+    joins candidates as long as the nearest one that starts lower also ends lower. Each candidate remembers which that
+    is for itself, so the search jumps from one to the next and what it jumps over is never looked at again: the scan
+    is linear. Other tokens are skipped over, as a maximal segment begins and ends at a positive one.
     """
     kept: list[list[float]] = []  # running sum before and after, first, last
+    lower: list[int] = []  # the nearest candidate before that starts lower, -1 if none
     total, previous = 0.0, -1
     for i, s in zip(place.tolist(), score.tolist(), strict=True):
         total += drift * (i - previous - 1)
         before, total, previous = total, total + s, i
         if s <= 0:
             continue
-        new = [before, total, i, i]
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
-                kept.append(new)
-                break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
-            del kept[j:]
+        first, j = i, len(kept) - 1
+        while j >= 0 and kept[j][0] >= before:
+            j = lower[j]
+        while j >= 0 and kept[j][1] < total:
+            before, _, first, _ = kept[j]
+            following = lower[j]
+            del kept[j:], lower[j:]
+            j = following
+        kept.append([before, total, first, i])
+        lower.append(j)
     return [(int(a), int(b), hi - lo) for lo, hi, a, b in kept]
 
 
 @dataclass
 class ToxicityModel:
-    """Significant units (``MAX_UNITS`` at most), the drift of all other tokens and the calibration."""
+    """Significant units (the sample bounds their number), the drift of all other tokens and the calibration."""
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     score: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -152,7 +152,6 @@ def _significant(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
         delta = odds[1] - odds[0]
         z = delta / np.sqrt((1 / (count + prior)).sum(0))
         good = np.flatnonzero((z >= Z) & (count[1] >= LEAST_TEXTS))
-        good = good[np.argsort(-z[good], kind="stable")][: MAX_UNITS // 2]
         found.append((unique[good], delta[good]))
     keys, score = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(keys)
