@@ -105,3 +105,33 @@ def test_queries(documents, prose):
     again = {(r["doc_id"], r["ids_crc32"]) for r in P.sample_digests(df.repartition(1), MODEL).collect()}
     assert again == {(r["doc_id"], r["ids_crc32"]) for r in found}
     assert P.sample_digests(documents([]), MODEL).collect() == []
+
+
+def test_draws_are_equal_bit_by_bit_in_any_company(pieces, prose):
+    """One chunk's shares, alone, after thousands of others and from a worker's memory."""
+    text = "uncharacteristically"
+    data = np.frombuffer(b" " + text.encode(), np.uint8)
+    alone = P.Lattice()
+    alone.add(pieces, data, np.array([0, len(data)]))
+    others = [f" {w}" for w in set(prose(3000, 1, 2000).split())]
+    joined = np.frombuffer("".join(others).encode() + data.tobytes(), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(w.encode()) for w in others]), [len(joined)]])
+    many = P.Lattice()
+    last = many.add(pieces, joined, begin)[-1]
+    first = many.edge[last - len(data)]
+    assert many.running[first:].tobytes() == alone.running.tobytes() and (many.piece[first:] == alone.piece).all()
+    sampler, texts = P.Sampler(pieces), pa.array([prose(50, i) for i in range(40)] * 3)
+    keys = np.arange(len(texts))
+    once = [sampler.ids(keys, texts) for _ in range(3)]
+    assert sampler.kept.nodes and all((a == once[0][0]).all() and (b == once[0][1]).all() for a, b in once[1:])
+    small = [P.sample_ids(pieces, keys[i : i + 1], texts.slice(i, 1))[0] for i in range(len(texts))]
+    assert (np.concatenate(small) == once[0][0]).all()
+
+
+def test_memory_of_chunks_is_bounded(pieces, prose, monkeypatch):
+    monkeypatch.setattr(P, "KEPT_NODES", 50)
+    sampler = P.Sampler(pieces)
+    for i in range(5):
+        texts = pa.array([prose(80, 10 * i + k) for k in range(10)])
+        ids, at = sampler.ids(np.arange(10), texts)
+        assert sampler.kept.nodes <= 50 and (ids == P.sample_ids(pieces, np.arange(10), texts)[0]).all()

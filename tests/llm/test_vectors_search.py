@@ -109,10 +109,48 @@ def test_max_score_prunes_exactly():
     v = np.floor(256 * rng.standard_normal((500, 40)) * np.exp(-np.arange(40) / 6))
     v[100:110] = v[90]
     for q in np.floor(256 * rng.standard_normal((20, 40))):
-        ids, scores = max_score.best_in_shard(np.arange(500), v, -1, q, 5)
         s = v @ q
         want = np.lexsort((np.arange(500), -s))[:5]
-        assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+        shard = max_score.Shard(np.arange(500), np.ascontiguousarray(v.T))
+        for beat in (-np.inf, float(np.median(s)), float(s[want[4]])):  # any score that k vectors reach
+            ids, scores = shard.best(-1, q, 5, beat)
+            assert ids.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+        assert shard.best(-1, q, 5, float(s[want[0]]) + 1)[0].tolist() == []
+
+
+def test_max_score_leaves_non_essential_places_unread():
+    """Places whose bounds can't reach the score to beat are probed for the vectors that still compete, no others."""
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.standard_normal((2000, 40)) * np.exp(-np.arange(40) / 4))
+
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, key):
+            out = np.asarray(self)[key]
+            Counted.read += out.size
+            return out
+
+    q = np.floor(256 * rng.standard_normal(40))
+    shard = max_score.Shard(np.arange(2000), np.ascontiguousarray(v.T))
+    shard.postings = shard.postings.view(Counted)
+    best = float(np.sort(v @ q)[-5])
+    assert shard.best(-1, q, 5, best)[1][-1] == best and Counted.read < 0.6 * v.size
+
+
+def test_max_score_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], 1.0, 2, 3, 4) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector double, _id int, score int, rank int")
+    plain = df.select("vec_id", "embedding")
+    assert sorted(map(tuple, max_score.top_k(df, "_id % 50 = 0").collect())) == sorted(map(tuple, max_score.top_k(plain, "_id % 50 = 0").collect()))
+
+
+def test_forest_ignores_other_columns(spark):
+    rows = [(i, [float(i % 5 + 1), 1.0], 1.0, 2, 3, 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, vector double, key int, rep int, n_links int")
+    found = projection_forest.vector_components(df)
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"]
+    assert as_dict(found) == as_dict(projection_forest.vector_components(df.select("vec_id", "embedding")))
 
 
 def test_large_values_stay_exact(embeddings):
@@ -137,6 +175,40 @@ def test_max_score_sql_and_corners(embeddings):
 def test_lengths_without_trees_have_single_leaves():
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [2.0, 4.0]])], ["rep", "vector"])
-    found = [(dim, t, leaf, part["rep"].to_pylist()) for dim, t, leaf, part in projection_forest._leaves(iter([batch]), {3: [projection_forest.Tree(np.zeros((0, 3)), 1)]})]
-    assert found == [(2, t, 0, [1, 3]) for t in range(projection_forest.TREES)] + [(3, 0, 0, [2])]
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([1, 1, 1]), pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [2.0, 4.0]])], ["rep", "size", "vector"])
+    tree = projection_forest.Tree.fitted(np.zeros((0, 3)), 0, 1, 10)
+    found = [(dim, part["rep"].to_pylist(), row.tolist(), len(set(code.tolist()))) for dim, part, row, code in projection_forest._leaves(iter([batch]), {3: [tree]})]
+    assert found == [(2, [1, 3], [0, 1], 1), (3, [2], [0], 1)]
+
+
+def test_a_small_sample_splits_a_large_table(embeddings, monkeypatch):
+    """Levels below the sample's leaves divide the table too, and every link is counted once over many leaves and trees."""
+    monkeypatch.setattr(projection_forest, "LEAF", 60)
+    monkeypatch.setattr(projection_forest, "SAMPLE", 150)
+    rows = clustered(3000, 1000, 32, 4, 0.1)
+    found, want = as_dict(projection_forest.vector_components(embeddings(rows))), brute_components(rows)
+    assert sum(r[0] for r in found.values()) >= 0.98 * sum(r[0] for r in want.values())
+    assert all(found[i][0] <= want[i][0] and found[i][1] >= want[i][1] for i in want)
+
+
+def test_deep_trees_from_few_points():
+    rng = np.random.default_rng(9)
+    x = projection_forest.unit(rng.standard_normal((20_000, 16)))
+    tree = projection_forest.Tree.fitted(x[:400], 20_000, 5, 100)
+    sizes = [len(rows) for _, rows in tree.leaves(x)]
+    assert tree.further and max(sizes) < 1000 and sum(sizes) < 4 * len(x)
+    assert set(np.concatenate([rows for _, rows in tree.leaves(x)]).tolist()) == set(range(len(x)))
+    assert 0.07 < projection_forest.loss(0.1) < 0.085 and 0.05 < projection_forest.loss(0.15) < 0.06
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.2])
+def test_dense_clusters_in_chunks_and_leaves(embeddings, monkeypatch, noise):
+    monkeypatch.setattr(projection_forest, "LEAF", 30)
+    monkeypatch.setattr(projection_forest, "TASK_ROWS", 25)
+    rng = np.random.default_rng(10)
+    centre = rng.standard_normal((4, 12))
+    rows = [(i, (centre[i % 4] + noise * rng.standard_normal(12)).round(4).tolist()) for i in range(400)]
+    found, want = as_dict(projection_forest.vector_components(embeddings(rows))), brute_components(rows)
+    assert sum(r[0] for r in found.values()) >= 0.98 * sum(r[0] for r in want.values()) and all(found[i][0] <= want[i][0] for i in want)
+    assert sum(found[i][1:] == want[i][1:] for i in want) >= 0.98 * len(rows)
+
