@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 
 from ..tables import materialise, new_path, shared_dir, shuffle_partitions
 
-__all__ = ["drop", "materialise", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
+__all__ = ["drop", "materialise", "materialise_by", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
 
 
 def drop(df: DataFrame) -> None:
@@ -20,6 +22,17 @@ def drop(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def materialise_by(df: DataFrame, column: str, parts: int, name: str) -> DataFrame:
+    """``materialise``, with the rows of equal ``column`` in one of ``parts`` buckets, so that what is grouped or joined by
+    that column finds them without a shuffle. The catalog knows the table only while it is made."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"{name}_{uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(parts, column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    return out
+
+
 def size_in_bytes(df: DataFrame) -> int | None:
     """Bytes of all that ``df`` reads, as Catalyst knows them; None if a source has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -11,18 +11,18 @@ where the parent is the longest shorter suffix of u that is a state, down to the
 predictions, each with the occurrence itself taken out, beat its parent's by more than ``gain`` nats per occurrence. A
 position is scored by the longest suffix of what precedes it that is a retained state.
 
-How it runs. Texts are read once: blocks of documents become a table of word numbers with the 64-bit hashes of their
-words. Every position goes to the bucket of the word before it, where all contexts that end with that word are counted,
-tested and used; no set of contexts is broadcast.
-1. Split contexts: one that makes up a large part of a bucket (at most 8 a bucket and depth) is divided among buckets by
-   the next older word. Only their keys and totals reach the driver.
-2. Shared counts: each block tells how often each symbol occurs (the root is split as well) and how often it follows each
-   split context, once per symbol and context; they are summed by symbol (for frequent symbols by symbol and the
-   context's last word) and the sums go back to the blocks that asked, with a number for each word. All that the
-   divergence test of split contexts needs of a symbol lies in one place there.
-3. Blocks finish what the split contexts decide and send all other positions on, as word numbers, to their buckets. These
-   test their contexts and score their positions; the sums per document return to the documents' block. They are whole
-   multiples of 2**-32, so no order of summation matters.
+How it runs. Texts are read once: blocks of documents become a table of word numbers, bucketed by block so that answers
+find their block without moving it. Then blocks ask and buckets answer, level by level; positions and documents stay.
+0. Each block tells how often each of its words occurs; counts are summed by word, and a number for the word and its
+   count come back.
+1. For contexts of one word that occur ``least`` times, each block tells once per context and symbol how often the
+   symbol follows. A bucket has all that follows its contexts, so it counts, tests and answers with the pair's count, and
+   with T(u) and the test's result. What is summed for a word after a context is how often the two occur together, that
+   is the count of the longer context: so
+2. and on: only contexts that are known to occur ``least`` times are asked for at the next level.
+A context that makes up 1 / (4 buckets) of all positions is divided among buckets by symbol; its totals and its test are
+put together from parts (at most 4 such contexts a bucket and level; only these reach the driver). No set of contexts or
+words is broadcast. After the last level the blocks score their documents.
 
 Null and empty texts have the end symbol alone. A null document id counts as training text (its remainder is unknown).
 Repeated rows are documents of their own. Without training tokens every symbol has base probability 1. An empty table
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import remainder
-from .storage import drop, materialise, partitions_for
+from .storage import drop, materialise, materialise_by, partitions_for
 from .text import byte_runs, give_memory_back, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
@@ -53,12 +53,12 @@ BLOCK_BYTES = 6 << 20
 #: Bytes of stored input for which there is a bucket.
 BUCKET_BYTES = 6 << 20
 END = np.uint64(0x1F0E3DCD97531ECA)
-#: Scores are summed in units of 1 / UNITS.
-UNITS = 2.0**32
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Targets of shared counts that aren't blocks.
-ALL, TOTALS, FREQUENT = -1, -2, -3
+ASKS = "bucket int, block long, data binary"
+ANSWERS = "target long, level int, bucket int, data binary"
+#: Targets of answers that aren't blocks.
+TOTALS, PARTS = -1, -2
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,49 +75,63 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
 
 
-def _join(key: np.ndarray, older: np.ndarray, depth: int) -> np.ndarray:
-    """The key of a context that has one more word in front."""
-    return mix(key * _STEP + older.astype(np.uint64) + np.uint64(depth))
+def _hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.astype(np.uint64) * _STEP + b.astype(np.uint64))
 
 
-def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context.astype(np.uint64) * _STEP + symbol.astype(np.uint64))
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal entries begin and how long they are."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
 
 
-def _edges(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Value, begin and end of each run of equal entries."""
-    cut = np.append(np.flatnonzero(np.diff(sorted_, prepend=-1)), len(sorted_))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield int(sorted_[a]), a, b
+def _segments(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Bucket, begin and end of each run."""
+    for a, n in zip(*_runs(bucket), strict=True):
+        yield int(bucket[a]), int(a), int(a + n)
+
+
+def _table(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], [n for n, _ in columns])
+
+
+def _answers(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return _table(rows, ("target", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()))
 
 
 @dataclass
 class Block:
-    """Some documents: sorted hashes of their words, and the numbers of these, each document ended by END."""
+    """Some documents: what tells their words apart (sorted hashes, later sorted numbers), how often these occur in
+    training, and the documents as places in that list, each ended by END."""
 
     ids: np.ndarray
     null: np.ndarray
     held: np.ndarray
     size: np.ndarray
     words: np.ndarray
+    count: np.ndarray
     symbol: np.ndarray
 
     @classmethod
     def of(cls, ids: pa.Array, held: pa.Array, texts: pa.Array) -> Block:
         hashes, at = words(texts)
         words_, _, symbol = _distinct(np.insert(hashes, at[1:], END))
-        order = np.argsort(words_)
+        block = cls(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(held), np.diff(at) + 1, words_, np.zeros(len(words_), np.int64), symbol)
+        return block.sorted()
+
+    def sorted(self) -> Block:
+        order = np.argsort(self.words)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return cls(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(held), np.diff(at) + 1, words_[order], rank[symbol])
+        return Block(self.ids, self.null, self.held, self.size, self.words[order], self.count[order], rank[self.symbol])
 
     def pack(self) -> bytes:
-        return pack_many(self.ids, self.null.astype(np.uint8), self.held.astype(np.uint8), _narrow(self.size), self.words, _narrow(self.symbol), delta=(4,))
+        return pack_many(self.ids, self.null.astype(np.uint8), self.held.astype(np.uint8), _narrow(self.size), _narrow(self.words), _narrow(self.count), _narrow(self.symbol), delta=(4,))
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
-        ids, null, held, size, words_, symbol = unpack_many(data)
-        return cls(ids, null.astype(bool), held.astype(bool), size.astype(np.int64), words_, symbol.astype(np.int64))
+        ids, null, held, size, words_, count, symbol = unpack_many(data)
+        return cls(ids, null.astype(bool), held.astype(bool), size.astype(np.int64), words_.astype(np.uint64), count.astype(np.int64), symbol.astype(np.int64))
 
     @property
     def document(self) -> np.ndarray:
@@ -127,18 +141,11 @@ class Block:
         """How many words precede each symbol in its text."""
         return np.arange(len(self.symbol)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
 
-    def older(self, depth: int) -> np.ndarray:
-        """The number of the word that many places before (of no meaning where the text has fewer)."""
-        out = np.zeros(len(self.symbol), np.int64)
-        out[depth:] = self.symbol[: max(len(self.symbol) - depth, 0)]
-        return out
-
-    def contexts(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Depth by depth the key of the words before each symbol (of no meaning where the text has fewer)."""
-        key = np.zeros(len(self.symbol), np.uint64)
-        for depth in range(1, most + 1):
-            key = _join(key, self.words[self.older(depth)], depth)
-            yield depth, key
+    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words by the bucket that counts them: places in order, and their buckets."""
+        bucket = (mix(self.words) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,395 +164,314 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
             give_memory_back()
 
 
-def _heavy(share: float, most: int) -> Callable:
-    """Contexts that make up ``share`` of a block (twice there at least), whose parents do so too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _read(batches):
-            rows = [np.array([[0, 0, 0, len(block.symbol)]], np.int64)]
-            before, open_, parent = block.before(), np.arange(len(block.symbol)), np.zeros(len(block.symbol), np.uint64)
-            for depth, key in block.contexts(most):
-                open_ = open_[before[open_] >= depth]
-                unique, first, inverse = _distinct(key[open_])
-                count = np.bincount(inverse, minlength=len(unique))
-                heavy = count >= max(share * len(block.symbol), 2)
-                rows.append(np.column_stack([np.full(heavy.sum(), depth), unique[heavy].view(np.int64), parent[open_[first[heavy]]].view(np.int64), count[heavy]]))
-                open_, parent = open_[heavy[inverse]], key
-            yield pa.record_batch([pa.array(c) for c in np.concatenate(rows).T], ["depth", "key", "parent", "n"])
-
-    return run
-
-
-@dataclass
-class Plan:
-    """Number of buckets and the split contexts: their sorted keys by depth. Numbers of contexts count through all depths,
-    0 is the root. ``parent``: of each number."""
-
-    depth: int
-    buckets: int
-    keys: list[np.ndarray]
-    parent: np.ndarray
-
-    @property
-    def begin(self) -> list[int]:
-        """The first number of each depth."""
-        return [0, *(1 + np.cumsum([0, *map(len, self.keys)])).tolist()]
-
-    def level(self) -> np.ndarray:
-        return np.repeat(np.arange(self.depth + 1), [1, *map(len, self.keys)])
-
-    def ancestors(self) -> np.ndarray:
-        """Depth x number: the number's ancestor of that depth (itself, at its own), -1 where it is less deep."""
-        level, out = self.level(), np.full((self.depth + 1, len(self.parent)), -1)
-        for depth in range(self.depth, -1, -1):
-            out[depth, level == depth] = np.flatnonzero(level == depth)
-            for deeper in range(depth + 1, self.depth + 1):
-                own = np.flatnonzero(level == deeper)
-                out[depth, own] = out[depth, self.parent[own]]
-        return out
-
-    def frequent(self, words_: np.ndarray) -> np.ndarray:
-        """Whether a word is a split context, or the end."""
-        return (look_up(self.keys[0], _join(np.zeros(len(words_), np.uint64), words_, 1)) >= 0) | (words_ == END)
-
-
-def find_split(blocks: DataFrame, buckets: int, most: int) -> Plan:
-    """The contexts that make up 1 / (4 buckets) of all positions, and some of half as many."""
-    share = 1 / (8 * buckets)
-    found = blocks.mapInArrow(_heavy(share, most), "depth long, key long, parent long, n long").groupBy("depth", "key", "parent").agg(F.sum("n").alias("n"))
-    found = materialise(found, "pst-heavy")
-    total = found.filter("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
-    large = found.filter((F.col("depth") > 0) & (F.col("n") >= share * total)).toArrow()
-    drop(found)
-    depth, key, parent = large["depth"].to_numpy(), large["key"].to_numpy().view(np.uint64), large["parent"].to_numpy().view(np.uint64)
-    order = np.lexsort((key, depth))
-    depth, key, parent = depth[order], key[order], parent[order]
-    keys, above = [], [np.zeros(1, np.int64)]
-    for d in range(1, most + 1):
-        own = depth == d
-        of = look_up(keys[-1], parent[own]) if keys else np.zeros(int(own.sum()), np.int64)
-        good = of >= 0
-        above.append(1 + sum(map(len, keys[:-1])) + of[good] if keys else of[good])
-        keys.append(key[own][good])
-    return Plan(most, buckets, keys, np.concatenate(above))
-
-
-class Routed:
-    """The positions of a block: their contexts' keys, how many words precede them (``depth`` at most), how many of the
-    contexts, from the shortest, are split, and their numbers (depth x positions, -1 where not split)."""
-
-    def __init__(self, block: Block, plan: Plan):
-        self.known = np.minimum(block.before(), plan.depth)
-        self.split = np.zeros(len(self.known), np.int64)
-        self.number = np.full((plan.depth + 1, len(self.known)), -1)
-        self.number[0] = 0
-        place = np.zeros(len(self.known), np.uint64)
-        for depth, key in block.contexts(plan.depth):
-            open_ = np.flatnonzero((self.known >= depth) & (self.split == depth - 1))
-            place[open_] = mix(key[open_])
-            at = look_up(plan.keys[depth - 1], key[open_])
-            divided = open_[at >= 0]
-            self.split[divided] = depth
-            self.number[depth, divided] = plan.begin[depth] + at[at >= 0]
-        self.bucket = (place % np.uint64(plan.buckets)).astype(np.int64)
-
-
-class Asked:
-    """What a block asks for: each symbol after the root and after each split context, once, by the bucket that sums it.
-
-    ``index[depth]``: for the positions ``here[depth]`` (those with a split context of that depth) the place of their
-    pair."""
-
-    def __init__(self, block: Block, plan: Plan, routed: Routed):
-        train = ~block.held[block.document]
-        to = mix(block.words) % np.uint64(plan.buckets)
-        frequent, n_words = plan.frequent(block.words), len(block.words)
-        first_word = plan.ancestors()[1] if plan.depth else np.zeros(1, np.int64)
-        symbol, context, count, bucket = [], [], [], []
-        self.here, self.index, at = [], [], 0
-        for depth in range(plan.depth + 1):
-            here = np.flatnonzero(routed.split >= depth) if depth else np.arange(len(block.symbol))
-            code, _, inverse = _distinct(routed.number[depth, here] * n_words + block.symbol[here])
-            s, c = code % n_words, code // n_words
-            spread = frequent[s] & (depth > 0)
-            b = to[s]
-            b[spread] = mix(block.words[s[spread]] ^ mix(plan.keys[0][first_word[c[spread]] - 1])) % np.uint64(plan.buckets)
-            symbol.append(s)
-            context.append(c)
-            count.append(np.bincount(inverse, train[here], len(code)).astype(np.int64))
-            bucket.append(b.astype(np.int64))
-            self.here.append(here)
-            self.index.append(inverse + at)
-            at += len(code)
-        symbol, context, count, bucket = (np.concatenate(x) for x in (symbol, context, count, bucket))
-        order = np.lexsort((context, symbol, bucket))
-        self.symbol, self.context, self.count, self.bucket = symbol[order], context[order], count[order], bucket[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.index = [back[i] for i in self.index]
-
-
-def _tell(plan) -> Callable:
+def _ask_words(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in _read(batches):
-            asked, rows = Asked(block, plan.value, Routed(block, plan.value)), []
-            for bucket, a, b in _edges(asked.bucket):
-                own = asked.symbol[a:b]
-                runs = np.flatnonzero(np.diff(own, prepend=-1))
-                rows.append((bucket, pack_many(block.words[own[runs]], _narrow(np.diff(np.append(runs, b - a))), _narrow(asked.context[a:b]), _narrow(asked.count[a:b]), delta=(0,))))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "data"])
+            count = np.bincount(block.symbol, ~block.held[block.document], len(block.words)).astype(np.int64)
+            order, bucket = block.asked(buckets)
+            rows = [(b, number, pack_many(block.words[order[i:j]], _narrow(count[order[i:j]]), delta=(0,))) for b, i, j in _segments(bucket)]
+            yield _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())).to_batches()[0]
 
     return run
 
 
-def _share(plan) -> Callable:
-    """Sums the counts of a bucket of symbols: to each block what it asked for, in its order, with numbers for its words;
-    to ALL the sums, to TOTALS occurrences and symbols of contexts, to FREQUENT how often frequent symbols occur."""
+def _answer_words(buckets: int) -> Callable:
+    """Sums the counts of a bucket of words: to each block its words' numbers and counts, to TOTALS occurrences and words."""
 
     def run(group: pa.Table) -> pa.Table:
-        number, block = group["bucket"][0].as_py(), group["block"].to_pylist()
-        symbol, context, count, size = [], [], [], []
-        for data in group["data"]:
-            own, runs, c, n = unpack_many(data.as_buffer())
-            symbol.append(np.repeat(own, runs))
-            context.append(c.astype(np.int64))
-            count.append(n.astype(np.int64))
-            size.append(len(c))
-        symbol, context, count = (np.concatenate(x) for x in (symbol, context, count))
-        _, index, inverse = _distinct(_pair(context, symbol))
-        total = np.bincount(inverse, count, len(index)).astype(np.int64)
-        of, by = context[index], symbol[index]
-        named = np.unique(by[of == 0])
-        ids, _, which = _distinct(of)
-        seen = np.flatnonzero(total > 0)
-        seen = seen[np.argsort(by[seen], kind="stable")]
-        often = np.flatnonzero((of == 0) & plan.value.frequent(by))
-        rows = [
-            (TOTALS, pack_many(ids, np.bincount(which, total, len(ids)).astype(np.int64), np.bincount(which, total > 0, len(ids)).astype(np.int64))),
-            (ALL, pack_many(by[seen], _narrow(of[seen]), _narrow(total[seen]), delta=(0,))),
-            (FREQUENT, pack_many(by[often], total[often])),
-        ]
-        answer, a = total[inverse], 0
-        for target, n in zip(block, size, strict=True):
-            root = symbol[a : a + n][context[a : a + n] == 0]
-            numbers = np.searchsorted(named, root) * plan.value.buckets + number + 1
-            rows.append((target, pack_many(_narrow(answer[a : a + n]), _narrow(numbers), delta=())))
-            a += n
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["target", "bucket", "data"])
+        bucket, asks = group["bucket"][0].as_py(), [unpack_many(d.as_buffer()) for d in group["data"]]
+        word, _, inverse = _distinct(np.concatenate([a[0] for a in asks]))
+        total = np.bincount(inverse, np.concatenate([a[1] for a in asks]), len(word)).astype(np.int64)
+        place = np.empty(len(word), np.int64)
+        place[np.lexsort((word, -total))] = np.arange(len(word))  # frequent words get small numbers
+        number, rows, at = place * buckets + bucket + 1, [(TOTALS, 0, bucket, pack_many(np.array([total.sum()]), np.array([np.count_nonzero(total)])))], 0
+        for target, ask in zip(group["block"].to_pylist(), asks, strict=True):
+            own = inverse[at : at + len(ask[0])]
+            rows.append((target, 0, bucket, pack_many(_narrow(number[own]), _narrow(total[own]))))
+            at += len(own)
+        return _answers(rows)
 
     return run
 
 
-def _unpacked(names: list[str]) -> Callable:
-    """Rows of the packed columns of a target."""
+def _numbered(buckets: int) -> Callable:
+    """Blocks whose words are numbers, with their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(2):
-                columns = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in unpack_many(data.as_buffer())]
-                yield pa.record_batch([pa.array(c) for c in columns], names)
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(blocks):
+            return _table([], ("block", pa.int64()), ("data", pa.binary()))
+        block = Block.unpack(blocks["data"][0].as_buffer())
+        order, bucket = block.asked(buckets)
+        told = dict(zip(answers["bucket"].to_pylist(), answers["data"], strict=True))
+        named, count = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
+        for b, i, j in _segments(bucket):
+            named[order[i:j]], count[order[i:j]] = unpack_many(told[b].as_buffer())
+        block.words, block.count = named, count
+        return _table([(blocks["block"][0].as_py(), block.sorted().pack())], ("block", pa.int64()), ("data", pa.binary()))
 
     return run
 
 
 @dataclass
-class Totals:
-    """Of the root and the split contexts, by number: occurrences, distinct symbols, whether they are states. How often
-    frequent symbols occur (sorted hashes, counts)."""
+class Model:
+    """What all tasks know: sizes, settings, and by level the divided contexts (sorted keys, T(u) and whether a state)."""
 
-    ancestors: np.ndarray
-    count: np.ndarray
-    distinct: np.ndarray
-    frequent: np.ndarray
-    frequent_count: np.ndarray
+    depth: int
+    buckets: int
+    tokens: int
+    distinct: int
     least: float
     gain: float
-    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    keys: dict[int, np.ndarray] = field(default_factory=dict)
+    after: dict[int, np.ndarray] = field(default_factory=dict)
+    state: dict[int, np.ndarray] = field(default_factory=dict)
 
     def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.count[0] + 0.5 * (self.distinct[0] + 1))
-
-    def below(self, p: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The probability after ``n`` occurrences in contexts (-1: none), from that of the parent."""
-        used = (number >= 0) & self.retained[number]
-        c, t = self.count[number], self.distinct[number]
-        return np.where(used, (n + t * p) / np.maximum(c + t, 1), p)
-
-    @staticmethod
-    def worth(n: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """What symbols seen ``n`` times in contexts of ``c`` occurrences and ``t`` symbols gain over their parent."""
-        left = t - (n == 1)
-        rest = c - 1 + left
-        out = np.where(rest > 0, (n - 1 + left * parent) / np.maximum(rest, 1), parent)
-        return np.where(n > 0, n * np.log(np.maximum(out, 1e-300) / parent), 0.0)
+        return (count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+
+    def divided(self, count: np.ndarray) -> np.ndarray:
+        return count * 4 * self.buckets >= self.tokens
 
     def states(self, worth: np.ndarray, count: np.ndarray) -> np.ndarray:
         return (worth > self.gain * count) & (count >= self.least)
 
 
-def _gains(totals, depth: int) -> Callable:
-    """Terms of the divergence test of the split contexts of one depth, from all counts of a bucket of symbols."""
+def _below(p: np.ndarray, n: np.ndarray, c: np.ndarray, t: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The probability after ``n`` of ``c`` occurrences in a context with ``t`` symbols, if a state, from its parent's."""
+    return np.where(state, (n + t * p) / np.maximum(c + t, 1), p)
+
+
+def _worth(n: np.ndarray, c: np.ndarray, t: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """What symbols seen ``n`` times in contexts of ``c`` occurrences and ``t`` symbols gain over their parent."""
+    left = t - (n == 1)
+    rest = c - 1 + left
+    out = np.where(rest > 0, (n - 1 + left * parent) / np.maximum(rest, 1), parent)
+    return np.where(n > 0, n * np.log(np.maximum(out, 1e-300) / parent), 0.0)
+
+
+class Level:
+    """What a block asks of one level, and what it knows once that is answered.
+
+    ``here``: the positions whose context of this depth occurs often enough; ``pair``: for each of them the place of its
+    (context, symbol) among those asked for, which lie by bucket, context and symbol.
+    """
+
+    def __init__(self, here: np.ndarray, key: np.ndarray, count: np.ndarray, block: Block, model: Model):
+        contexts, first, of = _distinct(key)
+        symbol = block.symbol[here]
+        _, index, pair = _distinct(of * np.int64(len(block.words)) + symbol)
+        of, symbol = of[index], symbol[index]
+        total = count[first]
+        divided = model.divided(total)
+        bucket = mix(contexts)[of]
+        spread = divided[of]
+        bucket[spread] = mix(contexts[of[spread]] ^ mix(block.words[symbol[spread]]))
+        bucket = (bucket % np.uint64(model.buckets)).astype(np.int64)
+        order = np.lexsort((symbol, of, bucket))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.here, self.pair = here, back[pair]
+        self.bucket, self.of, self.symbol, self.first = bucket[order], of[order], symbol[order], index[order]
+        train = ~block.held[block.document[here]]
+        self.train = np.bincount(self.pair, train, len(order)).astype(np.int64)
+        self.contexts, self.total, self.divided = contexts, total, divided
+        self.n = np.zeros(len(order), np.int64)
+        self.after, self.state = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+
+    def answered(self, told: dict[int, pa.Scalar], model: Model, depth: int) -> None:
+        for bucket, i, j in _segments(self.bucket):
+            first, _ = _runs(self.of[i:j])
+            self.n[i:j], about = unpack_many(told[bucket].as_buffer())
+            run = self.of[i + first]
+            self.after[run], self.state[run] = about.astype(np.int64) >> 1, (about & 1) > 0
+        if self.divided.any():
+            at = look_up(model.keys[depth], self.contexts[self.divided])
+            self.after[self.divided], self.state[self.divided] = model.after[depth][at], model.state[depth][at]
+
+
+class Replay:
+    """A block and its levels so far: of each position the probability, and the counts of what its contexts saw."""
+
+    def __init__(self, block: Block, model: Model):
+        self.block, self.model = block, model
+        self.known = block.before()
+        self.levels: list[Level] = []
+        self.counts = [block.count[block.symbol]]
+        self.p = model.root(self.counts[0])
+        self.key = np.zeros(len(block.symbol), np.uint64)
+        self.about: list[tuple[np.ndarray, ...]] = []
+
+    def ask(self) -> Level:
+        depth = len(self.levels) + 1
+        older = np.zeros(len(self.key), np.int64)
+        older[depth:] = self.block.symbol[: max(len(self.key) - depth, 0)]
+        self.key = _hashed(self.key + np.uint64(depth), self.block.words[older])
+        often = np.zeros(len(self.key), np.int64)  # how often the context occurs, as far as it was asked for
+        often[1:] = self.counts[-1][:-1]
+        here = np.flatnonzero((self.known >= depth) & (often >= max(self.model.least, 1)))
+        return Level(here, self.key[here], often[here], self.block, self.model)
+
+    def take(self, level: Level, told: dict[int, pa.Scalar]) -> None:
+        level.answered(told, self.model, len(self.levels) + 1)
+        n, c, t = (np.zeros(len(self.key), np.int64) for _ in range(3))
+        state, of = np.zeros(len(self.key), bool), level.of[level.pair]
+        n[level.here], c[level.here], t[level.here], state[level.here] = level.n[level.pair], level.total[of], level.after[of], level.state[of]
+        self.p = _below(self.p, n, c, t, state)
+        self.levels.append(level)
+        self.counts.append(n)
+        self.about.append((c, t * 2 + state))
+
+    def through(self, answers: pa.Table, levels: int) -> None:
+        by: dict[int, dict[int, pa.Scalar]] = {}
+        for level, bucket, data in zip(answers["level"].to_pylist(), answers["bucket"].to_pylist(), answers["data"], strict=True):
+            by.setdefault(level, {})[bucket] = data
+        for depth in range(1, levels + 1):
+            self.take(self.ask(), by.get(depth, {}))
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        """By bucket: contexts with their runs, whether divided and what their suffixes are; symbols with their counts."""
+        level = self.ask()
+        for bucket, i, j in _segments(level.bucket):
+            first, length = _runs(level.of[i:j])
+            run, at = level.of[i + first], level.here[level.first[i:j]]
+            ours = [x[at[first]] for about in self.about for x in about]
+            columns = (_narrow(level.contexts[run]), length, level.divided[run].astype(np.uint8), *ours, level.train[i:j], self.block.words[level.symbol[i:j]], *(n[at] for n in self.counts))
+            yield bucket, pack_many(*map(_narrow, columns))
+
+
+def _ask(model) -> Callable:
+    """Of the first level, which needs no answers but those in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Totals = totals.value
-        for batch in batches:
-            for data in batch.column(2):
-                symbol, number, n = unpack_many(data.as_buffer())
-                number, n = number.astype(np.int64), n.astype(np.int64)
-                pair = _pair(number, symbol)
-                order = np.argsort(pair)
-                pair, ordered = pair[order], n[order]
-
-                def count(number: np.ndarray, symbol: np.ndarray, pair=pair, ordered=ordered) -> np.ndarray:
-                    at = look_up(pair, _pair(np.maximum(number, 0), symbol))
-                    return np.where((at >= 0) & (number >= 0), ordered[at], 0)
-
-                here = np.flatnonzero(total.ancestors[depth, number] == number)
-                symbol, number, n = symbol[here], number[here], n[here]
-                often = look_up(total.frequent, symbol)
-                seen = np.where(often >= 0, total.frequent_count[often] if len(total.frequent) else 0, count(np.zeros(len(here), np.int64), symbol))
-                p = total.root(seen)
-                for d in range(1, depth):
-                    above = total.ancestors[d, number]
-                    p = total.below(p, above, count(above, symbol))
-                ids, _, which = _distinct(number)
-                worth = np.bincount(which, total.worth(n, total.count[number], total.distinct[number], p), len(ids))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(worth.astype(float))], ["number", "worth"])
+        for number, block in _read(batches):
+            rows = [(bucket, number, data) for bucket, data in Replay(block, model.value).asks()]
+            yield from _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())).to_batches()
 
     return run
 
 
-def _fixed(p: np.ndarray) -> np.ndarray:
-    return np.rint(np.log10(p) * UNITS)
+def _ask_on(model, depth: int) -> Callable:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        if len(blocks):
+            replay = Replay(Block.unpack(blocks["data"][0].as_buffer()), model.value)
+            replay.through(answers, depth - 1)
+            rows = [(bucket, blocks["block"][0].as_py(), data) for bucket, data in replay.asks()]
+        give_memory_back()
+        return _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()))
 
+    return run
 
-def _post(plan, totals) -> Callable:
-    """A block and the answers to it: what is known of its documents (kind 1), and by bucket (kind 0) the positions that
-    split contexts don't settle."""
 
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(blocks):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary())], ["bucket", "block", "kind", "data"])
-        settled: Totals = totals.value
-        number, block = blocks["block"][0].as_py(), Block.unpack(blocks["data"][0].as_buffer())
-        routed = Routed(block, plan.value)
-        asked = Asked(block, plan.value, routed)
-        total, name = np.zeros(len(asked.symbol), np.int64), np.zeros(len(block.words), np.uint64)
-        answered = dict(zip(answers["bucket"].to_pylist(), answers["data"], strict=True))
-        for bucket, a, b in _edges(asked.bucket):
-            total[a:b], numbers = unpack_many(answered[bucket].as_buffer())
-            name[asked.symbol[a:b][asked.context[a:b] == 0]] = numbers
-        counts = np.zeros((plan.value.depth + 1, len(block.symbol)), np.int64)
-        for depth, (here, index) in enumerate(zip(asked.here, asked.index, strict=True)):
-            counts[depth, here] = total[index]
-        p = settled.root(counts[0])
-        document, base = block.document, np.log10(p)
-        for depth in range(1, plan.value.depth + 1):
-            p = settled.below(p, routed.number[depth], counts[depth])
-        done, n_docs = routed.known == routed.split, len(block.size)
-        sums = [np.bincount(document, x, n_docs) for x in (counts[0] > 0, base, np.where(done, _fixed(p), 0.0))]
-        rows = [(number % plan.value.buckets, 1, pack_many(block.ids, block.null.astype(np.uint8), block.held.astype(np.uint8), block.size, *sums))]
-
-        sent = np.flatnonzero(~done)
-        first = name[block.older(1)]
-        sent = sent[np.lexsort((first[sent], routed.bucket[sent]))]
-        older = [np.where(routed.known[sent] >= d, name[block.older(d)[sent]], 0) for d in range(1, plan.value.depth + 1)]
-        deepest = routed.number[routed.split[sent], sent]
-        own = document[sent] * 2 + ~block.held[document[sent]]
-        for bucket, a, b in _edges(routed.bucket[sent]):
-            at = sent[a:b]
-            _, entry, which = _distinct(deepest[a:b] * len(block.words) + block.symbol[at])
-            entry_symbol = name[block.symbol[at[entry]]]
-            used, coded = np.unique(np.concatenate([entry_symbol, *(w[a:b] for w in older)]), return_inverse=True)
-            entry_symbol, *coded = np.split(coded, len(entry) + (b - a) * np.arange(plan.value.depth))
-            columns = (used, entry_symbol, deepest[a:b][entry], *(counts[d, at[entry]] for d in range(plan.value.depth)), which, own[a:b], *coded)
-            rows.append((bucket, 0, pack_many(*map(_narrow, columns), delta=(0,))))
+def _answer(model, depth: int) -> Callable:
+    """Counts and tests the contexts of a bucket; of divided ones tells TOTALS and PARTS what it has."""
+
+    def run(group: pa.Table) -> pa.Table:
+        known: Model = model.value
+        bucket = group["bucket"][0].as_py()
+        contexts, lengths, divided, about, train, symbol, counts, size = [], [], [], [], [], [], [], []
+        for data in group["data"]:
+            context, length, cut, *rest = unpack_many(data.as_buffer())
+            ours, (n, s, *seen) = rest[: 2 * depth - 2], rest[2 * depth - 2 :]
+            contexts.append(context.astype(np.uint64))
+            lengths.append(length.astype(np.int64))
+            divided.append(cut > 0)
+            about.append([x.astype(np.int64) for x in ours])
+            train.append(n)
+            symbol.append(s.astype(np.uint64))
+            counts.append([x.astype(np.int64) for x in seen])
+            size.append(len(n))
+        run_context, length = np.concatenate(contexts), np.concatenate(lengths)
+        keys, first_run, of_run = _distinct(run_context)
+        of = np.repeat(of_run, length)
+        _, index, inverse = _distinct(_hashed(keys[of], np.concatenate(symbol)))
+        n = np.bincount(inverse, np.concatenate(train), len(index)).astype(np.int64)
+        seen = [np.concatenate(x)[index] for x in zip(*counts, strict=True)]
+        ours = [np.concatenate(x) for x in zip(*about, strict=True)]
+        run_of = np.repeat(np.arange(len(length)), length)[index]
+        p = known.root(seen[0])
+        for k in range(1, depth):
+            c, packed = ours[2 * k - 2][run_of], ours[2 * k - 1][run_of]
+            p = _below(p, seen[k], c, packed >> 1, (packed & 1) > 0)
+        of, cut = of[index], np.concatenate(divided)[first_run]
+        count, after = np.bincount(of, n, len(keys)).astype(np.int64), np.bincount(of, n > 0, len(keys)).astype(np.int64)
+        state = known.states(np.bincount(of, _worth(n, count[of], after[of], p), len(keys)), count)
+        rows = []
+        if cut.any():
+            part = np.flatnonzero(cut[of] & (n > 0))
+            rows = [(TOTALS, depth, bucket, pack_many(keys[cut], count[cut], after[cut])), (PARTS, depth, bucket, pack_many(keys[of[part]], _narrow(n[part]), p[part]))]
+        told, at, run_at = after * 2 + state, 0, 0
+        told[cut] = 0
+        for target, pairs, runs in zip(group["block"].to_pylist(), size, map(len, lengths), strict=True):
+            rows.append((target, depth, bucket, pack_many(_narrow(n[inverse[at : at + pairs]]), _narrow(told[of_run[run_at : run_at + runs]]))))
+            at, run_at = at + pairs, run_at + runs
         give_memory_back()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "kind", "data"])
+        return _answers(rows)
 
     return run
 
 
-class Bucket:
-    """Positions of a bucket: probability so far, symbol, words before, document (twice its place, plus 1 if it trains)."""
-
-    def __init__(self, pieces: list[pa.Scalar], totals: Totals):
-        depth = len(totals.ancestors) - 1
-        p, symbol, split, older, document, block = [], [], [], [[] for _ in range(depth)], [], []
-        for k, data in enumerate(pieces):
-            used, entry_symbol, number, *columns = unpack_many(data.as_buffer())
-            counts, (which, own, *coded) = columns[:depth], columns[depth:]
-            number = number.astype(np.int64)
-            now = totals.root(counts[0].astype(np.int64))
-            for d in range(1, depth):
-                now = totals.below(now, totals.ancestors[d, number], counts[d].astype(np.int64))
-            p.append(now[which])
-            symbol.append(used[entry_symbol][which])
-            split.append((totals.ancestors[:, number] >= 0).sum(axis=0)[which].astype(np.uint8) - 1)
-            for to, w in zip(older, coded, strict=True):
-                to.append(used[w])
-            document.append(own.astype(np.int64))
-            block.append(np.full(len(own), k))
-        self.totals = totals
-        self.p, self.symbol, self.split, self.document, self.block = (np.concatenate(x) for x in (p, symbol, split, document, block))
-        self.older = [np.concatenate(w) for w in older]
-
-    def score(self) -> np.ndarray:
-        """The probability of every position's symbol."""
-        p, train, key = self.p, (self.document & 1).astype(float), np.zeros(len(self.p), np.uint64)
-        for depth, word in enumerate(self.older, 1):
-            key = _join(key, word, depth)
-            here = np.flatnonzero((word > 0) & (self.split < depth))
-            pair, index, inverse = _distinct(_pair(key[here], self.symbol[here]))
-            n = np.bincount(inverse, train[here], len(pair))
-            ids, _, of = _distinct(key[here[index]])
-            count, distinct = np.bincount(of, n, len(ids)), np.bincount(of, n > 0, len(ids))
-            parent = p[here[index]]
-            state = self.totals.states(np.bincount(of, self.totals.worth(n, count[of], distinct[of], parent), len(ids)), count)
-            used = np.flatnonzero(state[of])
-            parent[used] = (n[used] + distinct[of[used]] * parent[used]) / (count[of[used]] + distinct[of[used]])
-            p[here] = parent[inverse]
-        return p
-
-
-def _scorer(totals) -> Callable:
-    def run(posts: pa.Table) -> pa.Table:
-        posts = posts.sort_by([("block", "ascending"), ("kind", "ascending")])
-        kind, block = posts["kind"].to_numpy(), posts["block"].to_numpy()
-        rows = [(int(block[i]), 1, posts["data"][i].as_py()) for i in np.flatnonzero(kind == 1)]
-        own = np.flatnonzero(kind == 0)
-        if len(own):
-            bucket = Bucket([posts["data"][i] for i in own], totals.value)
-            score = _fixed(bucket.score())
-            code, _, inverse = _distinct((bucket.block << 40) | (bucket.document >> 1))
-            total = np.bincount(inverse, score, len(code)).astype(np.int64)
-            order = np.argsort(code)
-            for k, a, b in _edges(code[order] >> 40):
-                rows.append((int(block[own[k]]), 0, pack_many(_narrow(code[order[a:b]] & ((1 << 40) - 1)), total[order[a:b]], delta=(0,))))
-            give_memory_back()
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "kind", "data"])
+def _listed(names: list[str]) -> Callable:
+    """Rows of packed columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(3):
+                yield pa.record_batch([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in unpack_many(data.as_buffer())], names)
 
     return run
 
 
-def _adder(train_tokens: int) -> Callable:
-    def run(group: pa.Table) -> pa.Table:
-        about = group["data"][int(np.flatnonzero(group["kind"].to_numpy() == 1)[0])]
-        ids, null, held, n_tokens, known, base, score = unpack_many(about.as_buffer())
-        score = score.copy()
-        for kind, data in zip(group["kind"].to_pylist(), group["data"], strict=True):
-            if kind == 0:
-                doc, part = unpack_many(data.as_buffer())
-                score[doc] += part
-        n = len(ids)
-        return pa.table(
-            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, train_tokens)), pa.array(base), pa.array(score / UNITS)],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+def _test_parts(totals) -> Callable:
+    """What the parts of divided contexts are worth, by context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count, after = totals.value
+        for batch in batches:
+            for data in batch.column(3):
+                key, n, p = unpack_many(data.as_buffer())
+                at = look_up(keys, key)
+                worth = np.bincount(at, _worth(n.astype(np.int64), count[at], after[at], p), len(keys))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(worth.astype(float))], ["key", "worth"])
 
     return run
 
 
+def _finish(model) -> Callable:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = []
+        if len(blocks):
+            block = Block.unpack(blocks["data"][0].as_buffer())
+            replay, n, document = Replay(block, model.value), len(block.ids), block.document
+            base = np.bincount(document, np.log10(replay.p), n)
+            replay.through(answers, model.value.depth)
+            score, known = np.bincount(document, np.log10(replay.p), n), np.bincount(document, replay.counts[0] > 0, n).astype(np.int64)
+            rows = [pa.array(block.ids, pa.int64(), mask=block.null), pa.array(block.held), pa.array(block.size), pa.array(known), pa.array(np.full(n, model.value.tokens, np.int64)), pa.array(base), pa.array(score)]
+        give_memory_back()
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table(rows or [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names)
+
+    return run
+
+
+def _divided(answers: DataFrame, model: Model, depth: int) -> None:
+    """Put the divided contexts of a level together; there are at most 4 a bucket."""
+    spark = answers.sparkSession
+    parts = answers.filter(F.col("target") == TOTALS).mapInArrow(_listed(["key", "n", "after"]), "key long, n long, after long")
+    found = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("after").alias("after")).toArrow()
+    key = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    key, count, after = key[order], found["n"].to_numpy()[order], found["after"].to_numpy()[order]
+    state = np.zeros(len(key), bool)
+    if len(key):
+        tested = answers.filter(F.col("target") == PARTS).mapInArrow(_test_parts(spark.sparkContext.broadcast((key, count, after))), "key long, worth double")
+        worth = tested.groupBy("key").agg(F.sum("worth").alias("worth")).toArrow()
+        total = np.zeros(len(key))
+        total[look_up(key, worth["key"].to_numpy().view(np.uint64))] = worth["worth"].to_numpy()
+        state = model.states(total, count)
+    model.keys[depth], model.after[depth], model.state[depth] = key, after, state
+
+
 def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth: int | None = None, least: int | None = None, gain: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rows whose crc32(doc_id) % ``modulus`` is not ``held_out`` and score all rows.
 
@@ -556,35 +482,29 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth:
     send = spark.sparkContext.broadcast
     out_of = F.coalesce(remainder(F.col(doc_id), modulus) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text).alias("text"))
-    blocks = materialise(rows.mapInArrow(_encode, "block long, data binary"), "pst-blocks")
-    plan = find_split(blocks, partitions_for(docs, BUCKET_BYTES), DEPTH if depth is None else depth)
-    shown = send(plan)
-    told = blocks.mapInArrow(_tell(shown), "bucket int, block long, data binary")
-    shared = materialise(told.groupBy("bucket").applyInArrow(_share(shown), "target long, bucket int, data binary"), "pst-shared")
-
-    def summed(target: int, *names: str) -> pa.Table:
-        found = shared.filter(F.col("target") == target).mapInArrow(_unpacked(list(names)), ", ".join(f"{n} long" for n in names))
-        return found.groupBy(names[0]).agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow().sort_by(names[0])
-
-    sums = summed(TOTALS, "number", "n", "distinct")
-    if not len(sums):
+    buckets, stored = partitions_for(docs, BUCKET_BYTES), partitions_for(docs, BUCKET_BYTES)
+    texts = materialise_by(rows.mapInArrow(_encode, "block long, data binary"), "block", stored, "pst-texts")
+    asks = texts.mapInArrow(_ask_words(buckets), ASKS)
+    answers = materialise(asks.groupBy("bucket").applyInArrow(_answer_words(buckets), ANSWERS), "pst-words")
+    sums = answers.filter(F.col("target") == TOTALS).mapInArrow(_listed(["n", "distinct"]), "n long, distinct long").agg(F.sum("n"), F.sum("distinct")).collect()[0]
+    if sums[0] is None:
         return spark.createDataFrame([], SCORES)
-    often = summed(FREQUENT, "symbol", "n")
-    symbol, frequent_count = often["symbol"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    count, distinct = (np.zeros(len(plan.parent), np.int64) for _ in range(2))
-    count[sums["number"].to_numpy()], distinct[sums["number"].to_numpy()] = sums["n"].to_numpy(), sums["distinct"].to_numpy()
-    order = np.argsort(symbol)
-    n = int(count[0])
-    totals = Totals(plan.ancestors(), count, distinct, symbol[order], frequent_count[order], min(P_MIN * n, LEAST if least is None else least), GAIN if gain is None else gain, np.zeros(len(count), bool))
-    for d in range(1, plan.depth + 1):
-        if len(plan.keys[d - 1]):
-            found = shared.filter(F.col("target") == ALL).mapInArrow(_gains(send(totals), d), "number long, worth double").groupBy("number").agg(F.sum("worth").alias("worth")).toArrow()
-            worth = np.zeros(len(count))
-            worth[found["number"].to_numpy()] = found["worth"].to_numpy()
-            totals.retained |= totals.states(worth, count) & (plan.level() == d)
-
-    known = send(totals)
-    met = blocks.groupBy("block").cogroup(shared.filter("target >= 0").groupBy("target"))
-    posts = met.applyInArrow(_post(shown, known), "bucket int, block long, kind int, data binary")
-    parts = posts.groupBy("bucket").applyInArrow(_scorer(known), "block long, kind int, data binary")
-    return parts.groupBy("block").applyInArrow(_adder(n), SCORES)
+    met = texts.groupBy("block").cogroup(answers.filter("target >= 0").groupBy("target"))
+    blocks = materialise_by(met.applyInArrow(_numbered(buckets), "block long, data binary"), "block", stored, "pst-blocks")
+    drop(texts)
+    drop(answers)
+    model = Model(DEPTH if depth is None else depth, buckets, sums[0], sums[1], min(P_MIN * sums[0], LEAST if least is None else least), GAIN if gain is None else gain)
+    told: DataFrame | None = None
+    for level in range(1, model.depth + 1):
+        known = send(model)
+        if told is None:
+            asks = blocks.mapInArrow(_ask(known), ASKS)
+        else:
+            asks = blocks.groupBy("block").cogroup(told.groupBy("target")).applyInArrow(_ask_on(known, level), ASKS)
+        answers = materialise(asks.groupBy("bucket").applyInArrow(_answer(known, level), ANSWERS), "pst-answers")
+        _divided(answers, model, level)
+        answers = answers.filter("target >= 0")
+        told = answers if told is None else told.unionByName(answers)
+    if told is None:
+        told = spark.createDataFrame([], ANSWERS)
+    return blocks.groupBy("block").cogroup(told.groupBy("target")).applyInArrow(_finish(send(model)), SCORES)
