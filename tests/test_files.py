@@ -1,5 +1,6 @@
 import struct
 import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -297,3 +298,100 @@ def test_no_pairs(spark, tmp_path):
     records(tmp_path / "lonely.fvecs", [[1]])
     with pytest.raises(ValueError, match="no complete pairs"):
         cli.main(["merge-directory", str(tmp_path), str(tmp_path / "out")])
+
+
+@pytest.fixture
+def hdf5_file(spark, tmp_path, monkeypatch):
+    """A file with two sets, one below a group, one of three dimensions and one of text, read through a stand-in package."""
+    stand_in = str(Path(__file__).parent / "standins" / "h5py.py")
+    spark.sparkContext.addPyFile(stand_in)
+    monkeypatch.syspath_prepend(str(Path(stand_in).parent))
+    monkeypatch.delitem(sys.modules, "h5py", raising=False)
+    rng = np.random.default_rng(1)
+    data = {"train": rng.random((300, 4), np.float32), "test": rng.random((20, 4)), "more/deep": rng.integers(0, 9, (7, 3)), "cube": rng.random((5, 2, 3)), "words": np.array(["a", "b"])}
+    path = tmp_path / "sets_4.hdf5"
+    with open(path, "wb") as f:
+        np.savez(f, **data)
+    yield str(path), data
+    sys.modules.pop("h5py", None)
+
+
+def test_hdf5_sets_are_read_in_parts(spark, hdf5_file, monkeypatch):
+    from vecprep.sources import hdf5
+
+    path, data = hdf5_file
+    assert hdf5.dataset_keys(path) == ["more/deep", "test", "train"] and hdf5.dataset_keys(path, ["test"]) == ["test"]
+    for key in ("train", "test", "more/deep"):
+        assert np.array_equal(np.array(content(files.read_vectors(spark, f"{path}:{key}"))), data[key].astype(np.float32))
+    assert np.array_equal(np.array(content(hdf5.read_hdf5(spark, path, "cube", flatten=True))), data["cube"].reshape(-1, 3).astype(np.float32))
+    monkeypatch.setattr(hdf5, "PARTITION_BYTES", 16 * 40)
+    monkeypatch.setattr(hdf5, "BATCH_BYTES", 16 * 7)
+    reader = hdf5.Hdf5Reader({"path": path, "key": "train"})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) == 8 and [x for b in batches for x in b["ord"].to_pylist()] == list(range(300))
+    assert np.array_equal(np.array([x for b in batches for x in b["vec"].to_pylist()], np.float32), data["train"])
+    for key, message in (("none", "there is no"), ("more", "isn't a data set"), ("words", "isn't numeric"), ("cube", "3 dimensions")):
+        with pytest.raises(Exception, match=message):
+            hdf5.read_hdf5(spark, path, key).count()
+
+
+def test_hdf5_commands(spark, hdf5_file, tmp_path, monkeypatch, capsys):
+    path, data = hdf5_file
+    monkeypatch.chdir(tmp_path)
+    cli.main(["hdf5-to-fvecs", path, "--output-dir", str(tmp_path / "out" if (tmp_path / "out").mkdir() is None else "")])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["sets_4_base_300.fvecs", "sets_4_query_20.fvecs"]
+    assert np.array_equal(np.array(content(read_fvecs(spark, str(tmp_path / "out" / "sets_4_base_300.fvecs")))), data["train"])
+    cli.main(["hdf5-check", path, "--key", "test", "--plot"])
+    assert "Vectors: 20" in capsys.readouterr().out
+    assert (tmp_path / "sets_4.hdf5_test_histogram.png").read_bytes().startswith(b"\x89PNG") and (tmp_path / "sets_4.hdf5_test_hdf5_check_report.txt").exists()
+    assert cli.main(["check-all", str(tmp_path), "--kind", "hdf5"]) == 0
+    assert (tmp_path / "sets_4.hdf5_more__deep_hdf5_check_report.txt").exists()
+
+
+def test_remote_files_are_split_and_checked(spark, tmp_path):
+    from vecprep.sources import fvecs, ivecs
+
+    rows = [[i, i + 0.5] for i in range(500)]
+    path = records(tmp_path / "a.fvecs", rows)
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.input.fileinputformat.split.maxsize", "1200")
+    df = fvecs._read_remote(spark, f"file://{path}", "little", None, None)
+    spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
+    assert content(df) == rows
+    lists = records(tmp_path / "g.ivecs", [[3, 1], [2, 9]], "i")
+    assert content(ivecs._read_remote(spark, f"file://{lists}", "little", False), "query_ord", "ids") == [[3, 1], [2, 9]]
+    assert ivecs._read_remote(spark, f"file://{lists}", "little", True).filter("error IS NULL AND declared = 2").count() == 2
+    bad = records(tmp_path / "b.fvecs", [[1, 2], [3, 4, 5], [1, 2, 3, 4]])
+    with pytest.raises(Exception, match="inconsistent dimension|[Pp]artial record"):
+        fvecs._read_remote(spark, f"file://{bad}", "little", None, None).count()
+    assert fvecs._read_remote(spark, f"file://{records(tmp_path / 'e.fvecs', [])}", "little", None, None).count() == 0
+
+
+def test_shards_are_written_by_tasks(spark, tmp_path, vectors):
+    from vecprep.sources.fvecs import write_shards
+
+    rows = [[i, -i] for i in range(25)]
+    names = write_shards(vectors(rows).repartition(5), str(tmp_path / "out"), 10, "x", endian="big")
+    assert names == [("x_10_0.fvecs", 10), ("x_10_1.fvecs", 10), ("x_5_2.fvecs", 5)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [n for n, _ in names]
+    assert [v for n, _ in names for v in content(read_fvecs(spark, str(tmp_path / "out" / n), "big"))] == rows
+    assert write_shards(vectors([]), str(tmp_path / "none"), 10, "x") == []
+    with pytest.raises(ValueError, match="absolute"):
+        write_shards(vectors(rows), "out", 10, "x")
+
+
+def test_shuffle_without_a_seed(spark, tmp_path, capsys):
+    path = records(tmp_path / "a.fvecs", [[i, i] for i in range(50)])
+    for name in ("b", "c"):
+        cli.main(["shuffle", path, str(tmp_path / f"{name}.fvecs")])
+    a, b, c = (content(read_fvecs(spark, str(tmp_path / f"{n}.fvecs"))) for n in "abc")
+    assert sorted(b) == sorted(c) == a and b != c and b != a
+
+
+def test_shared_folder_is_required_off_local_mode(spark):
+    from vecprep import tables
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", applicationId="x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))

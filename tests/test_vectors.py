@@ -205,3 +205,29 @@ def test_streaming(spark, tmp_path, vectors):
     query.awaitTermination(60)
     rows = spark.table("cleaned").collect()
     assert len(rows) == 1 and np.allclose(rows[0]["vec"], [0.6, 0.8]) and rows[0]["norm"] == 5
+
+
+def test_normalize_takes_time_in_proportion_to_components(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vecprep.functions import vector as V
+
+    took = {}
+    for dim in (64, 512):  # as many components either way
+        rows = spark.range(0, 2_000_000 // dim, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (i + F.col("id")).cast("float")).alias("vec"))
+        runs = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows.select(F.aggregate(V.normalize(F.col("vec")), F.lit(0.0), lambda a, x: a + x).alias("x")).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - began)
+        took[dim] = min(runs)
+    assert took[512] < 3 * took[64] + 0.3
+
+
+def test_sortedness_by_bytes(vectors):
+    from vecprep.operators import order
+
+    assert order.first_unsorted_bytes(vectors([[0.0], [1.0], [2.0]])).collect()[0][0] == 3  # 00 00 80 3f, then 00 00 00 40
+    assert order.first_unsorted_bytes(vectors([[2.0], [1.0], [1.0, 0.0]])).collect()[0][0] is None

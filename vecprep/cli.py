@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import random
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -15,7 +16,7 @@ from .operators import assemble, clean, dedup, groundtruth, order, profile
 from .plans import prep
 from .sources import codec
 from .sources.files import find_files, first_row, read_vectors
-from .sources.fvecs import read_fvecs, swap_endianness, vector_at, write_fvecs
+from .sources.fvecs import read_fvecs, swap_endianness, vector_at, write_fvecs, write_shards
 from .sources.hdf5 import dataset_keys, read_hdf5
 from .sources.ivecs import read_ivecs, row_at, write_ivecs
 
@@ -33,16 +34,22 @@ def _beside(path: str, suffix: str) -> str:
 
 
 def check(spark: SparkSession, a: argparse.Namespace) -> None:
-    lines = report.vector_report(read_fvecs(spark, a.file, a.endian), a.file, a.tol_norm, a.tol_zero, a.first_vector_dims)
+    rows = read_fvecs(spark, a.file, a.endian)
+    lines = report.vector_report(rows, a.file, a.tol_norm, a.tol_zero, a.first_vector_dims)
     print("\n".join(lines))
     report.write(f"{a.file}_fvecs_check_report.txt", lines)
+    if a.plot:
+        report.write_histogram_png(f"{a.file}_histogram.png", profile.norm_histogram(rows).collect())
 
 
 def hdf5_check(spark: SparkSession, a: argparse.Namespace) -> None:
     for key in dataset_keys(a.file, a.key):
-        lines = report.vector_report(read_hdf5(spark, a.file, key), f"{a.file}:{key}", a.tol_norm, a.tol_zero)
+        rows = read_hdf5(spark, a.file, key)
+        lines = report.vector_report(rows, f"{a.file}:{key}", a.tol_norm, a.tol_zero)
         print("\n".join(lines))
         report.write(f"{a.file}_{report_key(key)}_hdf5_check_report.txt", lines)
+        if a.plot:
+            report.write_histogram_png(f"{a.file}_{report_key(key)}_histogram.png", profile.norm_histogram(rows).collect())
 
 
 def report_key(key: str) -> str:
@@ -77,6 +84,8 @@ def deduplicate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = read_fvecs(spark, a.file, a.endian)
+    line = order.first_unsorted_bytes(rows).collect()[0][0]
+    print("Sorted by bytes" if line is None else f"Not sorted by bytes: line {line}")
     line = order.first_unsorted(rows).collect()[0][0]
     print("Sorted" if line is None else f"Not sorted: line {line}")
     print("\n".join(report.duplicate_report(rows, a.threshold)))
@@ -98,19 +107,16 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def shard(spark: SparkSession, a: argparse.Namespace) -> None:
-    folder, shape = Path(a.output), codec.layout(a.file)
-    rows = read_fvecs(spark, a.file)
-    folder.mkdir(parents=True, exist_ok=True)
-    for row in assemble.shards(rows, a.size, Path(a.file).stem).orderBy("shard_id").toLocalIterator():
-        first = row["shard_id"] * a.size
-        part = read_fvecs(spark, a.file, ord_start=first, ord_end=min(first + a.size, shape.count))
-        write_fvecs(part, str(assemble.shard_folder(folder, f"{row['name']}.fvecs")))
+    for name, _ in write_shards(read_fvecs(spark, a.file), a.output, a.size, Path(a.file).stem):
+        print(name)
 
 
 def shuffle(spark: SparkSession, a: argparse.Namespace) -> None:
     if Path(a.output).exists():
         raise FileExistsError(a.output)
-    write_fvecs(order.shuffle(read_fvecs(spark, a.file), a.seed), a.output)
+    seed = random.SystemRandom().randrange(2**31) if a.seed is None else a.seed
+    print(f"seed {seed}")
+    write_fvecs(order.shuffle(read_fvecs(spark, a.file), seed), a.output)
 
 
 def truncate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -222,16 +228,17 @@ def parser() -> argparse.ArgumentParser:
     norm, zero = text("--tol-norm", type=float, default=V.NORM_TOLERANCE), text("--tol-zero", type=float, default=V.ZERO_TOLERANCE)
     dims, key = text("--first-vector-dims", type=int, default=100), text("--key", action="append", default=[])
     limit, seed = text("--threshold -n", type=int, default=1), text("--seed", type=int, default=42)
-    add("check", check, text("file"), endian, norm, zero, dims)
-    add("hdf5-check", hdf5_check, text("file"), key, text("--tol-norm", type=float, default=V.CHECK_NORM_TOLERANCE), zero)
-    add("check-all", check_all, text("folder"), text("--kind", choices=("fvecs", "hdf5"), default="fvecs"), text("--recursive", action="store_true"), endian, norm, zero, dims, key)
+    plot = text("--plot", action="store_true")
+    add("check", check, text("file"), endian, norm, zero, dims, plot)
+    add("hdf5-check", hdf5_check, text("file"), key, text("--tol-norm", type=float, default=V.CHECK_NORM_TOLERANCE), zero, plot)
+    add("check-all", check_all, text("folder"), text("--kind", choices=("fvecs", "hdf5"), default="fvecs"), text("--recursive", action="store_true"), endian, norm, zero, dims, key, plot)
     add("dedup", deduplicate, text("file"), limit, endian, text("--output -o"), text("--report -r"), text("--presorted", action="store_true"))
     add("duplicates", duplicates, text("file"), limit, endian)
     add("dedup-sorted", dedup_sorted, text("file"), text("--output -o", required=True), endian)
     add("sort", sort, text("file"), endian, text("--output -o"))
     add("split", split, text("file"), text("--num_query", type=int, default=10_000), text("--num_base", type=int), seed)
     add("shard", shard, text("file"), text("size", type=int), text("--output -o", required=True))
-    add("shuffle", shuffle, text("file"), text("output"), seed)
+    add("shuffle", shuffle, text("file"), text("output"), text("--seed", type=int))
     add("truncate", truncate, text("file"), text("num_base", type=int), text("--output"))
     add("normalize", normalize, text("--input", required=True), text("--output", required=True), text("--tolerance", type=float, default=V.CHECK_NORM_TOLERANCE))
     add("remove-zeros", remove_zeros, text("--input", required=True), text("--output", required=True), text("--tolerance", type=float, default=0.0))

@@ -45,7 +45,8 @@ def normalize(v: Column, zero_tolerance: float = ZERO_TOLERANCE) -> Column:
     """Unit length in 32-bit components; a vector whose norm is at most the tolerance stays as it is."""
     n = norm(v)
     divisor = F.when(n <= zero_tolerance, F.lit(1.0)).otherwise(n)
-    return F.transform(v, lambda x: (x.cast("double") / divisor).cast("float"))
+    # The divisor goes in as an array: inside the lambda it would be computed anew for every component.
+    return F.zip_with(v, F.array_repeat(divisor, F.size(v)), lambda x, m: (x.cast("double") / m).cast("float"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,6 +6,10 @@ bins are counted (one small row each) and summed, and rows are numbered within b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +86,21 @@ def first_unsorted(df: DataFrame, vec: str = "vec", ord: str = "ord") -> DataFra
     return rows.agg(F.min(F.when(F.col(vec) < F.col("_previous"), F.col(ord) + 1)).alias("first_violation"))
 
 
+def first_unsorted_bytes(df: DataFrame, vec: str = "vec", ord: str = "ord") -> DataFrame:
+    """``first_unsorted`` by the bytes of little-endian records, their length first, as unsigned numbers."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            raw, size = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.asarray(lists.value_lengths())
+            ends = 4 * np.cumsum(size)
+            records = [int(n).to_bytes(4, "little") + raw[b - 4 * n : b] for n, b in zip(size.tolist(), ends.tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(records, pa.binary())], ["ord", "record"])
+
+    rows = require(df, vec, ord).select(F.col(ord).cast("long").alias("ord"), F.col(vec).cast("array<float>").alias("vec"))
+    return first_unsorted(rows.mapInArrow(encode, "ord long, record binary"), "record", "ord")
+
+
 def truncate(df: DataFrame, n: int, ord: str = "ord") -> DataFrame:
     """The first ``n`` vectors in order; fewer if there are fewer."""
     return require(df, ord).filter(F.col(ord) < n)

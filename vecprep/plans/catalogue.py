@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions import vector as V
 from ..operators import assemble, clean, dedup, groundtruth, knn, order, profile
-from ..sources.fvecs import read_fvecs, swap_endianness, write_fvecs
-from ..sources.ivecs import read_ivecs, write_ivecs
+from ..sources import codec
+from ..sources.files import first_row
+from ..sources.fvecs import read_fvecs, swap_endianness, vector_at, write_fvecs, write_shards
+from ..sources.ivecs import read_ivecs, row_at, write_ivecs
 from ..tables import materialise, shared_dir
 from .prep import PrepConfig, ground_truth
 
@@ -506,6 +508,112 @@ def ivecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_ord", "rank", F.col("base_ord").alias("base_id"))
 
 
+@_query(_with("scaled") + "SELECT CAST(max(len(vec)) AS INTEGER) AS dim, count(*) AS cnt FROM scaled")
+def file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a file's first record and its size alone."""
+    path = _file(spark, "layout.fvecs")
+    write_fvecs(_scaled(spark, sf_dir), path)
+    shape = codec.layout(path)
+    return spark.createDataFrame([(shape.dim, shape.count)], "dim int, cnt long")
+
+
+@_query(_with("scaled") + "SELECT CAST(unnest(generate_series(1, len(vec))) AS INTEGER) AS pos, CAST(unnest(vec) AS DOUBLE) AS value FROM scaled WHERE ord = 123")
+def seek_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, "seek.fvecs")
+    write_fvecs(_scaled(spark, sf_dir), path)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(vector_at(spark, path, 123), 1)], "pos int, value double")
+
+
+@_query(_with("scaled") + _LONG + "scaled WHERE ord >= 100 AND ord < 130")
+def seek_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, "range.fvecs")
+    write_fvecs(_scaled(spark, sf_dir), path)
+    return materialise(_long_form(read_fvecs(spark, path, ord_start=100, ord_end=130)), "fvecs")
+
+
+@_query(_with("scaled") + "SELECT ord // 150 AS shard, 'x_' || count(*) || '_' || (ord // 150) || '.fvecs' AS name, count(*) AS n, CAST(min_by(vec, ord)[1] AS DOUBLE) AS first FROM scaled GROUP BY ord // 150")
+def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards that tasks write, read back."""
+    folder = _file(spark, "shards")
+    names = write_shards(_scaled(spark, sf_dir), folder, 150, "x")
+    rows = [(i, name, codec.layout(f"{folder}/{name}").count, float(vector_at(spark, f"{folder}/{name}", 0)[0])) for i, (name, _) in enumerate(names)]
+    return spark.createDataFrame(rows, "shard long, name string, n long, first double")
+
+
+@_query(_GT + "SELECT row_number() OVER (ORDER BY query_ord) - 1 AS query_ord, ids FROM gt".join(["SELECT query_ord, CAST(unnest(generate_series(1, len(ids))) AS INTEGER) AS rank, unnest(ids) AS base_id FROM (", ")"]))
+def ivecs_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of several lengths, written and read back."""
+    path = _file(spark, "ragged.ivecs")
+    write_ivecs(_faulty(spark, sf_dir), path, ragged=True)
+    return materialise(knn.long(read_ivecs(spark, path)), "ivecs").select("query_ord", "rank", F.col("base_ord").alias("base_id"))
+
+
+@_query(_GT + "SELECT count(*) AS num_rows, CAST(sum(len(ids)) AS BIGINT) AS ids, 'Error reading vector data at row ' || count(*) || ': expected 12 bytes, got 4. Unexpected end of file.' AS error FROM gt")
+def ivecs_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that ends inside a row: all rows before it, and what is wrong."""
+    path = _file(spark, "cut.ivecs")
+    write_ivecs(_faulty(spark, sf_dir), path, ragged=True)
+    with open(path, "ab") as f:
+        f.write((3).to_bytes(4, "little") + (7).to_bytes(4, "little"))
+    rows = materialise(read_ivecs(spark, path, permissive=True), "ivecs")
+    return rows.agg(F.count_if(F.col("error").isNull()).alias("num_rows"), F.sum(F.when(F.col("error").isNull(), F.size("ids"))).alias("ids"), F.max("error").alias("error"))
+
+
+@_query(_knn_sql(_DOT, "DESC", "CAST(rank AS INTEGER) AS rank, base_id", _with()) + " AND query_id = 140")
+def ivecs_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, "row.ivecs")
+    e = _embeddings(spark, sf_dir)
+    write_ivecs(knn.wide(knn.knn(e, _asking(e), K, "ip")), path, k=K)
+    return spark.createDataFrame(list(enumerate(row_at(spark, path, 7), 1)), "rank int, base_id long")
+
+
+@_query(_GROUPS + "SELECT first_ord AS vec_id, row_number() OVER (ORDER BY vec) - 1 AS ord FROM g")
+def dedup_sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sorted set without its repeats; an error if it weren't sorted."""
+    rows = order.sorted_ordinals(_dups(spark, sf_dir)).select(F.col("sorted_ord").alias("ord"), "vec", F.col("ord").alias("vec_id"))
+    rows = materialise(rows, "sorted")
+    kept = dedup.dedup_sorted(rows.select("ord", "vec"))
+    return kept.join(rows.select(F.col("ord").alias("o"), "vec_id"), F.col("first_ord") == F.col("o")).select("vec_id", "ord")
+
+
+@_query(_with() + ", a AS (SELECT count(*) AS n FROM emb WHERE ord % 3 = 0) SELECT vec_id, row_number() OVER (ORDER BY small, vec_id) - 1 AS ord FROM (SELECT ord AS vec_id, ord % 3 = 0 AS small FROM emb)")
+def merge_larger_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _embeddings(spark, sf_dir).withColumn("vec_id", F.col("ord"))
+    small, large = (order.reordinal(e.filter(kind)) for kind in ("ord % 3 = 0", "ord % 3 <> 0"))
+    return assemble.larger_first(("small", small), ("large", large)).select("vec_id", "ord")
+
+
+@_query("SELECT vec_id, 'vec_id, embedding, label' AS columns FROM embeddings LIMIT 1")
+def parquet_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns, row = first_row(spark, f"{sf_dir}/embeddings.parquet")
+    return spark.createDataFrame([(row["vec_id"], ", ".join(columns))] if row else [], "vec_id long, columns string")
+
+
+@_query(
+    _NORMED
+    + """, e AS (SELECT min(norm) AS lo, max(norm) AS hi FROM normed WHERE norm > 0),
+b AS (SELECT DISTINCT greatest(least(floor((log10(norm) - log10(lo)) / (log10(hi) - log10(lo)) * 100), 99), 0) AS bin, lo, hi FROM normed, e WHERE norm > 0)
+SELECT CAST(bin AS INTEGER) AS bin, printf('%.3e', pow(10, log10(lo) + bin * (log10(hi) - log10(lo)) / 100)) AS low FROM b"""
+)
+def bin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower edges of the histogram as text (four digits of them, which no rounding of logarithms reaches)."""
+    rows = [r for r in profile.norm_histogram(_dirty(spark, sf_dir)).collect() if r["bin"] >= 0]  # 100 at most
+    span, largest = max(r["low"] for r in rows) - min(r["low"] for r in rows), max(r["high"] for r in rows)
+    return spark.createDataFrame([(r["bin"], f"{float(names.bin_edge(r['low'], span, largest)):.3e}") for r in rows], "bin int, low string")
+
+
+@_query("SELECT key, replace(key, '/', '__') AS name FROM (VALUES ('train'), ('a/b'), ('/x//y/')) AS k(key)")
+def key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k, names.key_as_file_name(k)) for k in ("train", "a/b", "/x//y/")], "key string, name string")
+
+
+@_query(_with() + "SELECT min(CASE WHEN b < before THEN ord + 1 END) AS first_violation FROM (SELECT ord, b, lag(b) OVER (ORDER BY ord) AS before FROM (SELECT ord, ((ord * 7) % 200 + 27) % 2 * 1000 + ((ord * 7) % 200 + 27) // 2 AS b FROM emb))")
+def sortedness_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the bytes of little-endian records of a power of two: the last bit of its exponent counts before the others."""
+    rows = _embeddings(spark, sf_dir).withColumn("vec", F.array(F.pow(F.lit(2.0), (F.col("ord") * 7) % 200 - 100).cast("float")))
+    return order.first_unsorted_bytes(rows)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import assemble, clean, knn, order
@@ -103,12 +104,16 @@ def prepare(df: DataFrame, config: PrepConfig, limit: int) -> tuple[DataFrame, b
 
     Returns the rows and whether they differ from the input.
     """
-    total, changed = df.count(), False
-    if config.remove_zeros:
-        df = clean.remove_zeros(df, config.zero_tolerance)
-    unit = clean.all_unit(df, config.normalization_tolerance) if config.normalize else True
-    left = df.count()
+    norm = V.norm(F.col("vec"))
+    kept = ~V.is_zero(norm, config.zero_tolerance) if config.remove_zeros else F.lit(True)
+    unit_norm = V.is_unit(norm, config.normalization_tolerance) | ~kept if config.normalize else F.lit(True)
+    total, left, unit = df.agg(F.count("*"), F.count_if(kept), F.coalesce(F.every(unit_norm), F.lit(True))).collect()[0]
     changed = left != total
+    if config.remove_zeros:
+        if left == 0:
+            raise ValueError("no vector remains after zero removal")
+        if changed:
+            df = clean.remove_zeros(df, config.zero_tolerance, check=False)
     if config.shuffle:
         df, changed = order.shuffle(df, config.shuffle_seed), True
     if limit > left:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Sequence
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,24 @@ def histogram_lines(rows: Sequence) -> list[str]:
     return out if real else [*out, "All vectors are zero."]
 
 
+def write_histogram_png(path: str | Path, rows: Sequence, width: int = 800, height: int = 300) -> None:
+    """``norm_histogram`` rows as bars over the logarithm of the norm, exact zeros as a red bar on the left."""
+    canvas = np.full((height, width, 3), 255, np.uint8)
+    canvas[-2:, :] = 0
+    most, bins = max((r["cnt"] for r in rows), default=1), 1 + max((r["bin"] for r in rows), default=0)
+    step = width / (bins + 1)
+    for r in rows:
+        left, top = int((r["bin"] + 1) * step), height - 2 - max(1, round(r["cnt"] / most * (height - 10)))
+        canvas[top:-2, left : max(left + 1, int((r["bin"] + 2) * step) - 1)] = (200, 40, 40) if r["bin"] < 0 else (50, 90, 160)
+    lines = b"".join(b"\0" + line.tobytes() for line in canvas)
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+
+
 def vector_report(df: DataFrame, name: str, norm_tolerance: float, zero_tolerance: float, dims: int = 100) -> list[str]:
     """Summary, norm statistics and histogram of a vector set."""
     s = profile.summary(df, norm_tolerance, zero_tolerance).collect()[0]
@@ -84,7 +105,8 @@ def duplicate_report(df: DataFrame, threshold: int = 1) -> list[str]:
     """Totals, how often vectors repeat, and the most frequent ones with their lines."""
     t = dedup.totals(df).collect()[0]
     out = [f"Vectors: {t['processed']}", f"Distinct: {t['unique']}", f"Removed: {t['removed']}", "", "Occurrences: distinct vectors"]
-    out += [f"{r['cnt']}: {r['vectors']}" for r in dedup.histogram(df).orderBy(F.desc("cnt")).limit(1000).collect()]
+    # As many lines as there are different counts: below the square root of twice the number of vectors.
+    out += [f"{r['cnt']}: {r['vectors']}" for r in dedup.histogram(df).orderBy(F.desc("cnt")).toLocalIterator()]
     best = dedup.top(df, threshold=threshold).collect()
     lines: dict[int, list[int]] = {}
     if best:

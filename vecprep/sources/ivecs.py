@@ -1,6 +1,6 @@
 """ivecs files: neighbour id lists, whose lengths may vary.
 
-A file of equal rows is split by records; any other is read by one task in order. The permissive mode reports what a
+A file of equal rows is split by records, wherever it lies; any other is read by one task in order, from a mounted path. The permissive mode reports what a
 strict one refuses: it returns the rows before a fault and one last row with the error.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import GROUND_TRUTH, GROUND_TRUTH_SCAN, require
 from . import codec
-from .fvecs import BATCH_BYTES, PARTITION_BYTES, Records, write_parts
+from .fvecs import BATCH_BYTES, PARTITION_BYTES, Records, remote_records, write_parts
 
 
 def scan_rows(path: str, endian: str = "little") -> Iterator[tuple[int, int, np.ndarray | None, str | None]]:
@@ -109,6 +109,8 @@ class IvecsSource(DataSource):
 
 def read_ivecs(spark: SparkSession, path: str, endian: str = "little", permissive: bool = False) -> DataFrame:
     """(query_ord, ids); permissive: also declared and error. A missing file is one row with the error if permissive."""
+    if "://" in path and not path.startswith("file://"):
+        return _read_remote(spark, path, endian, permissive)
     if not os.path.exists(path.removeprefix("file://")):
         if not permissive:
             raise FileNotFoundError(path)
@@ -118,6 +120,13 @@ def read_ivecs(spark: SparkSession, path: str, endian: str = "little", permissiv
     return (reader.option("mode", "permissive") if permissive else reader).load(path)
 
 
+def _read_remote(spark: SparkSession, path: str, endian: str, permissive: bool) -> DataFrame:
+    """Rows of one length from a store that only Spark's readers open; rows of several lengths need a mounted path."""
+    rows = remote_records(spark, path, "i4", endian)
+    rows = spark.createDataFrame([], GROUND_TRUTH) if rows is None else rows.select(F.col("ord").alias("query_ord"), F.col("values").alias("ids"))
+    return rows.select("*", F.size("ids").cast("long").alias("declared"), F.lit(None).cast("string").alias("error")) if permissive else rows
+
+
 def row_at(spark: SparkSession, path: str, index: int) -> list[int]:
     """One row by its 0-based place."""
     rows = read_ivecs(spark, path).filter(F.col("query_ord") == index).collect() if index >= 0 else []
