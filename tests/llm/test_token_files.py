@@ -72,3 +72,31 @@ def test_repeated_rows_long_texts_and_no_rows(documents, prose, reference, monke
     found = T.token_files((df := documents(rows)).sparkSession, df, VOCABULARY).orderBy("start").collect()
     assert [r["doc_id"] for r in found] == [0, 1, 1, 1] and sum(r["n_tokens"] for r in found) == sum(len(reference(t)) for _, t in rows)
     assert T.token_files(df.sparkSession, documents([]), VOCABULARY).collect() == []
+
+
+def test_other_tokenizers_are_encoded_text_by_text(tmp_path, documents):
+    """One that keeps case: its rules aren't those that fragments rely on."""
+    import json
+
+    assert T.by_fragments(VOCABULARY)
+    with open(VOCABULARY, encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    assert not T.by_fragments(str(path))
+    own = Tokenizer.from_file(str(path))
+    rows = [(i, t) for i, t in enumerate(AWKWARD)]
+    df = documents(rows)
+    found = T.token_files(df.sparkSession, df, str(path)).orderBy("doc_id").collect()
+    want = [[*own.encode(t or "", add_special_tokens=False).ids, T.END_ID] for _, t in rows]
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    assert [r["start"] for r in found] == [sum(map(len, want[:i])) for i in range(len(want))]
+
+
+def test_ties_on_the_id_go_by_text(documents, reference):
+    texts = ["b", "a", None, "c", ""]
+    df = documents([(5, t) for t in texts]).repartition(3)
+    found = T.token_files(df.sparkSession, df, VOCABULARY).orderBy("start").collect()
+    want = [reference(t) for t in sorted(texts, key=lambda t: (t is not None, t or ""))]
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]

@@ -2,7 +2,8 @@
 
 ``write_token_files`` range-partitions the documents by id, encodes them and writes one row per block
 (part, block, n_ids, data) through Spark, so the files lie wherever Spark can write. ``read_token_digests`` reads them
-back and gives per document its place among all ids, its number of ids and their CRC-32.
+back and gives per document its place among all ids, its number of ids and their CRC-32. A tokenizer whose rules are those
+of ``word_bpe_49k.json`` encodes distinct fragments of text once; any other encodes text by text.
 
 Null or empty text: the end id alone. Null document ids sort first and stay null. Repeated rows each keep a row; ties
 on the id are ordered by text. An empty table gives no blocks and no rows. Other columns are ignored.
@@ -10,6 +11,7 @@ on the id are ordered by text. An empty table gives no blocks and no rows. Other
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,6 +26,12 @@ from .storage import materialise, new_path, partitions_for
 from .text import byte_runs, mix, segment_hashes, string_buffers
 
 END_ID = 1
+# The rules of the tokenizer file under which fragments may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]}
+SUFFIX = "</w>"
 #: Bytes of text in a block at most (a longer document makes a block of its own).
 BLOCK_BYTES = 6 << 20
 #: Fragments that a Python worker remembers between blocks.
@@ -50,6 +58,33 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return kind
 
 
+def by_fragments(path: str) -> bool:
+    """Whether a tokenizer file has the rules that ``FragmentEncoder`` relies on."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    return (
+        rules.get("normalizer") == NORMALIZER
+        and rules.get("pre_tokenizer") == PRE_TOKENIZER
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix")) == ("BPE", SUFFIX, None, None)
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in rules.get("added_tokens", []))
+    )
+
+
+class TextEncoder:
+    """Encodes text by text with the library, whatever its rules."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        ids = [np.array([*x.ids, END_ID], np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
 class FragmentEncoder:
     """Encodes distinct fragments with the library once and gathers their ids for every occurrence.
 
@@ -65,7 +100,7 @@ class FragmentEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.final = np.zeros(max(vocab.values()) + 1, bool)
-        self.final[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.final[[i for t, i in vocab.items() if t.endswith(SUFFIX)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -156,13 +191,13 @@ class FragmentEncoder:
         return out, doc_ends
 
 
-_ENCODERS: dict[str, FragmentEncoder] = {}
+_ENCODERS: dict[str, FragmentEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> FragmentEncoder:
+def encoder(path: str) -> FragmentEncoder | TextEncoder:
     """One per Python worker and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = FragmentEncoder(path)
+        _ENCODERS[path] = (FragmentEncoder if by_fragments(path) else TextEncoder)(path)
     return _ENCODERS[path]
 
 
@@ -186,7 +221,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, target: str, *, doc_id:
     """Write the ids of ``docs`` below ``target``; ``vocabulary`` is the tokenizer's file, present on every machine."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = F.col("doc_id").asc_nulls_first()
-    rows = rows.repartitionByRange(partitions_for(docs), order).sortWithinPartitions(order, F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions_for(docs), order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     rows.mapInArrow(_block_writer(vocabulary), BLOCKS).write.parquet(target)
 
 
@@ -208,11 +243,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_digests(spark: SparkSession, source: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files below ``source``.
 
-    The running total over blocks is taken over one small row per block; documents then meet their block's total.
+    Running totals are taken part by part over one small row a block, and over one row a part; documents then meet their
+    block's total.
     """
     blocks = spark.read.schema(BLOCKS).parquet(source)
-    order = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before_part"))
+    inside = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("block"))), F.lit(0))
+    before = blocks.select("part", "block", inside.alias("inside")).join(parts, F.col("part") == F.col("of")).select("part", "block", (F.col("before_part") + F.col("inside")).alias("base"))
     docs = blocks.mapInArrow(_digests, "part int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return docs.join(before, ["part", "block"]).select("doc_id", _long(F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
