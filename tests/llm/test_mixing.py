@@ -92,3 +92,10 @@ def test_corners(documents):
     twice = M.mix(documents([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")])).collect()
     assert sum(x["taken"] for x in twice) == 5
     assert M.mix(documents([(1, "w " * 100_000, "s")])).collect()[0]["taken"] == 100_000
+
+
+def test_rows_that_differ_in_text_alone_keep_their_copies(documents):
+    """Two documents of one id and size, of which only one is taken: the same in every run."""
+    rows = [(1, "a b", "s"), (1, "c d", "s")] + [(i, "w " * 50, "t") for i in range(10, 14)]
+    taken = {tuple(sorted(r["text"] for r in M.mixed_corpus(documents(order).repartition(n), weights=(1, 99)).collect() if r["source"] == "s")) for order, n in ((rows, 1), (rows[::-1], 4), (rows, 7))}
+    assert len(taken) == 1

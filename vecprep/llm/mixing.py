@@ -7,8 +7,8 @@ which each would be full: no iteration.
 
 Documents. Within a source, documents lie one after the other in the order of a hash of their id. ``target / size``
 whole passes are taken, then a last pass as far as the target reaches, so a source's taken words equal its rounded
-target. A source's running sum is taken over hash-prefix bins first and then inside the bins, so no task ever holds a
-source, however large its share.
+target. A source's running sum is taken over groups of hash-prefix bins, the bins of a group and then inside the bins, so no
+task ever holds a source, however large its share.
 
 Positions. Each source's rate over the run is piecewise linear (``SCHEDULES``, normalised to area 1) times its target;
 the demand up to time t is its integral. A copy that begins at word w of its source is trained at the t where demand
@@ -88,14 +88,19 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), limit: int = 3,
     ``position_of(k)`` (see ``mixed_corpus``); null where nothing is taken.
     """
     digits = max(2, min(7, math.ceil(math.log(8 * partitions_for(docs), 16))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *carry, F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id), seed).alias("_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *carry, F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), order_key(F.col(doc_id), seed).alias("_key"), F.xxhash64(text).alias("_tie"))
     rows = rows.withColumn("_bin", F.substring("_key", 1, digits))
     bins = materialise(rows.groupBy("_source", "_bin").agg(F.sum("size").alias("bin_size")), "mix-bins")
-    earlier = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    # Running sums over groups of bins, then over the bins of a group: no task sees all bins of a source.
+    earlier = lambda *keys: Window.partitionBy("_source", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_group", F.substring("_bin", 1, digits // 2))
+    groups = bins.groupBy("_source", "_group").agg(F.sum("bin_size").alias("group_size"))
+    groups = groups.select(F.col("_source").alias("of"), F.col("_group").alias("g"), F.coalesce(F.sum("group_size").over(earlier("_group")), F.lit(0)).alias("group_start"))
     targets = source_targets(bins.groupBy(F.col("_source").alias("source")).agg(F.sum("bin_size").alias("size")), weights, limit)
-    starts = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))
+    starts = bins.withColumn("_inside", F.coalesce(F.sum("bin_size").over(earlier("_group", "_bin")), F.lit(0)))
+    starts = starts.join(groups, F.col("_source").eqNullSafe(F.col("of")) & (F.col("_group") == F.col("g"))).withColumn("bin_start", F.col("group_start") + F.col("_inside"))
     starts = starts.join(targets, F.col("_source").eqNullSafe(F.col("source"))).select(F.col("_source").alias("s"), F.col("_bin").alias("b"), "bin_start", "source_size", "target", F.col("place").alias("_place"))
-    inside = Window.partitionBy("_source", "_bin").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bin").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_from", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_bin") == F.col("b")))
     begin = F.col("bin_start") + F.col("_from")
