@@ -121,12 +121,12 @@ def test_second_signatures_estimate_closer():
     assert N.least_estimate(80, N.FINE) > N.least_estimate(80) + 0.08
 
 
-@pytest.mark.parametrize("cut", range(1, 6))
-def test_members_across_batches(cut):
-    sig = [bytes(N.SIGNATURE_BYTES)] * 6
-    batch = pa.record_batch([pa.array([1, 2, 2, 2, 3, 3]), pa.array([1, 2, 3, 4, 5, 6]), pa.array(sig, pa.binary())], ["key", "rep", "signature"])
-    out = [r for b in N._centres(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
-    assert sorted((r["key"], r["rep"], r["centre"]) for r in out) == [(2, 2, 2), (2, 3, 2), (2, 4, 2), (3, 5, 5), (3, 6, 5)]
+def test_estimates_with_centres():
+    sig = np.zeros((3, N.SIGNATURE_BYTES), np.uint8)
+    sig[2] = 255
+    raw = [x.tobytes() for x in sig]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([9, 9]), pa.array([raw[0], raw[0]], pa.binary()), pa.array([raw[1], raw[2]], pa.binary())], ["rep", "centre", "x", "y"])
+    assert [r for b in N._estimated(iter([batch]), 0.5) for r in b.to_pylist()] == [{"rep": 1, "centre": 9, "estimate": 1.0}]
 
 
 def test_null_ids_repeats_and_other_columns(documents):

@@ -14,25 +14,36 @@ from pyspark.sql import functions as F
 from .storage import drop, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with ``m``, what ``least`` has for their node u; and that table, which is written so that a node with very many
+    edges can be split over tasks in the join."""
+    least = materialise(least.select(F.col("u").alias("k"), "m"), "least")
+    return edges.join(least, F.col("u") == F.col("k")), least
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined, least = _with_least(both.filter("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` lead from a node to a smaller one."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-    return edges.join(least, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    joined, least = _with_least(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
+    return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), least
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node of the component) for every node with an edge to another one."""
     rows = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u > v").distinct()
     current, before = materialise(rows, "edges"), None
-    while True:
-        following = materialise(_small_star(_large_star(current)).filter("u > v").distinct(), "edges")
-        drop(current)
+    while not current.isEmpty():
+        large, one = _large_star(current)
+        large = materialise(large.filter("u > v").distinct(), "edges")
+        small, other = _small_star(large)
+        following = materialise(small.filter("u > v").distinct(), "edges")
+        for done in (current, one, large, other):
+            drop(done)
         current = following
         mark = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).collect()[0])
         if mark == before:

@@ -47,7 +47,6 @@ from .text import byte_runs, mix, words
 SHINGLE = 5
 BANDS, ROWS, BITS = 25, 4, 2
 PERMUTATIONS = 2 * BANDS * ROWS
-STARS = "key long, rep long, signature binary, centre long, estimate double"
 #: 100 * intersection >= percent * union links two documents; this is the percent unless another is given.
 PERCENT = 85
 SLACK = 5.2
@@ -185,34 +184,12 @@ def _words64(column: pa.Array, size: int = SIGNATURE_BYTES) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), np.uint64).reshape(len(column), -1)
 
 
-def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, signature, ...) sorted by key: members of buckets of two or more, each with its bucket's first row
-    as centre and the estimate of their similarity."""
-    key0, rep0, sig0, told = None, None, None, False
+def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, centre, signature, centre's signature): those whose estimate reaches ``least``, with it."""
     for b in batches:
-        if not len(b):
-            continue
-        key, rep, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _words64(b.column(2))
-        new = np.concatenate([[key0 is None or key[0] != key0], key[1:] != key[:-1]])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        centre = np.where(lead >= 0, rep[lead], rep0 if rep0 is not None else 0)
-        centre_sig = np.where((lead >= 0)[:, None], sig[lead], sig0 if sig0 is not None else np.uint64(0))
-        estimate = similarity(sig, centre_sig)
-        out = ~new
-        followed = new & np.append(out[1:], False)  # a centre is told with its first follower
-        if not told and out[0] and sig0 is not None:
-            yield _members(np.array([key0]), np.array([rep0]), sig0[None, :], np.array([rep0]), np.array([1.0]))
-            told = True
-        take = np.flatnonzero(out | followed)
-        yield _members(key[take], rep[take], sig[take], centre[take], estimate[take])
-        last = int(lead[-1])
-        if last >= 0:
-            told = bool(followed[last])
-            key0, rep0, sig0 = key[last], rep[last], sig[last].copy()
-
-
-def _members(key: np.ndarray, rep: np.ndarray, sig: np.ndarray, centre: np.ndarray, estimate: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key), pa.array(rep), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(centre), pa.array(estimate)], ["key", "rep", "signature", "centre", "estimate"])
+        estimate = similarity(_words64(b.column(2)), _words64(b.column(3)))
+        near = pa.array(estimate >= least)
+        yield pa.record_batch([b.column(0).filter(near), b.column(1).filter(near), pa.array(estimate).filter(near)], ["rep", "centre", "estimate"])
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
@@ -244,9 +221,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterat
     for b in batches:
         if not len(b):
             continue
-        key, rep, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _words64(b.column(2))
-        component, size, shared, own = (b.column(k).to_numpy() for k in (3, 4, 5, 6))
-        bands, fine = b.column(7).flatten().to_numpy().reshape(-1, BANDS), _words64(b.column(8), FINE * BITS // 8)
+        key, rep, component, size, shared, own = (b.column(k).to_numpy() for k in ("meeting", "rep", "component", "size", "shared", "key"))
+        bands = b.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        sig, fine = _words64(b.column("signature")), _words64(b.column("fine"), FINE * BITS // 8)
         cuts = np.flatnonzero(np.concatenate([[not held or held[-1][0][-1] != key[0]], key[1:] != key[:-1]]))
         for a, c in zip(np.append([0], cuts), np.append(cuts, len(key)), strict=True):
             if a in cuts and held:
@@ -296,9 +273,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
     classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = materialise(classes, "minhash-classes")
 
-    keyed = classes.select(F.explode("bands").alias("key"), "rep", "signature")
-    members = keyed.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(_centres, STARS)
-    members = materialise(members.select("key", "rep", "signature"), "minhash-members")
+    # Counts and centres of band keys are summed up before they are shuffled and written before they are joined, so that a
+    # key of very many documents can be split over tasks.
+    keyed = classes.select(F.explode("bands").alias("key"), "rep")
+    met = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")), "minhash-keys")
+    members = materialise(keyed.join(met, F.col("key") == F.col("k")).select("key", "rep"), "minhash-members")
+    drop(met)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted))
     sets = rows.mapInArrow(partial(_sets, wanted=bloom), "doc_id long, members array<long>")
@@ -310,17 +290,24 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
     sizes = sizes.join(alone, "doc_id", "left").select(F.col("doc_id").alias("sized"), "size", (F.col("most") - F.when(F.col("texts") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"))
     sizes = materialise(sizes.filter(100 * F.col("shared") >= percent * F.col("size")), "minhash-sizes")
 
-    able = members.join(sizes, F.col("rep") == F.col("sized")).drop("sized")
-    stars = able.withColumn("private", 1 - F.col("shared") / F.col("size")).repartition(buckets, "key").sortWithinPartitions("key", "private", "rep")
-    stars = stars.select("key", "rep", "signature").mapInArrow(_centres, STARS)
-    near = stars.filter((F.col("estimate") >= least_estimate(percent)) & (F.col("centre") != F.col("rep")))
+    able = materialise(members.join(sizes, F.col("rep") == F.col("sized")).select("key", "rep", "size", "shared"), "minhash-able")
+    drop(members)
+    first_of = F.min(F.struct((1 - F.col("shared") / F.col("size")).alias("private"), "rep"))
+    centres = able.groupBy("key").agg(first_of.alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), F.col("first.rep").alias("centre"))
+    centres = materialise(centres, "minhash-centres")
+    meets = able.join(centres, F.col("key") == F.col("k")).filter(F.col("rep") != F.col("centre")).select("rep", "centre").distinct()
+    signature = lambda of, name: classes.select(F.col("rep").alias(of), F.col("signature").alias(name))
+    meets = meets.join(signature("one", "x"), F.col("rep") == F.col("one")).join(signature("other", "y"), F.col("centre") == F.col("other"))
+    near = meets.select("rep", "centre", "x", "y").mapInArrow(partial(_estimated, least=least_estimate(percent)), "rep long, centre long, estimate double")
     best = near.groupBy("rep").agg(F.max(F.struct("estimate", "centre")).alias("best"))
     best = best.select(F.least("rep", "best.centre").alias("a"), F.greatest("rep", "best.centre").alias("b")).distinct()
+    best = materialise(best, "minhash-best")
     links = materialise(_confirmed(best, sets, percent), "minhash-links")
+    drop(centres)
     first = connected_components(links)
 
     placed = able.join(first, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"), "size", "shared")
+    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("component"), "size", "shared")
     placed = materialise(placed, "minhash-placed")
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     several = materialise(several.select(F.col("key").alias("k"), "n"), "minhash-several")  # a join of two tables can split a key
@@ -329,13 +316,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
     asked = open_.select(F.col("rep").alias("asked")).distinct()
     fine = sets.join(asked, F.col("doc_id") == F.col("asked"), "left_semi").mapInArrow(_fine, "doc_id long, fine binary")
     # Of a document with several texts every fine signature counts, with every one of its other columns.
-    detail = classes.select(F.col("rep").alias("r"), "bands").join(fine, F.col("r") == F.col("doc_id")).drop("doc_id")
+    detail = classes.select(F.col("rep").alias("r"), "bands", "signature").join(fine, F.col("r") == F.col("doc_id")).drop("doc_id")
     detail = materialise(detail, "minhash-fine")
     # A bucket of more than BUCKET_ROWS is cut into chunks, and every two of them meet in a task.
     chunks = F.ceil(F.col("n") / BUCKET_ROWS)
     chunk = F.pmod(F.xxhash64("rep"), chunks)
     meeting = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.xxhash64("key", F.least(chunk, j), F.greatest(chunk, j))))
-    open_ = open_.select(meeting.alias("meeting"), "rep", "signature", "component", "size", "shared", "key")
+    open_ = open_.select(meeting.alias("meeting"), "rep", "component", "size", "shared", "key")
     open_ = open_.join(detail, F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
     pairs = open_.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     more = materialise(_confirmed(pairs, sets, percent), "minhash-links")
