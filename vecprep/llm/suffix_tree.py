@@ -49,7 +49,7 @@ P_MIN = 1e-5
 #: Occurrences that a state needs at most, however large the corpus.
 LEAST = 32
 GAIN = 0.01
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 #: Bytes of stored input for which there is a bucket.
 BUCKET_BYTES = 6 << 20
 END = np.uint64(0x1F0E3DCD97531ECA)
@@ -253,30 +253,29 @@ class Level:
     """What a block asks of one level, and what it knows once that is answered.
 
     ``here``: the positions whose context of this depth occurs often enough; ``pair``: for each of them the place of its
-    (context, symbol) among those asked for, which lie by bucket, context and symbol.
+    (context, symbol) among those asked for, which lie by bucket and context. ``words``: of each context its words' numbers,
+    the newest first; ``total``: how often it occurs.
     """
 
-    def __init__(self, here: np.ndarray, key: np.ndarray, count: np.ndarray, block: Block, model: Model):
-        contexts, first, of = _distinct(key)
+    def __init__(self, here: np.ndarray, of: np.ndarray, words_: np.ndarray, total: np.ndarray, block: Block, model: Model):
         symbol = block.symbol[here]
         _, index, pair = _distinct(of * np.int64(len(block.words)) + symbol)
         of, symbol = of[index], symbol[index]
-        total = count[first]
-        divided = model.divided(total)
-        bucket = mix(contexts)[of]
-        spread = divided[of]
-        bucket[spread] = mix(contexts[of[spread]] ^ mix(block.words[symbol[spread]]))
+        self.words, self.total, self.divided = words_, total, model.divided(total)
+        self.key = context_keys(words_)
+        bucket = mix(self.key)[of]
+        spread = self.divided[of]
+        if spread.any():
+            bucket[spread] = mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]]))
         bucket = (bucket % np.uint64(model.buckets)).astype(np.int64)
-        order = np.lexsort((symbol, of, bucket))
+        order = np.argsort(bucket * max(len(total), 1) + of, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.here, self.pair = here, back[pair]
-        self.bucket, self.of, self.symbol, self.first = bucket[order], of[order], symbol[order], index[order]
-        train = ~block.held[block.document[here]]
-        self.train = np.bincount(self.pair, train, len(order)).astype(np.int64)
-        self.contexts, self.total, self.divided = contexts, total, divided
+        self.bucket, self.of, self.symbol, self.at = bucket[order], of[order], symbol[order], here[index[order]]
+        self.train = np.bincount(self.pair, ~block.held[block.document[here]], len(order)).astype(np.int64)
         self.n = np.zeros(len(order), np.int64)
-        self.after, self.state = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), bool)
+        self.after, self.state = np.zeros(len(total), np.int64), np.zeros(len(total), bool)
 
     def answered(self, told: dict[int, pa.Scalar], model: Model, depth: int) -> None:
         for bucket, i, j in _segments(self.bucket):
@@ -285,41 +284,54 @@ class Level:
             run = self.of[i + first]
             self.after[run], self.state[run] = about.astype(np.int64) >> 1, (about & 1) > 0
         if self.divided.any():
-            at = look_up(model.keys[depth], self.contexts[self.divided])
+            at = look_up(model.keys[depth], self.key[self.divided])
             self.after[self.divided], self.state[self.divided] = model.after[depth][at], model.state[depth][at]
 
 
+def context_keys(words_: np.ndarray) -> np.ndarray:
+    """64 bits for each context, a column of its words' numbers."""
+    key = np.zeros(words_.shape[1], np.uint64)
+    for w in words_:
+        key = _hashed(key + np.uint64(1), w)
+    return key
+
+
 class Replay:
-    """A block and its levels so far: of each position the probability, and the counts of what its contexts saw."""
+    """A block and its levels so far: of each position the probability, and the place of its pair in the last level.
+
+    A context of the next level is a pair of this one, that of the position before: its words are the pair's context and
+    symbol, and it occurs as often as the pair.
+    """
 
     def __init__(self, block: Block, model: Model):
         self.block, self.model = block, model
         self.known = block.before()
+        self.p = model.root(block.count)[block.symbol]
+        self.place, self.n = block.symbol, block.count  # of level 0, whose pairs are the words
         self.levels: list[Level] = []
-        self.counts = [block.count[block.symbol]]
-        self.p = model.root(self.counts[0])
-        self.key = np.zeros(len(block.symbol), np.uint64)
-        self.about: list[tuple[np.ndarray, ...]] = []
 
     def ask(self) -> Level:
-        depth = len(self.levels) + 1
-        older = np.zeros(len(self.key), np.int64)
-        older[depth:] = self.block.symbol[: max(len(self.key) - depth, 0)]
-        self.key = _hashed(self.key + np.uint64(depth), self.block.words[older])
-        often = np.zeros(len(self.key), np.int64)  # how often the context occurs, as far as it was asked for
-        often[1:] = self.counts[-1][:-1]
-        here = np.flatnonzero((self.known >= depth) & (often >= max(self.model.least, 1)))
-        return Level(here, self.key[here], often[here], self.block, self.model)
+        depth, block = len(self.levels) + 1, self.block
+        before = np.full(len(self.place), -1)
+        before[1:] = self.place[:-1]
+        here = np.flatnonzero((self.known >= depth) & (before >= 0))
+        pair = before[here]
+        often = self.n[pair] >= max(self.model.least, 1)
+        here, pair = here[often], pair[often]
+        asked = np.zeros(len(self.n), bool)
+        asked[pair] = True
+        chosen = np.flatnonzero(asked)
+        newest = block.words[self.levels[-1].symbol[chosen] if self.levels else chosen]
+        words_ = np.vstack([newest, self.levels[-1].words[:, self.levels[-1].of[chosen]]]) if self.levels else newest[None, :]
+        return Level(here, (np.cumsum(asked) - 1)[pair], words_, self.n[chosen], block, self.model)
 
     def take(self, level: Level, told: dict[int, pa.Scalar]) -> None:
         level.answered(told, self.model, len(self.levels) + 1)
-        n, c, t = (np.zeros(len(self.key), np.int64) for _ in range(3))
-        state, of = np.zeros(len(self.key), bool), level.of[level.pair]
-        n[level.here], c[level.here], t[level.here], state[level.here] = level.n[level.pair], level.total[of], level.after[of], level.state[of]
-        self.p = _below(self.p, n, c, t, state)
+        self.place = np.full(len(self.place), -1)
+        self.place[level.here], self.n = level.pair, level.n
+        own = _below(self.p[level.at], level.n, level.total[level.of], level.after[level.of], level.state[level.of])
+        self.p[level.here] = own[level.pair]
         self.levels.append(level)
-        self.counts.append(n)
-        self.about.append((c, t * 2 + state))
 
     def through(self, answers: pa.Table, levels: int) -> None:
         by: dict[int, dict[int, pa.Scalar]] = {}
@@ -330,12 +342,19 @@ class Replay:
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
         """By bucket: contexts with their runs, whether divided and what their suffixes are; symbols with their counts."""
-        level = self.ask()
+        level, positions = self.ask(), len(self.place)
+        counts, about = [self.block.count[level.symbol]], []
+        for earlier in self.levels:  # the suffixes of a pair's context are those of its position
+            at = np.full(positions, -1)
+            at[earlier.here] = earlier.pair
+            pair = at[level.at]
+            of = earlier.of[pair]
+            counts.append(earlier.n[pair])
+            about += [earlier.total[of], earlier.after[of] * 2 + earlier.state[of]]
         for bucket, i, j in _segments(level.bucket):
             first, length = _runs(level.of[i:j])
-            run, at = level.of[i + first], level.here[level.first[i:j]]
-            ours = [x[at[first]] for about in self.about for x in about]
-            columns = (_narrow(level.contexts[run]), length, level.divided[run].astype(np.uint8), *ours, level.train[i:j], self.block.words[level.symbol[i:j]], *(n[at] for n in self.counts))
+            run = level.of[i + first]
+            columns = (length, level.divided[run].astype(np.uint8), *level.words[:, run], *(x[i + first] for x in about), level.train[i:j], self.block.words[level.symbol[i:j]], *(n[i:j] for n in counts))
             yield bucket, pack_many(*map(_narrow, columns))
 
 
@@ -371,9 +390,9 @@ def _answer(model, depth: int) -> Callable:
         bucket = group["bucket"][0].as_py()
         contexts, lengths, divided, about, train, symbol, counts, size = [], [], [], [], [], [], [], []
         for data in group["data"]:
-            context, length, cut, *rest = unpack_many(data.as_buffer())
-            ours, (n, s, *seen) = rest[: 2 * depth - 2], rest[2 * depth - 2 :]
-            contexts.append(context.astype(np.uint64))
+            length, cut, *rest = unpack_many(data.as_buffer())
+            ours, (n, s, *seen) = rest[depth : 3 * depth - 2], rest[3 * depth - 2 :]
+            contexts.append(context_keys(np.stack(rest[:depth]).astype(np.uint64)))
             lengths.append(length.astype(np.int64))
             divided.append(cut > 0)
             about.append([x.astype(np.int64) for x in ours])
@@ -445,7 +464,7 @@ def _finish(model) -> Callable:
             replay, n, document = Replay(block, model.value), len(block.ids), block.document
             base = np.bincount(document, np.log10(replay.p), n)
             replay.through(answers, model.value.depth)
-            score, known = np.bincount(document, np.log10(replay.p), n), np.bincount(document, replay.counts[0] > 0, n).astype(np.int64)
+            score, known = np.bincount(document, np.log10(replay.p), n), np.bincount(document, (block.count > 0)[block.symbol], n).astype(np.int64)
             rows = [pa.array(block.ids, pa.int64(), mask=block.null), pa.array(block.held), pa.array(block.size), pa.array(known), pa.array(np.full(n, model.value.tokens, np.int64)), pa.array(base), pa.array(score)]
         give_memory_back()
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
