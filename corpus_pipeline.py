@@ -6,7 +6,6 @@ returns doc_id and the sampled piece ids of every copy to train on, in training
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vecprep.llm.minhash import drop_near_duplicates
@@ -42,6 +41,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files lie; the other stages do without
+
     return sampled_pieces(docs, public_tokenizers.path(PIECES))
 
 
