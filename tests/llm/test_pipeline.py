@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+corpus_pipeline, public_tokenizers = (pytest.importorskip(m) for m in ("corpus_pipeline", "public_tokenizers"))
 from vecprep.llm import minhash, piece_sampling, quality, toxicity  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -93,7 +93,7 @@ def test_stages(spark, tables, tmp_path):
             want = brute_copies([(r["doc_id"], r["source"], len(WORD.findall(r["text"] or ""))) for r in docs.collect()])
         else:
             texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-            back = piece_sampling.decoded_texts(out, corpus_pipeline.public_tokenizers.path(corpus_pipeline.PIECES)).collect()
+            back = piece_sampling.decoded_texts(out, public_tokenizers.path(corpus_pipeline.PIECES)).collect()
             assert all(texts[r["doc_id"]] == r["text"] for r in back)
             want = [r["doc_id"] for r in docs.collect()]
         assert ids == sorted(want) and ids
