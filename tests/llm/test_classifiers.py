@@ -196,8 +196,9 @@ def test_quality_scores_equal_a_plain_version(corpus):
     texts = [r["text"] for r in docs.limit(30).collect()] + ["", None, "é" * 5000]
     for t in texts:
         raw = (t or "").encode()
-        gain, short = (size(raw, model.bad) - size(raw, model.good)) / max(len(raw), 1), quality.SHORT_BYTES / (quality.SHORT_BYTES + len(raw))
-        want = 1 / (1 + math.exp(-(gain * model.weight[0] + short * model.weight[1] + model.weight[2])))
+        good, bad, n = size(raw, model.good), size(raw, model.bad), len(raw)
+        features = ((bad - good) / max(n, 1), math.log((good + quality.FEW_BYTES) / (n + quality.FEW_BYTES)), quality.SHORT_BYTES / (quality.SHORT_BYTES + n), 1.0)
+        want = 1 / (1 + math.exp(-sum(f * w for f, w in zip(features, model.weight, strict=True))))
         assert abs(model(pa.array([t], pa.string()))[0] - want) < 1e-12
 
 

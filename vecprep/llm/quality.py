@@ -2,9 +2,10 @@
 
 ``fit_quality`` trains one dictionary on good and one on bad labelled texts and calibrates, on the other half of the
 sample, the difference of the two compressed sizes divided by the text's bytes. Texts are compressed block by block,
-all of them, so that the difference per byte doesn't shrink as a long text comes to serve as its own dictionary. A text
-that compresses to next to nothing under either (one line repeated) gains nothing from the good dictionary and so falls
-to the bad side. The calibration also knows how short a text is: a few words say little either way.
+all of them, so that the difference per byte doesn't shrink as a long text comes to serve as its own dictionary. The
+difference says nothing of a text that compresses to next to nothing under either dictionary (one word repeated), so the
+calibration also knows how far the good one compresses it (the logarithm of the ratio), and how short a text is: a few
+words say little either way.
 
 Null and empty texts have difference 0 and are as short as can be; they get that score. Very long texts are compressed whole. Without labels of
 both classes every text gets the smoothed share of label 1. Repeated rows are scored each; other columns are ignored
@@ -13,6 +14,7 @@ both classes every text gets the smoothed share of label 1. Repeated rows are sc
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,14 @@ LEVEL = 3
 BLOCK_BYTES = 4096
 #: A text of this many bytes counts as half short.
 SHORT_BYTES = 64
+#: Added to both sizes of the ratio, which so stays finite.
+FEW_BYTES = 8
+FEATURES = 3
 
 
 @dataclass
 class QualityModel:
-    """Two dictionaries (``DICTIONARY_BYTES`` at most each) and a line through the size difference."""
+    """Two dictionaries (``DICTIONARY_BYTES`` at most each) and the weights of the features, the last the constant."""
 
     good: bytes
     bad: bytes
@@ -55,15 +60,15 @@ class QualityModel:
             self._made = tuple(made)
         return self._made
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """How much smaller the good dictionary makes the text than the bad one, per byte; how short it is."""
-        good, bad = self.compressors()
-        blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
-        gain = sum(len(bad.compress(x)) - len(good.compress(x)) for x in blocks)
-        return gain / max(len(text), 1), SHORT_BYTES / (SHORT_BYTES + len(text))
+    def features(self, text: bytes) -> tuple[float, float, float]:
+        """How much smaller the good dictionary makes the text than the bad one, per byte; the logarithm of the share of its
+        bytes that are left; how short it is."""
+        by_good, by_bad = (sum(len(c.compress(text[i : i + BLOCK_BYTES])) for i in range(0, len(text), BLOCK_BYTES)) for c in self.compressors())
+        n = len(text)
+        return (by_bad - by_good) / max(n, 1), math.log((by_good + FEW_BYTES) / (n + FEW_BYTES)), SHORT_BYTES / (SHORT_BYTES + n)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        x = np.array([self.features(memoryview(t.as_buffer()) if t.is_valid else b"") for t in texts]).reshape(-1, 2)
+        x = np.array([self.features(memoryview(t.as_buffer()) if t.is_valid else b"") for t in texts]).reshape(-1, FEATURES)
         return sigmoid(x @ self.weight[:-1] + self.weight[-1])
 
 
@@ -78,8 +83,8 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def fit_quality(texts: list[str], labels: np.ndarray) -> QualityModel:
     raw = [t.encode() for t in texts]
     build, check = halves(len(raw))
-    model = QualityModel(*(_dictionary([raw[i] for i in build if labels[i] == k]) for k in (1, 0)), np.zeros(3))
-    model.weight = fit_logistic(np.array([model.features(raw[i]) for i in check]).reshape(-1, 2), labels[check])
+    model = QualityModel(*(_dictionary([raw[i] for i in build if labels[i] == k]) for k in (1, 0)), np.zeros(FEATURES + 1))
+    model.weight = fit_logistic(np.array([model.features(raw[i]) for i in check]).reshape(-1, FEATURES), labels[check])
     return model
 
 
