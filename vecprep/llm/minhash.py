@@ -326,11 +326,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, doc_id: str = "d
     open_ = open_.join(detail, F.col("rep") == F.col("r")).drop("r").repartition(buckets, "meeting").sortWithinPartitions("meeting")
     pairs = open_.mapInArrow(partial(_across, percent=percent), "a long, b long").distinct().join(best, ["a", "b"], "left_anti")
     more = materialise(_confirmed(pairs, sets, percent), "minhash-links")
+    for done in (able, best, sets, sizes, several, open_, detail):
+        drop(done)
     # Classes that share a document id are tied by it: the id is a node.
     texts = linkable.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).filter("lo != hi")
     ties = linkable.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     ties = ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = connected_components(links.unionByName(more).unionByName(ties))
+    drop(links)
+    drop(more)
 
     named = classes.join(final, classes["rep"] == final["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     per_row = linkable.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component")
