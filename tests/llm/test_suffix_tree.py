@@ -152,3 +152,15 @@ def test_depth_is_an_argument(documents, prose, monkeypatch, depth):
     monkeypatch.setattr(S, "DEPTH", depth)
     expected = brute_force(rows)
     assert all(math.isclose(found[d], expected[d][4], rel_tol=1e-9) for d, _ in rows)
+
+
+@pytest.mark.parametrize("vocabulary", [0, 5, 60])
+def test_words_beyond_the_vocabulary_count_alike(documents, prose, monkeypatch, vocabulary):
+    rows = [(i, prose(20 + i % 40, i % 29)) for i in range(100)] + [(200, None), (201, "never seen before"), (202, "the")]
+    monkeypatch.setattr(S, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(S, "P_MIN", 1e-3)
+    found, expected = {r["doc_id"]: r for r in S.score_texts(documents(rows).repartition(3)).collect()}, brute_force(rows)
+    for k, (d, _) in enumerate(rows):
+        size, known, n, base, score = expected[k]
+        assert (found[d]["n_tokens"], found[d]["n_known"], found[d]["train_tokens"]) == (size, known, n)
+        assert math.isclose(found[d]["base_score"], base, rel_tol=1e-9) and math.isclose(found[d]["score"], score, rel_tol=1e-9)

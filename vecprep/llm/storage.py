@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import materialise, new_path, shared_dir, shuffle_partitions
 
-__all__ = ["drop", "materialise", "materialise_by", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
+__all__ = ["drop", "free_shuffles", "materialise", "materialise_by", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
 
 
 def drop(df: DataFrame) -> None:
@@ -33,6 +34,13 @@ def materialise_by(df: DataFrame, column: str, parts: int, name: str) -> DataFra
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have executors delete the shuffle files of finished stages whose results lie in tables by now. They stay until the
+    driver's JVM finds that no plan refers to them, which it looks for when it is short of memory only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def size_in_bytes(df: DataFrame) -> int | None:
     """Bytes of all that ``df`` reads, as Catalyst knows them; None if a source has no known size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -11,18 +11,18 @@ where the parent is the longest shorter suffix of u that is a state, down to the
 predictions, each with the occurrence itself taken out, beat its parent's by more than ``gain`` nats per occurrence. A
 position is scored by the longest suffix of what precedes it that is a retained state.
 
-How it runs. Texts are read once: blocks of documents become a table of word numbers, bucketed by block so that answers
-find their block without moving it. Then blocks ask and buckets answer, level by level; positions and documents stay.
-0. Each block tells how often each of its words occurs; counts are summed by word, and a number for the word and its
-   count come back.
+How it runs. Words are counted; the most frequent ones (``VOCABULARY`` at most, which bounds what is broadcast) are numbered
+by rank. Blocks of documents become a table of word numbers, bucketed by block so that answers find their block without
+moving it. Then blocks ask and buckets answer, level by level; positions and documents stay.
+0. For words beyond the vocabulary, which keep their hashes, blocks ask how often they occur.
 1. For contexts of one word that occur ``least`` times, each block tells once per context and symbol how often the
    symbol follows. A bucket has all that follows its contexts, so it counts, tests and answers with the pair's count, and
    with T(u) and the test's result. What is summed for a word after a context is how often the two occur together, that
    is the count of the longer context: so
 2. and on: only contexts that are known to occur ``least`` times are asked for at the next level.
 A context that makes up 1 / (4 buckets) of all positions is divided among buckets by symbol; its totals and its test are
-put together from parts (at most 4 such contexts a bucket and level; only these reach the driver). No set of contexts or
-words is broadcast. After the last level the blocks score their documents.
+put together from parts (at most 4 such contexts a bucket and level; only these reach the driver). No other set of
+contexts is broadcast. After the last level the blocks score their documents.
 
 Null and empty texts have the end symbol alone. A null document id counts as training text (its remainder is unknown).
 Repeated rows are documents of their own. Without training tokens every symbol has base probability 1. An empty table
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import remainder
-from .storage import drop, materialise, materialise_by, partitions_for
+from .storage import drop, free_shuffles, materialise, materialise_by, partitions_for
 from .text import byte_runs, give_memory_back, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
@@ -50,6 +50,10 @@ P_MIN = 1e-5
 LEAST = 32
 GAIN = 0.01
 BLOCK_BYTES = 10 << 20
+#: Words that are numbered by rank at most; 16 bytes each are broadcast.
+VOCABULARY = 1 << 21
+#: From here on numbers of words are hashes.
+RARE = np.uint64(1 << 63)
 #: Bytes of stored input for which there is a bucket.
 BUCKET_BYTES = 6 << 20
 END = np.uint64(0x1F0E3DCD97531ECA)
@@ -59,6 +63,7 @@ ASKS = "bucket int, block long, data binary"
 ANSWERS = "target long, level int, bucket int, data binary"
 #: Targets of answers that aren't blocks.
 TOTALS, PARTS = -1, -2
+COUNTED = "kind string, bucket int, n long, distinct long, data binary"
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,10 +104,26 @@ def _answers(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return _table(rows, ("target", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()))
 
 
+@dataclass
+class Vocabulary:
+    """Frequent words: sorted hashes, and their places by rank; counts by place."""
+
+    hashes: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word and how often it occurs, -1 where that isn't known."""
+        at = look_up(self.hashes, hashes)
+        place = self.place[at] if len(self.place) else at
+        known = at >= 0
+        return np.where(known, place.astype(np.uint64) + np.uint64(1), hashes | RARE), np.where(known, self.count[place] if len(self.count) else 0, -1)
+
+
 @dataclass
 class Block:
-    """Some documents: what tells their words apart (sorted hashes, later sorted numbers), how often these occur in
-    training, and the documents as places in that list, each ended by END."""
+    """Some documents: sorted numbers of their words, how often these occur in training (-1: not known), and the documents
+    as places in that list, each ended by END."""
 
     ids: np.ndarray
     null: np.ndarray
@@ -113,25 +134,24 @@ class Block:
     symbol: np.ndarray
 
     @classmethod
-    def of(cls, ids: pa.Array, held: pa.Array, texts: pa.Array) -> Block:
-        hashes, at = words(texts)
-        words_, _, symbol = _distinct(np.insert(hashes, at[1:], END))
-        block = cls(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(held), np.diff(at) + 1, words_, np.zeros(len(words_), np.int64), symbol)
-        return block.sorted()
-
-    def sorted(self) -> Block:
-        order = np.argsort(self.words)
+    def of(cls, batch: pa.RecordBatch, vocabulary: Vocabulary | None = None) -> Block:
+        """Of rows (doc_id, held_out, text); with no vocabulary the numbers are the words' hashes."""
+        ids, (hashes, at) = batch.column(0), words(batch.column(2))
+        found, _, symbol = _distinct(np.insert(hashes, at[1:], END))
+        number, count = (found, np.zeros(len(found), np.int64)) if vocabulary is None else vocabulary.numbers(found)
+        order = np.argsort(number)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return Block(self.ids, self.null, self.held, self.size, self.words[order], self.count[order], rank[self.symbol])
+        return cls(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()), np.asarray(batch.column(1)), np.diff(at) + 1, number[order], count[order], rank[symbol])
 
     def pack(self) -> bytes:
-        return pack_many(self.ids, self.null.astype(np.uint8), self.held.astype(np.uint8), _narrow(self.size), _narrow(self.words), _narrow(self.count), _narrow(self.symbol), delta=(4,))
+        known = self.words < RARE  # rare words come last
+        return pack_many(self.ids, self.null.astype(np.uint8), self.held.astype(np.uint8), _narrow(self.size), _narrow(self.words[known]), self.words[~known], _narrow(self.count[known]), _narrow(self.symbol), delta=(4, 5))
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
-        ids, null, held, size, words_, count, symbol = unpack_many(data)
-        return cls(ids, null.astype(bool), held.astype(bool), size.astype(np.int64), words_.astype(np.uint64), count.astype(np.int64), symbol.astype(np.int64))
+        ids, null, held, size, known, rare, count, symbol = unpack_many(data)
+        return cls(ids, null.astype(bool), held.astype(bool), size.astype(np.int64), np.concatenate([known.astype(np.uint64), rare]), np.concatenate([count.astype(np.int64), np.full(len(rare), -1)]), symbol.astype(np.int64))
 
     @property
     def document(self) -> np.ndarray:
@@ -141,77 +161,121 @@ class Block:
         """How many words precede each symbol in its text."""
         return np.arange(len(self.symbol)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
 
-    def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words by the bucket that counts them: places in order, and their buckets."""
-        bucket = (mix(self.words) % np.uint64(buckets)).astype(np.int64)
+    def rare(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words whose counts aren't known, by the bucket that has them, and these buckets."""
+        place = np.flatnonzero(self.count < 0)
+        bucket = _word_bucket(self.words[place], buckets)
         order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
+        return place[order], bucket[order]
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 24
-    for batch in batches:
-        for i, j in byte_runs(batch.column(2), BLOCK_BYTES):
-            block = Block.of(*(batch.column(k).slice(i, j - i) for k in range(3)))
-            yield pa.record_batch([pa.array([number], pa.int64()), pa.array([block.pack()], pa.binary())], ["block", "data"])
-            number += 1
+def _word_bucket(words_: np.ndarray, buckets: int) -> np.ndarray:
+    """Of a word's hash, of which the uppermost bit doesn't count."""
+    return (mix(words_ | RARE) % np.uint64(buckets)).astype(np.int64)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    for batch in batches:
-        for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield number, Block.unpack(data.as_buffer())
-            give_memory_back()
+def _tell_words(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in byte_runs(batch.column(2), BLOCK_BYTES):
+                block = Block.of(batch.slice(i, j - i))
+                count = np.bincount(block.symbol, ~block.held[block.document], len(block.words)).astype(np.int64)
+                bucket = _word_bucket(block.words, buckets)
+                order = np.argsort(bucket, kind="stable")
+                rows = [(b, pack_many(block.words[order[x:y]], _narrow(count[order[x:y]]), delta=(0,))) for b, x, y in _segments(bucket[order])]
+                yield from _table(rows, ("bucket", pa.int32()), ("data", pa.binary())).to_batches()
 
+    return run
 
-def _ask_words(buckets: int) -> Callable:
+
+def _count_words(group: pa.Table) -> pa.Table:
+    """A bucket's words, sorted, with their counts; how many words there are by the (rounded) logarithm of the count."""
+    told = [unpack_many(d.as_buffer()) for d in group["data"]]
+    word, inverse = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([t[1] for t in told]), len(word)).astype(np.int64)
+    bucket = group["bucket"][0].as_py()
+    rows = [("words", bucket, int(total.sum()), int(np.count_nonzero(total)), pack_many(word, _narrow(total), delta=(0,)))]
+    rows += [("step", int(step), int(n), 0, b"") for step, n in zip(*np.unique(_step_of(total[total > 0]), return_counts=True), strict=True)]
+    return _table(rows, ("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("distinct", pa.int64()), ("data", pa.binary()))
+
+
+def _step_of(count: np.ndarray) -> np.ndarray:
+    """Steps of count, 16 for each doubling."""
+    return np.floor(16 * np.log2(np.maximum(count, 1))).astype(np.int64)
+
+
+def _frequent(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _read(batches):
-            count = np.bincount(block.symbol, ~block.held[block.document], len(block.words)).astype(np.int64)
-            order, bucket = block.asked(buckets)
-            rows = [(b, number, pack_many(block.words[order[i:j]], _narrow(count[order[i:j]]), delta=(0,))) for b, i, j in _segments(bucket)]
-            yield _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())).to_batches()[0]
+        for batch in batches:
+            for data in batch.column(4):
+                word, count = unpack_many(data.as_buffer())
+                good = (count > 0) & (_step_of(count.astype(np.int64)) >= least)
+                yield pa.record_batch([pa.array([pack_many(word[good], count[good], delta=(0,))], pa.binary())], ["data"])
 
     return run
 
 
-def _answer_words(buckets: int) -> Callable:
-    """Sums the counts of a bucket of words: to each block its words' numbers and counts, to TOTALS occurrences and words."""
-
-    def run(group: pa.Table) -> pa.Table:
-        bucket, asks = group["bucket"][0].as_py(), [unpack_many(d.as_buffer()) for d in group["data"]]
-        word, _, inverse = _distinct(np.concatenate([a[0] for a in asks]))
-        total = np.bincount(inverse, np.concatenate([a[1] for a in asks]), len(word)).astype(np.int64)
-        place = np.empty(len(word), np.int64)
-        place[np.lexsort((word, -total))] = np.arange(len(word))  # frequent words get small numbers
-        number, rows, at = place * buckets + bucket + 1, [(TOTALS, 0, bucket, pack_many(np.array([total.sum()]), np.array([np.count_nonzero(total)])))], 0
-        for target, ask in zip(group["block"].to_pylist(), asks, strict=True):
-            own = inverse[at : at + len(ask[0])]
-            rows.append((target, 0, bucket, pack_many(_narrow(number[own]), _narrow(total[own]))))
-            at += len(own)
-        return _answers(rows)
+def frequent_words(counted: DataFrame) -> Vocabulary:
+    """As many whole steps of count as ``VOCABULARY`` words go into, from the top."""
+    steps = counted.filter("kind = 'step'").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("bucket")).collect()  # 16 for each bit
+    least, room = 1 << 30, VOCABULARY
+    for step, n in steps:
+        if (room := room - n) < 0:
+            break
+        least = step
+    rows = counted.filter("kind = 'words'").mapInArrow(_frequent(least), "data binary").toArrow()["data"]
+    found = [unpack_many(d.as_buffer()) for d in rows]
+    word = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in found)])
+    count = np.concatenate([np.zeros(0, np.int64), *(c.astype(np.int64) for _, c in found)])
+    order = np.lexsort((word, -count))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    by = np.argsort(word)
+    count = count[order]
+    return Vocabulary(word[by], place[by], count.astype(np.uint32) if count.max(initial=0) < 2**32 else count)
+
+
+def _encode(vocabulary) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for i, j in byte_runs(batch.column(2), BLOCK_BYTES):
+                block = Block.of(batch.slice(i, j - i), vocabulary.value)
+                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([block.pack()], pa.binary())], ["block", "data"])
+                number += 1
 
     return run
 
 
-def _numbered(buckets: int) -> Callable:
-    """Blocks whose words are numbers, with their counts."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    for batch in batches:
+        for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield number, Block.unpack(data.as_buffer())
+            give_memory_back()
 
-    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(blocks):
-            return _table([], ("block", pa.int64()), ("data", pa.binary()))
-        block = Block.unpack(blocks["data"][0].as_buffer())
-        order, bucket = block.asked(buckets)
-        told = dict(zip(answers["bucket"].to_pylist(), answers["data"], strict=True))
-        named, count = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
-        for b, i, j in _segments(bucket):
-            named[order[i:j]], count[order[i:j]] = unpack_many(told[b].as_buffer())
-        block.words, block.count = named, count
-        return _table([(blocks["block"][0].as_py(), block.sorted().pack())], ("block", pa.int64()), ("data", pa.binary()))
+
+def _ask_words(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _read(batches):
+            place, bucket = block.rare(buckets)
+            rows = [(b, number, pack_many(block.words[place[i:j]], delta=(0,))) for b, i, j in _segments(bucket)]
+            yield from _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())).to_batches()
 
     return run
 
 
+def _answer_words(asks: pa.Table, counted: pa.Table) -> pa.Table:
+    rows = []
+    if len(asks) and len(counted):
+        word, count = unpack_many(counted["data"][0].as_buffer())
+        by = np.argsort(word | RARE)
+        word, count = (word | RARE)[by], count[by]
+        for target, data in zip(asks["block"].to_pylist(), asks["data"], strict=True):
+            (own,) = unpack_many(data.as_buffer())
+            rows.append((target, 0, asks["bucket"][0].as_py(), pack_many(count[look_up(word, own)])))
+    return _answers(rows)
+
+
 @dataclass
 class Model:
     """What all tasks know: sizes, settings, and by level the divided contexts (sorted keys, T(u) and whether a state)."""
@@ -253,7 +317,7 @@ class Level:
     """What a block asks of one level, and what it knows once that is answered.
 
     ``here``: the positions whose context of this depth occurs often enough; ``pair``: for each of them the place of its
-    (context, symbol) among those asked for, which lie by bucket and context. ``words``: of each context its words' numbers,
+    (context, symbol) among those asked for, which lie by bucket and symbol. ``words``: of each context its words' numbers,
     the newest first; ``total``: how often it occurs.
     """
 
@@ -268,7 +332,7 @@ class Level:
         if spread.any():
             bucket[spread] = mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]]))
         bucket = (bucket % np.uint64(model.buckets)).astype(np.int64)
-        order = np.argsort(bucket * max(len(total), 1) + of, kind="stable")
+        order = np.argsort(bucket * len(block.words) + symbol, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.here, self.pair = here, back[pair]
@@ -277,12 +341,17 @@ class Level:
         self.n = np.zeros(len(order), np.int64)
         self.after, self.state = np.zeros(len(total), np.int64), np.zeros(len(total), bool)
 
+    def contexts(self, i: int, j: int) -> np.ndarray:
+        """The contexts of some pairs, ascending."""
+        found = np.zeros(len(self.total), bool)
+        found[self.of[i:j]] = True
+        return np.flatnonzero(found)
+
     def answered(self, told: dict[int, pa.Scalar], model: Model, depth: int) -> None:
         for bucket, i, j in _segments(self.bucket):
-            first, _ = _runs(self.of[i:j])
             self.n[i:j], about = unpack_many(told[bucket].as_buffer())
-            run = self.of[i + first]
-            self.after[run], self.state[run] = about.astype(np.int64) >> 1, (about & 1) > 0
+            own = self.contexts(i, j)
+            self.after[own], self.state[own] = about.astype(np.int64) >> 1, (about & 1) > 0
         if self.divided.any():
             at = look_up(model.keys[depth], self.key[self.divided])
             self.after[self.divided], self.state[self.divided] = model.after[depth][at], model.state[depth][at]
@@ -303,8 +372,14 @@ class Replay:
     symbol, and it occurs as often as the pair.
     """
 
-    def __init__(self, block: Block, model: Model):
+    def __init__(self, block: Block, model: Model, answers: pa.Table):
         self.block, self.model = block, model
+        self.told: dict[int, dict[int, pa.Scalar]] = {}
+        for level, bucket, data in zip(answers["level"].to_pylist(), answers["bucket"].to_pylist(), answers["data"], strict=True):
+            self.told.setdefault(level, {})[bucket] = data
+        place, bucket = block.rare(model.buckets)
+        for b, i, j in _segments(bucket):
+            (block.count[place[i:j]],) = unpack_many(self.told[0][b].as_buffer())
         self.known = block.before()
         self.p = model.root(block.count)[block.symbol]
         self.place, self.n = block.symbol, block.count  # of level 0, whose pairs are the words
@@ -333,48 +408,41 @@ class Replay:
         self.p[level.here] = own[level.pair]
         self.levels.append(level)
 
-    def through(self, answers: pa.Table, levels: int) -> None:
-        by: dict[int, dict[int, pa.Scalar]] = {}
-        for level, bucket, data in zip(answers["level"].to_pylist(), answers["bucket"].to_pylist(), answers["data"], strict=True):
-            by.setdefault(level, {})[bucket] = data
+    def through(self, levels: int) -> None:
         for depth in range(1, levels + 1):
-            self.take(self.ask(), by.get(depth, {}))
+            self.take(self.ask(), self.told.get(depth, {}))
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
-        """By bucket: contexts with their runs, whether divided and what their suffixes are; symbols with their counts."""
+        """By bucket: contexts, whether divided and what their suffixes are; symbols with their runs and counts; of pairs the
+        context and what was counted so far."""
         level, positions = self.ask(), len(self.place)
-        counts, about = [self.block.count[level.symbol]], []
+        counts, about = [], []
         for earlier in self.levels:  # the suffixes of a pair's context are those of its position
             at = np.full(positions, -1)
             at[earlier.here] = earlier.pair
             pair = at[level.at]
             of = earlier.of[pair]
             counts.append(earlier.n[pair])
-            about += [earlier.total[of], earlier.after[of] * 2 + earlier.state[of]]
+            for x in (earlier.total[of], earlier.after[of] * 2 + earlier.state[of]):
+                about.append(np.zeros(len(level.total), np.int64))
+                about[-1][level.of] = x
+        number = np.zeros(len(level.total), np.int64)
         for bucket, i, j in _segments(level.bucket):
-            first, length = _runs(level.of[i:j])
-            run = level.of[i + first]
-            columns = (length, level.divided[run].astype(np.uint8), *level.words[:, run], *(x[i + first] for x in about), level.train[i:j], self.block.words[level.symbol[i:j]], *(n[i:j] for n in counts))
-            yield bucket, pack_many(*map(_narrow, columns))
-
-
-def _ask(model) -> Callable:
-    """Of the first level, which needs no answers but those in the block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _read(batches):
-            rows = [(bucket, number, data) for bucket, data in Replay(block, model.value).asks()]
-            yield from _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())).to_batches()
-
-    return run
+            own = level.contexts(i, j)
+            number[own] = np.arange(len(own))
+            first, length = _runs(level.symbol[i:j])
+            symbol = level.symbol[i + first]
+            known = self.block.words[symbol] < RARE
+            columns = (level.divided[own].astype(np.uint8), *level.words[:, own], *(x[own] for x in about), length, self.block.words[symbol[known]], self.block.words[symbol[~known]], self.block.count[symbol], number[level.of[i:j]], level.train[i:j], *(n[i:j] for n in counts))
+            yield bucket, pack_many(*map(_narrow, columns), delta=(3 * level.words.shape[0], 3 * level.words.shape[0] + 1))
 
 
-def _ask_on(model, depth: int) -> Callable:
+def _ask(model, depth: int) -> Callable:
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if len(blocks):
-            replay = Replay(Block.unpack(blocks["data"][0].as_buffer()), model.value)
-            replay.through(answers, depth - 1)
+            replay = Replay(Block.unpack(blocks["data"][0].as_buffer()), model.value, answers)
+            replay.through(depth - 1)
             rows = [(bucket, blocks["block"][0].as_py(), data) for bucket, data in replay.asks()]
         give_memory_back()
         return _table(rows, ("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary()))
@@ -388,42 +456,40 @@ def _answer(model, depth: int) -> Callable:
     def run(group: pa.Table) -> pa.Table:
         known: Model = model.value
         bucket = group["bucket"][0].as_py()
-        contexts, lengths, divided, about, train, symbol, counts, size = [], [], [], [], [], [], [], []
+        contexts, divided, about, context, train, symbol, counts = [], [], [], [], [], [], []
         for data in group["data"]:
-            length, cut, *rest = unpack_many(data.as_buffer())
-            ours, (n, s, *seen) = rest[depth : 3 * depth - 2], rest[3 * depth - 2 :]
+            cut, *rest = unpack_many(data.as_buffer())
+            ours, (length, number, rare, c, at, n, *seen) = rest[depth : 3 * depth - 2], rest[3 * depth - 2 :]
+            context.append(at.astype(np.int64) + sum(map(len, contexts)))
             contexts.append(context_keys(np.stack(rest[:depth]).astype(np.uint64)))
-            lengths.append(length.astype(np.int64))
             divided.append(cut > 0)
             about.append([x.astype(np.int64) for x in ours])
             train.append(n)
-            symbol.append(s.astype(np.uint64))
-            counts.append([x.astype(np.int64) for x in seen])
-            size.append(len(n))
-        run_context, length = np.concatenate(contexts), np.concatenate(lengths)
-        keys, first_run, of_run = _distinct(run_context)
-        of = np.repeat(of_run, length)
+            symbol.append(np.repeat(np.concatenate([number.astype(np.uint64), rare.astype(np.uint64)]), length))
+            counts.append([np.repeat(c, length).astype(np.int64), *(x.astype(np.int64) for x in seen)])
+        keys, first, number = _distinct(np.concatenate(contexts))
+        told_of = np.concatenate(context)
+        of = number[told_of]
         _, index, inverse = _distinct(_hashed(keys[of], np.concatenate(symbol)))
         n = np.bincount(inverse, np.concatenate(train), len(index)).astype(np.int64)
         seen = [np.concatenate(x)[index] for x in zip(*counts, strict=True)]
         ours = [np.concatenate(x) for x in zip(*about, strict=True)]
-        run_of = np.repeat(np.arange(len(length)), length)[index]
         p = known.root(seen[0])
         for k in range(1, depth):
-            c, packed = ours[2 * k - 2][run_of], ours[2 * k - 1][run_of]
+            c, packed = ours[2 * k - 2][told_of[index]], ours[2 * k - 1][told_of[index]]
             p = _below(p, seen[k], c, packed >> 1, (packed & 1) > 0)
-        of, cut = of[index], np.concatenate(divided)[first_run]
+        of, cut = of[index], np.concatenate(divided)[first]
         count, after = np.bincount(of, n, len(keys)).astype(np.int64), np.bincount(of, n > 0, len(keys)).astype(np.int64)
         state = known.states(np.bincount(of, _worth(n, count[of], after[of], p), len(keys)), count)
         rows = []
         if cut.any():
             part = np.flatnonzero(cut[of] & (n > 0))
             rows = [(TOTALS, depth, bucket, pack_many(keys[cut], count[cut], after[cut])), (PARTS, depth, bucket, pack_many(keys[of[part]], _narrow(n[part]), p[part]))]
-        told, at, run_at = after * 2 + state, 0, 0
+        told, at, begin = after * 2 + state, 0, 0
         told[cut] = 0
-        for target, pairs, runs in zip(group["block"].to_pylist(), size, map(len, lengths), strict=True):
-            rows.append((target, depth, bucket, pack_many(_narrow(n[inverse[at : at + pairs]]), _narrow(told[of_run[run_at : run_at + runs]]))))
-            at, run_at = at + pairs, run_at + runs
+        for target, pairs, own in zip(group["block"].to_pylist(), map(len, context), map(len, contexts), strict=True):
+            rows.append((target, depth, bucket, pack_many(_narrow(n[inverse[at : at + pairs]]), _narrow(told[number[begin : begin + own]]))))
+            at, begin = at + pairs, begin + own
         give_memory_back()
         return _answers(rows)
 
@@ -461,9 +527,9 @@ def _finish(model) -> Callable:
         rows = []
         if len(blocks):
             block = Block.unpack(blocks["data"][0].as_buffer())
-            replay, n, document = Replay(block, model.value), len(block.ids), block.document
+            replay, n, document = Replay(block, model.value, answers), len(block.ids), block.document
             base = np.bincount(document, np.log10(replay.p), n)
-            replay.through(answers, model.value.depth)
+            replay.through(model.value.depth)
             score, known = np.bincount(document, np.log10(replay.p), n), np.bincount(document, (block.count > 0)[block.symbol], n).astype(np.int64)
             rows = [pa.array(block.ids, pa.int64(), mask=block.null), pa.array(block.held), pa.array(block.size), pa.array(known), pa.array(np.full(n, model.value.tokens, np.int64)), pa.array(base), pa.array(score)]
         give_memory_back()
@@ -502,28 +568,22 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth:
     out_of = F.coalesce(remainder(F.col(doc_id), modulus) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text).alias("text"))
     buckets, stored = partitions_for(docs, BUCKET_BYTES), partitions_for(docs, BUCKET_BYTES)
-    texts = materialise_by(rows.mapInArrow(_encode, "block long, data binary"), "block", stored, "pst-texts")
-    asks = texts.mapInArrow(_ask_words(buckets), ASKS)
-    answers = materialise(asks.groupBy("bucket").applyInArrow(_answer_words(buckets), ANSWERS), "pst-words")
-    sums = answers.filter(F.col("target") == TOTALS).mapInArrow(_listed(["n", "distinct"]), "n long, distinct long").agg(F.sum("n"), F.sum("distinct")).collect()[0]
-    if sums[0] is None:
+    told = rows.mapInArrow(_tell_words(buckets), "bucket int, data binary")
+    counted = materialise(told.groupBy("bucket").applyInArrow(_count_words, COUNTED), "pst-words")
+    tokens, distinct = counted.filter("kind = 'words'").agg(F.sum("n"), F.sum("distinct")).collect()[0]
+    if tokens is None:
         return spark.createDataFrame([], SCORES)
-    met = texts.groupBy("block").cogroup(answers.filter("target >= 0").groupBy("target"))
-    blocks = materialise_by(met.applyInArrow(_numbered(buckets), "block long, data binary"), "block", stored, "pst-blocks")
-    drop(texts)
-    drop(answers)
-    model = Model(DEPTH if depth is None else depth, buckets, sums[0], sums[1], min(P_MIN * sums[0], LEAST if least is None else least), GAIN if gain is None else gain)
-    told: DataFrame | None = None
+    free_shuffles(spark)
+    blocks = materialise_by(rows.mapInArrow(_encode(send(frequent_words(counted))), "block long, data binary"), "block", stored, "pst-blocks")
+    asks = blocks.mapInArrow(_ask_words(buckets), ASKS).groupBy("bucket").cogroup(counted.filter("kind = 'words'").groupBy("bucket"))
+    answers = materialise(asks.applyInArrow(_answer_words, ANSWERS), "pst-answers")
+    drop(counted)
+    model = Model(DEPTH if depth is None else depth, buckets, tokens, distinct, min(P_MIN * tokens, LEAST if least is None else least), GAIN if gain is None else gain)
     for level in range(1, model.depth + 1):
-        known = send(model)
-        if told is None:
-            asks = blocks.mapInArrow(_ask(known), ASKS)
-        else:
-            asks = blocks.groupBy("block").cogroup(told.groupBy("target")).applyInArrow(_ask_on(known, level), ASKS)
-        answers = materialise(asks.groupBy("bucket").applyInArrow(_answer(known, level), ANSWERS), "pst-answers")
-        _divided(answers, model, level)
-        answers = answers.filter("target >= 0")
-        told = answers if told is None else told.unionByName(answers)
-    if told is None:
-        told = spark.createDataFrame([], ANSWERS)
-    return blocks.groupBy("block").cogroup(told.groupBy("target")).applyInArrow(_finish(send(model)), SCORES)
+        asks = blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_ask(send(model), level), ASKS)
+        found = materialise(asks.groupBy("bucket").applyInArrow(_answer(send(model), level), ANSWERS), "pst-answers")
+        _divided(found, model, level)
+        answers = answers.unionByName(found.filter("target >= 0"))
+        del asks
+        free_shuffles(spark)
+    return blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_finish(send(model)), SCORES)
