@@ -137,6 +137,8 @@ def test_any_number_of_buckets_scores_alike(documents, prose, monkeypatch, bucke
     """With many buckets nearly all contexts are split, frequent symbols too; with one none is."""
     rows = [(i, prose(20 + i % 40, i % 29)) for i in range(100)] + [(200, None), (201, "a")]
     monkeypatch.setattr(S, "partitions_for", lambda *_: buckets)
+    monkeypatch.setattr(S, "size_in_bytes", lambda _: buckets * S.BUCKET_BYTES)
+    monkeypatch.setattr(S, "PAIRS", 200)
     monkeypatch.setattr(S, "P_MIN", 1e-3)
     found, expected = {r["doc_id"]: r for r in S.score_texts(documents(rows).repartition(3)).collect()}, brute_force(rows)
     for k, (d, _) in enumerate(rows):

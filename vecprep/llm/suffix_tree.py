@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import remainder
-from .storage import drop, free_shuffles, materialise, materialise_by, partitions_for
+from .storage import drop, free_shuffles, materialise, materialise_by, partitions_for, size_in_bytes
 from .text import byte_runs, give_memory_back, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
@@ -54,8 +54,11 @@ BLOCK_BYTES = 10 << 20
 VOCABULARY = 1 << 21
 #: From here on numbers of words are hashes.
 RARE = np.uint64(1 << 63)
-#: Bytes of stored input for which there is a bucket.
-BUCKET_BYTES = 6 << 20
+#: Bytes of stored input for which there is a bucket, and for which blocks are stored together.
+BUCKET_BYTES = 32 << 20
+STORED_BYTES = 6 << 20
+#: Pairs of a bucket that are counted at a time.
+PAIRS = 500_000
 END = np.uint64(0x1F0E3DCD97531ECA)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -450,46 +453,60 @@ def _ask(model, depth: int) -> Callable:
     return run
 
 
+class Asked:
+    """What one block asks of a bucket, and room for the answers."""
+
+    def __init__(self, data: bytes, depth: int, most: int):
+        cut, *rest = unpack_many(data)
+        length, number, rare, count, context, train, *seen = rest[3 * depth - 2 :]
+        self.keys, self.cut = context_keys(np.stack(rest[:depth]).astype(np.uint64)), cut > 0
+        self.about = [x.astype(np.int64) for x in rest[depth : 3 * depth - 2]]
+        self.symbol = np.repeat(np.concatenate([number.astype(np.uint64), rare.astype(np.uint64)]), length)
+        self.context, self.train, self.seen = context, train, [np.repeat(count, length), *seen]
+        self.n, self.told = np.zeros(len(context), np.uint32 if most < 2**32 else np.int64), np.zeros(len(cut), np.int64)
+
+    def within(self, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts that fall to one part: their places, those of their pairs, and the pairs' contexts among them."""
+        own = mix(self.keys ^ _STEP) % np.uint64(parts) == part
+        pairs = np.flatnonzero(own[self.context])
+        return np.flatnonzero(own), pairs, (np.cumsum(own) - 1)[self.context[pairs]]
+
+
 def _answer(model, depth: int) -> Callable:
-    """Counts and tests the contexts of a bucket; of divided ones tells TOTALS and PARTS what it has."""
+    """Counts and tests the contexts of a bucket, some of them at a time; of divided ones tells TOTALS and PARTS what it has."""
 
     def run(group: pa.Table) -> pa.Table:
         known: Model = model.value
-        bucket = group["bucket"][0].as_py()
-        contexts, divided, about, context, train, symbol, counts = [], [], [], [], [], [], []
-        for data in group["data"]:
-            cut, *rest = unpack_many(data.as_buffer())
-            ours, (length, number, rare, c, at, n, *seen) = rest[depth : 3 * depth - 2], rest[3 * depth - 2 :]
-            context.append(at.astype(np.int64) + sum(map(len, contexts)))
-            contexts.append(context_keys(np.stack(rest[:depth]).astype(np.uint64)))
-            divided.append(cut > 0)
-            about.append([x.astype(np.int64) for x in ours])
-            train.append(n)
-            symbol.append(np.repeat(np.concatenate([number.astype(np.uint64), rare.astype(np.uint64)]), length))
-            counts.append([np.repeat(c, length).astype(np.int64), *(x.astype(np.int64) for x in seen)])
-        keys, first, number = _distinct(np.concatenate(contexts))
-        told_of = np.concatenate(context)
-        of = number[told_of]
-        _, index, inverse = _distinct(_hashed(keys[of], np.concatenate(symbol)))
-        n = np.bincount(inverse, np.concatenate(train), len(index)).astype(np.int64)
-        seen = [np.concatenate(x)[index] for x in zip(*counts, strict=True)]
-        ours = [np.concatenate(x) for x in zip(*about, strict=True)]
-        p = known.root(seen[0])
-        for k in range(1, depth):
-            c, packed = ours[2 * k - 2][told_of[index]], ours[2 * k - 1][told_of[index]]
-            p = _below(p, seen[k], c, packed >> 1, (packed & 1) > 0)
-        of, cut = of[index], np.concatenate(divided)[first]
-        count, after = np.bincount(of, n, len(keys)).astype(np.int64), np.bincount(of, n > 0, len(keys)).astype(np.int64)
-        state = known.states(np.bincount(of, _worth(n, count[of], after[of], p), len(keys)), count)
-        rows = []
-        if cut.any():
-            part = np.flatnonzero(cut[of] & (n > 0))
-            rows = [(TOTALS, depth, bucket, pack_many(keys[cut], count[cut], after[cut])), (PARTS, depth, bucket, pack_many(keys[of[part]], _narrow(n[part]), p[part]))]
-        told, at, begin = after * 2 + state, 0, 0
-        told[cut] = 0
-        for target, pairs, own in zip(group["block"].to_pylist(), map(len, context), map(len, contexts), strict=True):
-            rows.append((target, depth, bucket, pack_many(_narrow(n[inverse[at : at + pairs]]), _narrow(told[number[begin : begin + own]]))))
-            at, begin = at + pairs, begin + own
+        bucket, asked = group["bucket"][0].as_py(), [Asked(d.as_buffer(), depth, known.tokens) for d in group["data"]]
+        parts, rows = 1 + sum(len(a.n) for a in asked) // PAIRS, []
+        for part in range(parts):
+            chosen = [a.within(part, parts) for a in asked]
+            join = lambda f, ours: np.concatenate([f(a)[c] for a, c in zip(asked, ours, strict=True)])
+            contexts, pairs = [c[0] for c in chosen], [c[1] for c in chosen]
+            begin = np.cumsum([0] + [len(c) for c in contexts])
+            told_of = np.concatenate([c[2] + at for c, at in zip(chosen, begin, strict=False)])
+            if not len(told_of):
+                continue
+            keys, first, number = _distinct(join(lambda a: a.keys, contexts))
+            of = number[told_of]
+            _, index, inverse = _distinct(_hashed(keys[of], join(lambda a: a.symbol, pairs)))
+            n = np.bincount(inverse, join(lambda a: a.train, pairs), len(index)).astype(np.int64)
+            seen = [join(lambda a, k=k: a.seen[k], pairs)[index].astype(np.int64) for k in range(depth)]
+            p = known.root(seen[0])
+            for k in range(1, depth):
+                c, packed = (join(lambda a, x=x: a.about[x], contexts)[told_of[index]] for x in (2 * k - 2, 2 * k - 1))
+                p = _below(p, seen[k], c, packed >> 1, (packed & 1) > 0)
+            of, cut = of[index], join(lambda a: a.cut, contexts)[first]
+            count, after = np.bincount(of, n, len(keys)).astype(np.int64), np.bincount(of, n > 0, len(keys)).astype(np.int64)
+            state = known.states(np.bincount(of, _worth(n, count[of], after[of], p), len(keys)), count)
+            if cut.any():
+                own = np.flatnonzero(cut[of] & (n > 0))
+                rows += [(TOTALS, depth, bucket, pack_many(keys[cut], count[cut], after[cut])), (PARTS, depth, bucket, pack_many(keys[of[own]], _narrow(n[own]), p[own]))]
+            told = np.where(cut, 0, after * 2 + state)[number]
+            at = np.cumsum([0] + [len(q) for q in pairs])
+            for a, c, q, i, j in zip(asked, contexts, pairs, begin, at, strict=False):
+                a.told[c], a.n[q] = told[i : i + len(c)], n[inverse[j : j + len(q)]]
+        rows += [(target, depth, bucket, pack_many(_narrow(a.n), _narrow(a.told))) for target, a in zip(group["block"].to_pylist(), asked, strict=True)]
         give_memory_back()
         return _answers(rows)
 
@@ -567,7 +584,9 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth:
     send = spark.sparkContext.broadcast
     out_of = F.coalesce(remainder(F.col(doc_id), modulus) == held_out, F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text).alias("text"))
-    buckets, stored = partitions_for(docs, BUCKET_BYTES), partitions_for(docs, BUCKET_BYTES)
+    # Few buckets: what a block asks of one is packed, and the more there are the less there is to pack.
+    size, stored = size_in_bytes(docs), partitions_for(docs, STORED_BYTES)
+    buckets = stored if size is None else max(1, -(-size // BUCKET_BYTES))
     told = rows.mapInArrow(_tell_words(buckets), "bucket int, data binary")
     counted = materialise(told.groupBy("bucket").applyInArrow(_count_words, COUNTED), "pst-words")
     tokens, distinct = counted.filter("kind = 'words'").agg(F.sum("n"), F.sum("distinct")).collect()[0]
