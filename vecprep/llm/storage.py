@@ -28,6 +28,7 @@ def materialise_by(df: DataFrame, column: str, parts: int, name: str) -> DataFra
     that column finds them without a shuffle. The catalog knows the table only while it is made."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = f"{name}_{uuid4().hex}".replace("-", "_")
+    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     df.write.bucketBy(parts, column).option("path", path).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
