@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import materialise, new_path, shared_dir, shuffle_partitions
 
-__all__ = ["drop", "free_shuffles", "materialise", "materialise_by", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
+__all__ = ["Bucketed", "drop", "free_shuffles", "materialise", "new_path", "partitions_for", "shared_dir", "size_in_bytes"]
 
 
 def drop(df: DataFrame) -> None:
@@ -23,16 +23,24 @@ def drop(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise_by(df: DataFrame, column: str, parts: int, name: str) -> DataFrame:
-    """``materialise``, with the rows of equal ``column`` in one of ``parts`` buckets, so that what is grouped or joined by
-    that column finds them without a shuffle. The catalog knows the table only while it is made."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    table = f"{name}_{uuid4().hex}".replace("-", "_")
-    parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
-    df.write.bucketBy(parts, column).option("path", path).saveAsTable(table)
-    out = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")  # an external table: its files stay
-    return out
+class Bucketed:
+    """A table in the shared folder whose rows of equal ``column`` lie in one of ``parts`` buckets, so that what is grouped by
+    that column finds them without a shuffle. The catalog knows it until it is closed; its files stay."""
+
+    def __init__(self, spark: SparkSession, column: str, parts: int, name: str):
+        self.spark, self.column, self.path = spark, column, new_path(spark, name)
+        self.parts = min(parts, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+        self.table = f"{name}_{uuid4().hex}".replace("-", "_")
+
+    def append(self, df: DataFrame, gather: bool = True) -> DataFrame:
+        """All rows so far. ``gather``: shuffle the rows first, so that they make one file a bucket, where any task may have
+        rows of any bucket."""
+        df = df.repartition(self.parts, self.column) if gather else df
+        df.write.bucketBy(self.parts, self.column).option("path", self.path).mode("append").saveAsTable(self.table)
+        return self.spark.table(self.table)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")  # an external table
 
 
 def free_shuffles(spark: SparkSession) -> None:

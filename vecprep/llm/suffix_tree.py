@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import remainder
-from .storage import drop, free_shuffles, materialise, materialise_by, partitions_for, size_in_bytes
+from .storage import Bucketed, drop, free_shuffles, materialise, partitions_for, size_in_bytes
 from .text import byte_runs, give_memory_back, look_up, mix, pack_many, unpack_many, words
 
 DEPTH = 3
@@ -593,16 +593,25 @@ def score_texts(docs: DataFrame, *, modulus: int = 5, held_out: int = 1, depth:
     if tokens is None:
         return spark.createDataFrame([], SCORES)
     free_shuffles(spark)
-    blocks = materialise_by(rows.mapInArrow(_encode(send(frequent_words(counted))), "block long, data binary"), "block", stored, "pst-blocks")
-    asks = blocks.mapInArrow(_ask_words(buckets), ASKS).groupBy("bucket").cogroup(counted.filter("kind = 'words'").groupBy("bucket"))
-    answers = materialise(asks.applyInArrow(_answer_words, ANSWERS), "pst-answers")
-    drop(counted)
-    model = Model(DEPTH if depth is None else depth, buckets, tokens, distinct, min(P_MIN * tokens, LEAST if least is None else least), GAIN if gain is None else gain)
-    for level in range(1, model.depth + 1):
-        asks = blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_ask(send(model), level), ASKS)
-        found = materialise(asks.groupBy("bucket").applyInArrow(_answer(send(model), level), ANSWERS), "pst-answers")
-        _divided(found, model, level)
-        answers = answers.unionByName(found.filter("target >= 0"))
-        del asks
-        free_shuffles(spark)
-    return blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_finish(send(model)), SCORES)
+    vocabulary = send(frequent_words(counted))
+    texts, replies = Bucketed(spark, "block", stored, "pst-blocks"), Bucketed(spark, "target", stored, "pst-answers")
+    try:
+        blocks = texts.append(rows.mapInArrow(_encode(vocabulary), "block long, data binary"), gather=False)
+        vocabulary.destroy()
+        asks = blocks.mapInArrow(_ask_words(buckets), ASKS).groupBy("bucket").cogroup(counted.filter("kind = 'words'").groupBy("bucket"))
+        answers = replies.append(asks.applyInArrow(_answer_words, ANSWERS))
+        drop(counted)
+        model = Model(DEPTH if depth is None else depth, buckets, tokens, distinct, min(P_MIN * tokens, LEAST if least is None else least), GAIN if gain is None else gain)
+        for level in range(1, model.depth + 1):
+            asks = blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_ask(send(model), level), ASKS)
+            found = materialise(asks.groupBy("bucket").applyInArrow(_answer(send(model), level), ANSWERS), "pst-found")
+            _divided(found, model, level)
+            del asks
+            free_shuffles(spark)
+            answers = replies.append(found.filter("target >= 0"))
+            drop(found)
+            free_shuffles(spark)
+        return blocks.groupBy("block").cogroup(answers.groupBy("target")).applyInArrow(_finish(send(model)), SCORES)
+    finally:
+        texts.close()
+        replies.close()
