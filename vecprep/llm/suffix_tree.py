@@ -70,12 +70,14 @@ COUNTED = "kind string, bucket int, n long, distinct long, data binary"
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order of appearance, where each appears first, and for each entry the number of its value."""
-    coded = pa.array(x).dictionary_encode()
-    inverse = coded.indices.to_numpy()
-    first = np.empty(len(coded.dictionary), np.int64)
-    first[inverse[::-1]] = np.arange(len(x) - 1, -1, -1)
-    return coded.dictionary.to_numpy(), first, inverse
+    """Distinct values ascending, a place where each appears, and for each entry the number of its value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -140,7 +142,8 @@ class Block:
     def of(cls, batch: pa.RecordBatch, vocabulary: Vocabulary | None = None) -> Block:
         """Of rows (doc_id, held_out, text); with no vocabulary the numbers are the words' hashes."""
         ids, (hashes, at) = batch.column(0), words(batch.column(2))
-        found, _, symbol = _distinct(np.insert(hashes, at[1:], END))
+        coded = pa.array(np.insert(hashes, at[1:], END)).dictionary_encode()  # few words, often: faster than a sort
+        found, symbol = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         number, count = (found, np.zeros(len(found), np.int64)) if vocabulary is None else vocabulary.numbers(found)
         order = np.argsort(number)
         rank = np.empty(len(order), np.int64)
@@ -324,24 +327,27 @@ class Level:
     the newest first; ``total``: how often it occurs.
     """
 
-    def __init__(self, here: np.ndarray, of: np.ndarray, words_: np.ndarray, total: np.ndarray, block: Block, model: Model):
+    def __init__(self, here: np.ndarray, of: np.ndarray, words_: np.ndarray, total: np.ndarray, train: np.ndarray, block: Block, model: Model):
         symbol = block.symbol[here]
-        _, index, pair = _distinct(of * np.int64(len(block.words)) + symbol)
-        of, symbol = of[index], symbol[index]
         self.words, self.total, self.divided = words_, total, model.divided(total)
         self.key = context_keys(words_)
-        bucket = mix(self.key)[of]
+        bucket = (mix(self.key) % np.uint64(model.buckets)).astype(np.int64)[of]
         spread = self.divided[of]
         if spread.any():
-            bucket[spread] = mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]]))
-        bucket = (bucket % np.uint64(model.buckets)).astype(np.int64)
-        order = np.argsort(bucket * len(block.words) + symbol, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.here, self.pair = here, back[pair]
-        self.bucket, self.of, self.symbol, self.at = bucket[order], of[order], symbol[order], here[index[order]]
-        self.train = np.bincount(self.pair, ~block.held[block.document[here]], len(order)).astype(np.int64)
-        self.n = np.zeros(len(order), np.int64)
+            bucket[spread] = (mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]])) % np.uint64(model.buckets)).astype(np.int64)
+        each = len(block.words) * max(len(total), 1)
+        if model.buckets * each < 1 << 62:
+            _, index, self.pair = _distinct(bucket * each + symbol * len(total) + of)
+        else:  # pairs first, then by bucket
+            _, index, pair = _distinct(symbol * len(total) + of)
+            order = np.argsort(bucket[index], kind="stable")
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            index, self.pair = index[order], back[pair]
+        self.here, self.at = here, here[index]
+        self.bucket, self.of, self.symbol = bucket[index], of[index], symbol[index]
+        self.train = np.bincount(self.pair, train[here], len(index)).astype(np.int64)
+        self.n = np.zeros(len(index), np.int64)
         self.after, self.state = np.zeros(len(total), np.int64), np.zeros(len(total), bool)
 
     def contexts(self, i: int, j: int) -> np.ndarray:
@@ -383,7 +389,7 @@ class Replay:
         place, bucket = block.rare(model.buckets)
         for b, i, j in _segments(bucket):
             (block.count[place[i:j]],) = unpack_many(self.told[0][b].as_buffer())
-        self.known = block.before()
+        self.known, self.train = block.before(), ~block.held[block.document]
         self.p = model.root(block.count)[block.symbol]
         self.place, self.n = block.symbol, block.count  # of level 0, whose pairs are the words
         self.levels: list[Level] = []
@@ -401,7 +407,7 @@ class Replay:
         chosen = np.flatnonzero(asked)
         newest = block.words[self.levels[-1].symbol[chosen] if self.levels else chosen]
         words_ = np.vstack([newest, self.levels[-1].words[:, self.levels[-1].of[chosen]]]) if self.levels else newest[None, :]
-        return Level(here, (np.cumsum(asked) - 1)[pair], words_, self.n[chosen], block, self.model)
+        return Level(here, (np.cumsum(asked) - 1)[pair], words_, self.n[chosen], self.train, block, self.model)
 
     def take(self, level: Level, told: dict[int, pa.Scalar]) -> None:
         level.answered(told, self.model, len(self.levels) + 1)
