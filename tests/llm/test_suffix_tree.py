@@ -1,7 +1,10 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from vecprep.llm import suffix_tree as S
@@ -166,3 +169,30 @@ def test_words_beyond_the_vocabulary_count_alike(documents, prose, monkeypatch,
         size, known, n, base, score = expected[k]
         assert (found[d]["n_tokens"], found[d]["n_known"], found[d]["train_tokens"]) == (size, known, n)
         assert math.isclose(found[d]["base_score"], base, rel_tol=1e-9) and math.isclose(found[d]["score"], score, rel_tol=1e-9)
+
+
+def test_what_levels_exchange_is_packed_tightly(prose):
+    """A block and one bucket, in this process: bytes for each pair of a context and a symbol, asked and answered."""
+    text = prose(120_000, 1, 3000).split()
+    texts = [" ".join(text[i : i + 100]) for i in range(0, len(text), 100)]
+    ids = np.arange(len(texts))
+    batch = pa.record_batch([pa.array(ids), pa.array(ids % 5 == 1), pa.array(texts)], ["doc_id", "held_out", "text"])
+    plain = S.Block.of(batch)
+    count = np.bincount(plain.symbol, ~plain.held[plain.document], len(plain.words)).astype(np.int64)
+    order = np.lexsort((plain.words, -count))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    block = S.Block.of(batch, S.Vocabulary(plain.words, place, count[order]))
+    model = S.Model(3, 1, int(count.sum()), int(np.count_nonzero(count)), 8, S.GAIN)
+    rows, sizes = [], {}
+    for level in (1, 2, 3):
+        replay = S.Replay(S.Block.unpack(block.pack()), model, S._answers(rows))
+        replay.through(level - 1)
+        asked = [(b, 0, d) for b, d in replay.asks()]
+        pairs = len(replay.ask().at)
+        found = S._answer(SimpleNamespace(value=model), level)(pa.table([pa.array(c) for c in zip(*asked, strict=True)], ["bucket", "block", "data"]))
+        rows += [tuple(r.values()) for r in found.to_pylist()]
+        sizes[level] = (pairs, sum(len(d) for *_, d in asked) / pairs, sum(len(d) for d in found["data"].to_pylist()) / pairs)
+    assert all(pairs > 2000 for pairs, *_ in sizes.values())
+    assert all(sizes[level][1] < most for level, most in ((1, 1.15), (2, 1.4), (3, 1.9)))  # 1.31, 1.84 and 2.80 in the order of pairs
+    assert all(answered < 0.1 for *_, answered in sizes.values())  # few contexts of random words are states; 0.3 if all counts are told

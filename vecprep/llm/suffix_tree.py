@@ -20,6 +20,8 @@ moving it. Then blocks ask and buckets answer, level by level; positions and doc
    with T(u) and the test's result. What is summed for a word after a context is how often the two occur together, that
    is the count of the longer context: so
 2. and on: only contexts that are known to occur ``least`` times are asked for at the next level.
+Asks name contexts in the order of their words. Of contexts that aren't states, only counts that make contexts of the next
+level are told, and no count is asked with; a pair's counts in shorter contexts are sent by blocks that have it in training.
 A context that makes up 1 / (4 buckets) of all positions is divided among buckets by symbol; its totals and its test are
 put together from parts (at most 4 such contexts a bucket and level; only these reach the driver). No other set of
 contexts is broadcast. After the last level the blocks score their documents.
@@ -75,8 +77,10 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = x[order]
     new = np.ones(len(x), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    number = np.cumsum(new)
+    number -= 1
     inverse = np.empty(len(x), np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse[order] = number
     return ordered[new], order[new], inverse
 
 
@@ -95,6 +99,22 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
+def _steps(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that ascend: their first entries, and how much each other one exceeds the one before."""
+    rest = np.ones(len(x), bool)
+    rest[first] = False
+    return x[first], np.diff(x, prepend=0)[rest]
+
+
+def _from_steps(first: np.ndarray, step: np.ndarray, length: np.ndarray) -> np.ndarray:
+    length = length.astype(np.int64)
+    at, out, rest = np.cumsum(length) - length, np.zeros(len(first) + len(step), np.int64), np.ones(len(first) + len(step), bool)
+    rest[at] = False
+    out[rest] = step
+    out = np.cumsum(out)
+    return out + np.repeat(first.astype(np.int64) - out[at], length)
+
+
 def _segments(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Bucket, begin and end of each run."""
     for a, n in zip(*_runs(bucket), strict=True):
@@ -163,10 +183,6 @@ class Block:
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size)
 
-    def before(self) -> np.ndarray:
-        """How many words precede each symbol in its text."""
-        return np.arange(len(self.symbol)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-
     def rare(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words whose counts aren't known, by the bucket that has them, and these buckets."""
         place = np.flatnonzero(self.count < 0)
@@ -327,26 +343,32 @@ class Level:
     the newest first; ``total``: how often it occurs.
     """
 
-    def __init__(self, here: np.ndarray, of: np.ndarray, words_: np.ndarray, total: np.ndarray, train: np.ndarray, block: Block, model: Model):
+    def __init__(self, here: np.ndarray, of: np.ndarray, words_: np.ndarray, total: np.ndarray, block: Block, model: Model):
         symbol = block.symbol[here]
         self.words, self.total, self.divided = words_, total, model.divided(total)
         self.key = context_keys(words_)
-        bucket = (mix(self.key) % np.uint64(model.buckets)).astype(np.int64)[of]
-        spread = self.divided[of]
-        if spread.any():
-            bucket[spread] = (mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]])) % np.uint64(model.buckets)).astype(np.int64)
+        bucket = (mix(self.key) % np.uint64(model.buckets)).astype(np.int64)
+        spread = np.flatnonzero(self.divided[of]) if self.divided.any() else np.zeros(0, np.int64)
+        apart = (mix(self.key[of[spread]] ^ mix(block.words[symbol[spread]])) % np.uint64(model.buckets)).astype(np.int64)
         each = len(block.words) * max(len(total), 1)
+        code = symbol * len(total)
         if model.buckets * each < 1 << 62:
-            _, index, self.pair = _distinct(bucket * each + symbol * len(total) + of)
+            code += (bucket * each + np.arange(len(total)))[of]
+            code[spread] += (apart - bucket[of[spread]]) * each
+            code, index, self.pair = _distinct(code)
+            self.bucket = code // each
         else:  # pairs first, then by bucket
-            _, index, pair = _distinct(symbol * len(total) + of)
+            code += of
+            _, index, pair = _distinct(code)
+            bucket = bucket[of]
+            bucket[spread] = apart
             order = np.argsort(bucket[index], kind="stable")
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
             index, self.pair = index[order], back[pair]
+            self.bucket = bucket[index]
         self.here, self.at = here, here[index]
-        self.bucket, self.of, self.symbol = bucket[index], of[index], symbol[index]
-        self.train = np.bincount(self.pair, train[here], len(index)).astype(np.int64)
+        self.of, self.symbol = of[index], symbol[index]
         self.n = np.zeros(len(index), np.int64)
         self.after, self.state = np.zeros(len(total), np.int64), np.zeros(len(total), bool)
 
@@ -375,7 +397,7 @@ def context_keys(words_: np.ndarray) -> np.ndarray:
 
 
 class Replay:
-    """A block and its levels so far: of each position the probability, and the place of its pair in the last level.
+    """A block and its levels so far, and of each position the probability.
 
     A context of the next level is a pair of this one, that of the position before: its words are the pair's context and
     symbol, and it occurs as often as the pair.
@@ -389,30 +411,36 @@ class Replay:
         place, bucket = block.rare(model.buckets)
         for b, i, j in _segments(bucket):
             (block.count[place[i:j]],) = unpack_many(self.told[0][b].as_buffer())
-        self.known, self.train = block.before(), ~block.held[block.document]
+        self.begins = np.zeros(len(block.symbol) + 1, bool)
+        self.begins[np.cumsum(block.size) - block.size] = self.begins[-1] = True
         self.p = model.root(block.count)[block.symbol]
-        self.place, self.n = block.symbol, block.count  # of level 0, whose pairs are the words
         self.levels: list[Level] = []
 
     def ask(self) -> Level:
-        depth, block = len(self.levels) + 1, self.block
-        before = np.full(len(self.place), -1)
-        before[1:] = self.place[:-1]
-        here = np.flatnonzero((self.known >= depth) & (before >= 0))
-        pair = before[here]
-        often = self.n[pair] >= max(self.model.least, 1)
-        here, pair = here[often], pair[often]
-        asked = np.zeros(len(self.n), bool)
+        block = self.block
+        if self.levels:
+            last = self.levels[-1]
+            here, pair, n = last.here + 1, last.pair, last.n
+            follows = np.flatnonzero((n >= max(self.model.least, 1))[pair] & ~self.begins[here])
+            here, pair = here[follows], pair[follows]
+        else:  # the pairs of level 0 are the words
+            n = block.count
+            follows = np.flatnonzero((n >= max(self.model.least, 1))[block.symbol] & ~self.begins[1:])
+            here, pair = follows + 1, block.symbol[follows]
+        asked = np.zeros(len(n), bool)
         asked[pair] = True
         chosen = np.flatnonzero(asked)
-        newest = block.words[self.levels[-1].symbol[chosen] if self.levels else chosen]
-        words_ = np.vstack([newest, self.levels[-1].words[:, self.levels[-1].of[chosen]]]) if self.levels else newest[None, :]
-        return Level(here, (np.cumsum(asked) - 1)[pair], words_, self.n[chosen], self.train, block, self.model)
+        if self.levels:  # by their words, the newest first: like contexts lie together, so that what is told of them packs well
+            chosen = chosen[np.argsort(last.symbol[chosen] * len(last.total) + last.of[chosen])]
+            words_ = np.vstack([block.words[last.symbol[chosen]], last.words[:, last.of[chosen]]])
+        else:
+            words_ = block.words[chosen][None, :]
+        number = np.zeros(len(asked), np.int64)
+        number[chosen] = np.arange(len(chosen))
+        return Level(here, number[pair], words_, n[chosen], block, self.model)
 
     def take(self, level: Level, told: dict[int, pa.Scalar]) -> None:
         level.answered(told, self.model, len(self.levels) + 1)
-        self.place = np.full(len(self.place), -1)
-        self.place[level.here], self.n = level.pair, level.n
         own = _below(self.p[level.at], level.n, level.total[level.of], level.after[level.of], level.state[level.of])
         self.p[level.here] = own[level.pair]
         self.levels.append(level)
@@ -424,15 +452,18 @@ class Replay:
     def asks(self) -> Iterator[tuple[int, bytes]]:
         """By bucket: contexts, whether divided and what their suffixes are; symbols with their runs and counts; of pairs the
         context and what was counted so far."""
-        level, positions = self.ask(), len(self.place)
+        level, positions = self.ask(), len(self.block.symbol)
+        trained = np.repeat(~self.block.held, self.block.size)[level.here]
+        train = np.bincount(level.pair[trained], minlength=len(level.at))
         counts, about = [], []
         for earlier in self.levels:  # the suffixes of a pair's context are those of its position
             at = np.full(positions, -1)
             at[earlier.here] = earlier.pair
             pair = at[level.at]
             of = earlier.of[pair]
-            counts.append(earlier.n[pair])
-            for x in (earlier.total[of], earlier.after[of] * 2 + earlier.state[of]):
+            state = earlier.state[of]  # nothing is computed from those that aren't
+            counts.append(np.where(state, earlier.n[pair], 0))
+            for x in (earlier.total[of] * state, (earlier.after[of] * 2 + 1) * state):
                 about.append(np.zeros(len(level.total), np.int64))
                 about[-1][level.of] = x
         number = np.zeros(len(level.total), np.int64)
@@ -441,9 +472,12 @@ class Replay:
             number[own] = np.arange(len(own))
             first, length = _runs(level.symbol[i:j])
             symbol = level.symbol[i + first]
-            known = self.block.words[symbol] < RARE
-            columns = (level.divided[own].astype(np.uint8), *level.words[:, own], *(x[own] for x in about), length, self.block.words[symbol[known]], self.block.words[symbol[~known]], self.block.count[symbol], number[level.of[i:j]], level.train[i:j], *(n[i:j] for n in counts))
-            yield bucket, pack_many(*map(_narrow, columns), delta=(3 * level.words.shape[0], 3 * level.words.shape[0] + 1))
+            known = int(np.count_nonzero(self.block.words[symbol] < RARE))  # these come first and have ever fewer occurrences
+            word, count = self.block.words[symbol], self.block.count[symbol]
+            seen = [n[i:j][train[i:j] > 0] for n in counts]  # a pair's worth is found from what is told with its training occurrences
+            columns = (level.divided[own].astype(np.uint8), *level.words[:, own], *(x[own] for x in about), length, word[:known], word[known:], count[:known][::-1], count[known:], *_steps(number[level.of[i:j]], first), train[i:j], *seen)
+            at = 3 * level.words.shape[0]  # of the known symbols
+            yield bucket, pack_many(*map(_narrow, columns), delta=(1, at, at + 1, at + 2))
 
 
 def _ask(model, depth: int) -> Callable:
@@ -464,12 +498,16 @@ class Asked:
 
     def __init__(self, data: bytes, depth: int, most: int):
         cut, *rest = unpack_many(data)
-        length, number, rare, count, context, train, *seen = rest[3 * depth - 2 :]
+        length, number, rare, often, seldom, first, step, train, *seen = rest[3 * depth - 2 :]
         self.keys, self.cut = context_keys(np.stack(rest[:depth]).astype(np.uint64)), cut > 0
         self.about = [x.astype(np.int64) for x in rest[depth : 3 * depth - 2]]
         self.symbol = np.repeat(np.concatenate([number.astype(np.uint64), rare.astype(np.uint64)]), length)
-        self.context, self.train, self.seen = context, train, [np.repeat(count, length), *seen]
-        self.n, self.told = np.zeros(len(context), np.uint32 if most < 2**32 else np.int64), np.zeros(len(cut), np.int64)
+        count = np.concatenate([often[::-1], seldom])
+        self.context, self.train, self.seen = _narrow(_from_steps(first, step, length)), train, [np.repeat(count, length)]
+        for n in seen:
+            self.seen.append(np.zeros(len(train), n.dtype))
+            self.seen[-1][train > 0] = n
+        self.n, self.told = np.zeros(len(train), np.uint32 if most < 2**32 else np.int64), np.zeros(len(cut), np.int64)
 
     def within(self, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the contexts that fall to one part: their places, those of their pairs, and the pairs' contexts among them."""
@@ -496,7 +534,10 @@ def _answer(model, depth: int) -> Callable:
             keys, first, number = _distinct(join(lambda a: a.keys, contexts))
             of = number[told_of]
             _, index, inverse = _distinct(_hashed(keys[of], join(lambda a: a.symbol, pairs)))
-            n = np.bincount(inverse, join(lambda a: a.train, pairs), len(index)).astype(np.int64)
+            train = join(lambda a: a.train, pairs)
+            n = np.bincount(inverse, train, len(index)).astype(np.int64)
+            trained = np.flatnonzero(train)
+            index[inverse[trained]] = trained  # who has the pair in training tells of it
             seen = [join(lambda a, k=k: a.seen[k], pairs)[index].astype(np.int64) for k in range(depth)]
             p = known.root(seen[0])
             for k in range(1, depth):
@@ -508,7 +549,9 @@ def _answer(model, depth: int) -> Callable:
             if cut.any():
                 own = np.flatnonzero(cut[of] & (n > 0))
                 rows += [(TOTALS, depth, bucket, pack_many(keys[cut], count[cut], after[cut])), (PARTS, depth, bucket, pack_many(keys[of[own]], _narrow(n[own]), p[own]))]
-            told = np.where(cut, 0, after * 2 + state)[number]
+            told = np.where(cut | ~state, 0, after * 2 + 1)[number]
+            # A count is of use in a state, and, if large, for the context that it makes at the next level.
+            n[~(state | cut)[of] & ((n < known.least) | (depth == known.depth))] = 0
             at = np.cumsum([0] + [len(q) for q in pairs])
             for a, c, q, i, j in zip(asked, contexts, pairs, begin, at, strict=False):
                 a.told[c], a.n[q] = told[i : i + len(c)], n[inverse[j : j + len(q)]]
