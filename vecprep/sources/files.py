@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from .fvecs import read_fvecs
 from .hdf5 import SUFFIXES, read_hdf5, split_uri
@@ -29,7 +31,14 @@ def read_vectors(spark: SparkSession, uri: str, endian: str = "little") -> DataF
 
 
 def first_row(spark: SparkSession, path: str) -> tuple[list[str], Row | None]:
-    """Column names of a Parquet file and its first row; no more than that is read."""
+    """Column names of a Parquet table and its first row; no more than that is read.
+
+    Of several files the first by name counts that has a row, whatever their sizes (Spark starts with the largest).
+    """
     df = spark.read.parquet(path)
-    rows = df.limit(1).collect()
-    return df.columns, rows[0] if rows else None
+    place = lambda uri: F.regexp_replace(uri, "^([^:/]+):/+", "$1:/")  # noqa: E731 (file:/a and file:///a are the same)
+    for file in sorted(df.inputFiles(), key=unquote):
+        # Spark opens only the files that a condition on their metadata leaves.
+        if rows := df.filter(place(F.col("_metadata.file_path")) == place(F.lit(file))).limit(1).collect():
+            return df.columns, rows[0]
+    return df.columns, None
