@@ -198,6 +198,38 @@ def test_knn_ties_and_small_base(vectors):
     assert knn.knn(vectors([]), vectors([[1]]), 2).count() == 0
 
 
+ODD = [None, [1.0, None, 2.0, 0.5], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 1.0], [-float("inf"), 1.0, 0.0, 1.0], [1.0, 2.0], []]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("broadcast_bytes", [0, knn.BROADCAST_BYTES])
+def test_expressions_rank_odd_vectors(spark, metric, broadcast_bytes):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(i, x) for i, x in enumerate([*ODD[:3], *rng.integers(-3, 4, (40, 4)).astype(float).tolist(), *ODD[3:]])]
+    v = spark.createDataFrame(rows, "ord long, vec array<float>")
+    query = v.filter(F.col("ord").isin([*range(0, 47, 5), 1, 2, 43, 47, 49]))
+    pairs = knn._crossed(v, query, metric).collect()
+    want = {}
+    for q in {r["query_ord"] for r in pairs}:
+        # Spark's order: NaN is the greatest, nulls are the smallest.
+        size = lambda s: (0, 0.0) if s is None else (2, 0.0) if np.isnan(s) else (1, s)
+        sign = -1 if metric == "ip" else 1
+        mine = sorted((tuple(sign * x for x in size(r["score"])), r["base_ord"]) for r in pairs if r["query_ord"] == q)
+        want[q] = [i for _, i in mine[:6]]
+    found = knn.wide(knn.knn(v, query, 6, metric, "expr", broadcast_bytes)).collect()
+    assert {r["query_ord"]: r["ids"] for r in found} == want
+    assert knn.wide(knn.knn(v, query.filter("ord = 1"), 6, metric, "expr", broadcast_bytes)).collect()[0]["ids"] == want[1]
+    assert knn.knn(v, query.filter("ord < 0"), 6, metric, "expr", broadcast_bytes).count() == 0
+
+
+def test_expressions_cross_no_whole_vectors(vectors):
+    base = vectors(np.random.default_rng(1).random((50, 8)).tolist())
+    plan = knn.knn(base, base, 3, "ip", "expr")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.lower() and "Join" not in plan
+
+
 def test_streaming(spark, tmp_path, vectors):
     vectors([[3, 4], [0, 0]]).write.parquet(str(tmp_path / "in"))
     stream = clean_stream(spark.readStream.schema(vectors([[1]]).schema).parquet(str(tmp_path / "in")))

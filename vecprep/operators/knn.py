@@ -4,7 +4,9 @@ The default works on blocks: base rows are scored against blocks of queries by o
 every candidate within rounding of the k-th is scored again component by component, as an SQL engine would, and each
 task returns its own k best per query; a window keeps the k best of those (ties to the smaller id). Queries are
 broadcast only if they fit ``BROADCAST_BYTES`` (counted first); otherwise query blocks are sent to blocks of base rows by
-an equi-join on block numbers. ``strategy="expr"`` is the same as column expressions, for small sets.
+an equi-join on block numbers. ``strategy="expr"`` ranks as column expressions do whatever a vector holds: pairs of
+finite vectors of one length go by blocks, whose scores equal the expressions' bit by bit, and only those of a vector that
+is null, of another length, or holds a null or non-finite component are crossed and scored by the expressions.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ METRICS = ("l2", "ip")
 BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024
 BASE_ROWS = 8192
+#: Components beyond this could make the kernel's sums infinite.
+MOST = 1e100
 FOUND = "query_ord long, base_ord long, score double"
 
 
@@ -112,6 +116,42 @@ def _by_blocks(base: DataFrame, query: DataFrame, k: int, metric: str) -> DataFr
     return sent.join(shards, "block").select("qn", "queries", "n", "data").mapInArrow(_block_kernel(k, metric), FOUND)
 
 
+def _by_kernel(base: DataFrame, query: DataFrame, k: int, metric: str, broadcast_bytes: int) -> DataFrame:
+    n, d = query.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).collect()[0]
+    if n == 0:
+        return base.sparkSession.createDataFrame([], FOUND)
+    if n * (8 * d + 8) > broadcast_bytes:
+        return _by_blocks(base, query, k, metric)
+    rows = query.toArrow()
+    vectors = rows["vec"].combine_chunks()
+    data = (rows["ord"].to_numpy(), _matrix(vectors if isinstance(vectors, pa.Array) else vectors.chunk(0)))
+    return base.mapInArrow(_broadcast_kernel(base.sparkSession.sparkContext.broadcast(data), k, metric), FOUND)
+
+
+def _crossed(base: DataFrame, query: DataFrame, metric: str) -> DataFrame:
+    """All pairs, scored by column expressions."""
+    b, q = F.col("_base.vec"), F.col("_query.vec")
+    score = V.dot(q, b) if metric == "ip" else V.squared_distance(q, b)
+    pairs = base.select(F.struct("ord", "vec").alias("_base")).crossJoin(query.select(F.struct("ord", "vec").alias("_query")))
+    return pairs.select(F.col("_query.ord").alias("query_ord"), F.col("_base.ord").alias("base_ord"), score.alias("score"))
+
+
+def _as_expressions(base: DataFrame, query: DataFrame, k: int, metric: str, broadcast_bytes: int) -> DataFrame:
+    """What the kernel can't rank (see above) is looked for first: most sets have none and cross nothing."""
+    d = query.agg(F.mode(F.size("vec"))).collect()[0][0] or 0
+    fits = F.forall("vec", lambda x: F.coalesce(F.abs(x.cast("double")) < MOST, F.lit(False)))
+    whole = F.coalesce(F.col("ord").isNotNull() & (F.size("vec") == d) & (F.size("vec") > 0) & fits, F.lit(False))
+    found = _by_kernel(base.filter(whole), query.filter(whole), k, metric, broadcast_bytes)
+    if query.filter(~whole).limit(1).count():
+        found = found.unionByName(_crossed(base.filter(whole), query.filter(~whole), metric))
+    if base.filter(~whole).limit(1).count():
+        found = found.unionByName(_crossed(base.filter(~whole), query, metric))
+    return found
+
+
+STRATEGIES = {"blocks": _by_kernel, "expr": _as_expressions}
+
+
 def knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2", strategy: str = "blocks", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Long neighbours (query_ord, rank, base_ord, score) of (ord, vec) sets, best first; fewer than k if base is smaller.
 
@@ -121,23 +161,10 @@ def knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2", strategy:
         raise ValueError(f"unknown metric '{metric}'; there are {', '.join(METRICS)}")
     if k <= 0:
         raise ValueError("k must be positive")
-    base, query = require(base, "ord", "vec").select("ord", "vec"), require(query, "ord", "vec").select("ord", "vec")
-    if strategy == "expr":
-        b, q = F.col("_base.vec"), F.col("_query.vec")
-        score = V.dot(q, b) if metric == "ip" else V.squared_distance(q, b)
-        pairs = base.select(F.struct("ord", "vec").alias("_base")).crossJoin(query.select(F.struct("ord", "vec").alias("_query")))
-        found = pairs.select(F.col("_query.ord").alias("query_ord"), F.col("_base.ord").alias("base_ord"), score.alias("score"))
-    elif strategy == "blocks":
-        n, d = query.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).collect()[0]
-        if n * (8 * d + 8) <= broadcast_bytes:
-            rows = query.toArrow()
-            vectors = rows["vec"].combine_chunks()
-            data = (rows["ord"].to_numpy(), _matrix(vectors if isinstance(vectors, pa.Array) else vectors.chunk(0)))
-            found = base.mapInArrow(_broadcast_kernel(base.sparkSession.sparkContext.broadcast(data), k, metric), FOUND)
-        else:
-            found = _by_blocks(base, query, k, metric)
-    else:
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy '{strategy}'")
+    base, query = require(base, "ord", "vec").select("ord", "vec"), require(query, "ord", "vec").select("ord", "vec")
+    found = STRATEGIES[strategy](base, query, k, metric, broadcast_bytes)
     best = F.desc("score") if metric == "ip" else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query_ord").orderBy(best, "base_ord"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)

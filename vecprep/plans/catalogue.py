@@ -135,7 +135,7 @@ def knn_l2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_knn_sql(_DOT, "DESC", _PLACES, _with()))
 def knn_ip_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as column expressions."""
+    """The same, ranked as column expressions rank any vector (nulls, NaN, other lengths)."""
     e = _embeddings(spark, sf_dir)
     return knn.knn(e, _asking(e), K, "ip", strategy="expr").select(F.col("query_ord").alias("query_id"), "rank", F.col("base_ord").alias("base_id"))
 
