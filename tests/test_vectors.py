@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -204,8 +205,6 @@ ODD = [None, [1.0, None, 2.0, 0.5], [float("nan"), 1.0, 1.0, 1.0], [float("inf")
 @pytest.mark.parametrize("metric", ["l2", "ip"])
 @pytest.mark.parametrize("broadcast_bytes", [0, knn.BROADCAST_BYTES])
 def test_expressions_rank_odd_vectors(spark, metric, broadcast_bytes):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(5)
     rows = [(i, x) for i, x in enumerate([*ODD[:3], *rng.integers(-3, 4, (40, 4)).astype(float).tolist(), *ODD[3:]])]
     v = spark.createDataFrame(rows, "ord long, vec array<float>")
@@ -230,6 +229,44 @@ def test_expressions_cross_no_whole_vectors(vectors):
     assert "zip_with" not in plan.lower() and "Join" not in plan
 
 
+def searched(base, ids, query, k, metric, rows):
+    """The broadcast kernel's rows over batches of ``rows`` base rows, ranked: ids of each query."""
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(ids[i : i + rows]), pa.array(list(base[i : i + rows]))], ["ord", "vec"]) for i in range(0, len(base), rows)]
+    sent = SimpleNamespace(value=(np.arange(len(query)), query.astype(float)))
+    found = pa.Table.from_batches(knn._broadcast_kernel(sent, k, metric)(iter(batches))).to_pylist()
+    sign = -1 if metric == "ip" else 1
+    ranked = sorted((r["query_ord"], sign * r["score"], r["base_ord"]) for r in found)
+    return [[i for at, _, i in ranked if at == q][:k] for q in range(len(query))]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_search_holds_little_where_many_rows_tie(metric):
+    import tracemalloc
+
+    base, query = np.ones((8192, 32), np.float32), np.random.default_rng(3).random((512, 32)).astype(np.float32)
+    tracemalloc.start()
+    found = searched(base, np.arange(8192)[::-1].copy(), query, 5, metric, 8192)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [[0, 1, 2, 3, 4]] * 512
+    assert peak < 300e6  # the tied pairs' vectors at once would be 2 GB
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+@pytest.mark.parametrize("tiles", [{}, {"QUERY_TILE": 3, "BASE_TILE": 7, "SCORED_BYTES": 200, "MANY": 1}])
+def test_search_in_tiles(metric, tiles, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-2, 3, (200, 4)).astype(np.float32)  # many ties
+    query = rng.integers(-2, 3, (11, 4)).astype(np.float32)
+    base = base[np.argsort(((base[:, None] - query[None]) ** 2).sum((1, 2)))[::-1]]  # better ones last
+    for name, value in tiles.items():
+        monkeypatch.setattr(knn, name, value)
+    for k, rows in ((1, 200), (6, 50), (6, 3), (300, 60)):
+        assert searched(base, np.arange(200), query, k, metric, rows) == brute(base.astype(float), query.astype(float), k, metric)
+
+
 def test_streaming(spark, tmp_path, vectors):
     vectors([[3, 4], [0, 0]]).write.parquet(str(tmp_path / "in"))
     stream = clean_stream(spark.readStream.schema(vectors([[1]]).schema).parquet(str(tmp_path / "in")))

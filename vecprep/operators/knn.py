@@ -3,7 +3,7 @@
 The default works on blocks: base rows are scored against blocks of queries by one matrix product in double precision,
 every candidate within rounding of the k-th is scored again component by component, as an SQL engine would, and each
 task returns its own k best per query; a window keeps the k best of those (ties to the smaller id). Queries are
-broadcast only if they fit ``BROADCAST_BYTES`` (counted first); otherwise query blocks are sent to blocks of base rows by
+broadcast only if they and their best rows fit ``BROADCAST_BYTES`` (counted first); otherwise query blocks are sent to blocks of base rows by
 an equi-join on block numbers. ``strategy="expr"`` ranks as column expressions do whatever a vector holds: pairs of
 finite vectors of one length go by blocks, whose scores equal the expressions' bit by bit, and only those of a vector that
 is null, of another length, or holds a null or non-finite component are crossed and scored by the expressions.
@@ -27,6 +27,12 @@ METRICS = ("l2", "ip")
 BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 1024
 BASE_ROWS = 8192
+#: Scores held at once (8 MB), and bytes of vectors that are scored again at once.
+QUERY_TILE = 256
+BASE_TILE = 4096
+SCORED_BYTES = 8 << 20
+#: More rows than this times k near a query's k-th are cut by the tile's own k-th first.
+MANY = 4
 #: Components beyond this could make the kernel's sums infinite.
 MOST = 1e100
 FOUND = "query_ord long, base_ord long, score double"
@@ -45,37 +51,73 @@ def _in_order(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return total
 
 
-def block_best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, base ids and scores of the k best rows of a block for each query, ties kept for the final ranking."""
-    product = q @ x.T
-    xx, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
-    rough = -product if metric == "ip" else qq[:, None] + xx - 2 * product
-    k = min(k, len(x))
-    cut = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    # Rounding of a sum of d products is below d * eps * |q| * |x|.
-    slack = 8 * x.shape[1] * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(xx.max(initial=0.0))) ** 2
-    row, col = np.nonzero(rough <= (cut + slack)[:, None])
-    score = _in_order(x[col], q[row], metric)
-    order = np.lexsort((ids[col], -score if metric == "ip" else score, row))
-    row, col, score = row[order], col[order], score[order]
-    start = np.searchsorted(row, np.arange(len(q)))
-    keep = np.arange(len(row)) - start[row] < k
-    return q_ids[row[keep]], ids[col[keep]], score[keep]
+class Best:
+    """The k best base rows of each query among the blocks added so far, ties to the smaller id.
 
+    A block is taken in tiles of ``BASE_TILE`` rows by ``QUERY_TILE`` queries, so that the arrays beside block and queries
+    stay small however many rows tie. Once k rows are known, only rows that come near a query's k-th are scored again.
+    """
 
-def _found(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.record_batch([pa.array(c) for c in columns], ["query_ord", "base_ord", "score"])
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.query_ids, self.q, self.k, self.metric = ids, q, k, metric
+        self.qq = np.einsum("ij,ij->i", q, q)
+        self.cost = np.full((len(q), k), np.inf)  # ascending; inner products are negated
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, x: np.ndarray, ids: np.ndarray) -> None:
+        for i in range(0, len(x), BASE_TILE):
+            tile, tile_ids = x[i : i + BASE_TILE], ids[i : i + BASE_TILE]
+            xx = np.einsum("ij,ij->i", tile, tile)
+            for j in range(0, len(self.q), QUERY_TILE):
+                self._tile(slice(j, j + QUERY_TILE), tile, tile_ids, xx)
+
+    def _tile(self, at: slice, x: np.ndarray, ids: np.ndarray, xx: np.ndarray) -> None:
+        q, qq, cost, best = self.q[at], self.qq[at], self.cost[at], self.ids[at]
+        rough = q @ x.T
+        rough *= -1 if self.metric == "ip" else -2
+        if self.metric == "l2":
+            rough += qq[:, None]
+            rough += xx
+        # Rounding of a sum of d products is below d * eps * |q| * |x|.
+        slack = 8 * x.shape[1] * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(xx.max(initial=0.0))) ** 2
+        near = rough <= (cost[:, -1] + slack)[:, None]
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > MANY * self.k)
+        if len(many):
+            cut = np.partition(rough[many], self.k - 1, axis=1)[:, self.k - 1]
+            near[many] &= rough[many] <= (cut + slack[many])[:, None]
+        row, col = np.nonzero(near)
+        del rough, near
+        if not len(row):
+            return
+        step = max(1, SCORED_BYTES // (16 * x.shape[1]))
+        score = np.concatenate([_in_order(x[col[i : i + step]], q[row[i : i + step]], self.metric) for i in range(0, len(row), step)])
+        touched, place = np.unique(row, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), place])
+        score = np.concatenate([cost[touched].ravel(), -score if self.metric == "ip" else score])
+        found = np.concatenate([best[touched].ravel(), ids[col]])
+        order = np.lexsort((found, score, row))
+        start = np.searchsorted(row[order], np.arange(len(touched)))
+        keep = order[start[:, None] + np.arange(self.k)]
+        cost[touched], best[touched] = score[keep], found[keep]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for j in range(0, len(self.q), QUERY_ROWS):
+            cost = self.cost[j : j + QUERY_ROWS]
+            row, col = np.nonzero(cost < np.inf)
+            score = -cost[row, col] if self.metric == "ip" else cost[row, col]
+            yield pa.record_batch([pa.array(c) for c in (self.query_ids[j + row], self.ids[j + row, col], score)], ["query_ord", "base_ord", "score"])
 
 
 def _broadcast_kernel(queries, k: int, metric: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = queries.value
+        best = None
         for batch in batches:
+            best = best or Best(*queries.value, k, metric)
             for i in range(0, len(batch), BASE_ROWS):
                 part = batch.slice(i, BASE_ROWS)
-                ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
-                yield _found([block_best(x, ids, q[j : j + QUERY_ROWS], q_ids[j : j + QUERY_ROWS], k, metric) for j in range(0, len(q), QUERY_ROWS)])
+                best.add(_matrix(part.column(1)), part.column(0).to_numpy())
+        if best:
+            yield from best.found()
 
     return run
 
@@ -103,7 +145,9 @@ def _block_kernel(k: int, metric: str) -> Callable:
             for qn, queries, n, data in zip(*(batch.column(c) for c in range(4)), strict=True):
                 q_ids, q = _unpack(queries.as_buffer(), qn.as_py())
                 ids, x = _unpack(data.as_buffer(), n.as_py())
-                yield _found([block_best(x, ids, q, q_ids, k, metric)])
+                best = Best(q_ids, q, k, metric)
+                best.add(x, ids)
+                yield from best.found()
 
     return run
 
@@ -120,7 +164,7 @@ def _by_kernel(base: DataFrame, query: DataFrame, k: int, metric: str, broadcast
     n, d = query.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).collect()[0]
     if n == 0:
         return base.sparkSession.createDataFrame([], FOUND)
-    if n * (8 * d + 8) > broadcast_bytes:
+    if n * (8 * d + 8 + 16 * k) > broadcast_bytes:  # each task also holds the best rows of all queries
         return _by_blocks(base, query, k, metric)
     rows = query.toArrow()
     vectors = rows["vec"].combine_chunks()
